@@ -87,8 +87,8 @@ def parts(col: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 256) -> Ite
 class Words:
     """Word starts, ends and rows of a slice; first[d] is the index of row d's first word."""
 
-    def __init__(self, off: np.ndarray, data: np.ndarray) -> None:
-        gap = SPACE[data]
+    def __init__(self, off: np.ndarray, data: np.ndarray, space: np.ndarray = SPACE) -> None:
+        gap = space[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[off] = True
         head, tail = ~gap, ~gap

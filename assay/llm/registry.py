@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from assay.llm.decontaminate import op9_decontaminate
 from assay.llm.line_crf import op1_line_crf
+from assay.llm.line_dedup import OP6_SQL, op6_line_runs
 from assay.llm.mixing import OP4_SQL, op4_mixing
 from assay.llm.quality_knn import op8_quality_knn
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op4_mixing, op8_quality_knn)}
-SQL = {"op4_mixing": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op4_mixing, op6_line_runs, op8_quality_knn, op9_decontaminate)}
+SQL = {"op4_mixing": OP4_SQL, "op6_line_runs": OP6_SQL}
