@@ -7,6 +7,7 @@ from assay.llm.line_crf import op1_line_crf
 from assay.llm.line_dedup import OP6_SQL, op6_line_runs
 from assay.llm.mixing import OP4_SQL, op4_mixing
 from assay.llm.quality_knn import op8_quality_knn
+from assay.llm.sketch_join import OP3_SQL, op3_sketch_join
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op4_mixing, op6_line_runs, op8_quality_knn, op9_decontaminate)}
-SQL = {"op4_mixing": OP4_SQL, "op6_line_runs": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op3_sketch_join, op4_mixing, op6_line_runs, op8_quality_knn, op9_decontaminate)}
+SQL = {"op3_sketch_join": OP3_SQL, "op4_mixing": OP4_SQL, "op6_line_runs": OP6_SQL}
