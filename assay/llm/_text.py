@@ -136,17 +136,16 @@ def sums(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost minimum of each window of w values."""
+    """Index of the leftmost minimum, by upper halves, of each window of w values."""
     n = len(x) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     pad = -len(x) % w
-    # Low bits give way to the position, so that one minimum finds value and leftmost place.
-    bits = max(1, (len(x) + pad).bit_length())
+    # The upper half of a value and its position: one minimum finds both, and equal windows agree.
     keyed = np.full(len(x) + pad, np.iinfo(np.uint64).max, np.uint64)
-    keyed[: len(x)] = (x >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(x), dtype=np.uint64)
+    keyed[: len(x)] = (x >> np.uint64(32) << np.uint64(32)) | np.arange(len(x), dtype=np.uint64)
     block = keyed.reshape(-1, w)
     left = np.minimum.accumulate(block, axis=1).ravel()
     right = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     best = np.minimum(right[:n], left[w - 1 : w - 1 + n])
-    return (best & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
