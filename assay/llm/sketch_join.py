@@ -30,7 +30,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Pieces beyond those that the pigeonhole needs.
 SPARE = 8
-#: Bits of the short sketch that goes with a candidate; rows of a group compared at once; members verified at once.
+#: Fewest bits of the short sketch that goes with a candidate; rows of a group compared at once; members verified at once.
 SHORT_BITS, BLOCK, VERIFY = 512, 2048, 256
 #: Piece hashes that a map task gathers before it hands them out.
 FLUSH = 1 << 20
@@ -60,14 +60,19 @@ def nodes_of(row: np.ndarray, x: np.ndarray, rows: int) -> tuple[np.ndarray, np.
     return n, (mixed(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
-def short_sketches(row: np.ndarray, x: np.ndarray, rows: int) -> np.ndarray:
-    """Parity sketches of SHORT_BITS bits, as rows of uint64."""
-    bit = np.bincount(row * SHORT_BITS + (x % np.uint64(SHORT_BITS)).astype(np.int64), minlength=rows * SHORT_BITS) & 1
-    return np.packbits(bit.astype(np.uint8).reshape(rows, SHORT_BITS), axis=1).view(np.uint64)
+def short_sketches(row: np.ndarray, x: np.ndarray, rows: int) -> list[bytes]:
+    """Parity sketches, each of the power of two of bits that isn't less than the set's size."""
+    n = np.bincount(row, minlength=rows)
+    bits = np.maximum(SHORT_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    end = np.cumsum(bits)
+    at = (end - bits)[row] + (x & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    flat = np.packbits((np.bincount(at, minlength=int(end[-1]) if rows else 0) & 1).astype(np.uint8))
+    return [flat[s:e].tobytes() for s, e in zip(((end - bits) // 8).tolist(), (end // 8).tolist(), strict=True)]
 
 
-def band_of(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.searchsorted(_edges(percent), n, "right")
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as uint64, folded to `size` bytes: what the set's sketch of so many bits is."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, size // 8), axis=0)
 
 
 def _edges(percent: int) -> np.ndarray:
@@ -120,7 +125,7 @@ def shingle_nodes(docs: DataFrame) -> DataFrame:
                 n, node = nodes_of(row, x, j - i)
                 sketch = short_sketches(row, x, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(n), pa.array(node, mask=n == 0), pa.array([s.tobytes() for s in sketch], pa.binary())],
+                    [b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketch, pa.binary())],
                     ["doc_id", "t", "n_shingles", "node", "sketch"],
                 )
 
@@ -242,7 +247,9 @@ def _near(groups: DataFrame, percent: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
         node, root, n = (got.column(c).to_numpy() for c in ("node", "root", "n"))
-        sketch = np.frombuffer(b"".join(got.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        sketch = got.column("sketch").to_pylist()
+        least = min(map(len, sketch))
+        sketch = np.stack([folded(x, least) for x in sketch])
         order = np.argsort(node)
         node, root, n, sketch = node[order], root[order], n[order], sketch[order]
         for s in range(0, len(node), 64):
@@ -306,8 +313,8 @@ def _possible(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, SHORT_BITS // 64) for c in ("p", "q"))
-            ok = pa.array(np.bitwise_count(p ^ q).sum(1) <= b.column("budget").to_numpy())
+            rows = zip(*(b.column(c).to_pylist() for c in ("p", "q", "budget")), strict=True)
+            ok = pa.array([bool(np.bitwise_count(folded(p, least) ^ folded(q, least)).sum() <= budget) for p, q, budget in rows if (least := min(len(p), len(q)))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
     return both.mapInArrow(close, "a long, b long")
