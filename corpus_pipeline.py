@@ -1,15 +1,24 @@
-"""The corpus pipeline: four stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from assay.llm._state import keep
+from assay.llm.decontaminate import decontaminate_stage
+from assay.llm.line_dedup import line_dedup_stage
 from assay.llm.mixing import mixing_stage
 from assay.llm.quality_knn import quality_stage
+from assay.llm.sketch_join import jaccard_stage
 
-STAGES = [("quality classifier", quality_stage), ("mixing", mixing_stage)]
-#: The classifier's votes can't be expressed in SQL.
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", jaccard_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("mixing sources", mixing_stage),
+]
+#: The classifier's votes and the edit distances of decontamination can't be expressed in SQL.
 ORACLE_SQL = None
 
 
