@@ -1,0 +1 @@
+"""Spark-native evaluation of retrieval-augmented answers."""
