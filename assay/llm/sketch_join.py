@@ -5,7 +5,8 @@ sketches is at most the symmetric difference of the sets. Two sets of sizes n1,
 similarity t or more differ in at most D = (n1 + n2) (1 - t) / (1 + t) shingles. In each size band
 the sketch is cut in D + 1 + SPARE pieces: at least 1 + SPARE of them are equal, so documents meet
 on the hash of an equal piece. Empty pieces say little: a document with at most SPARE of them needn't
-offer them, as one of the equal pieces then isn't empty.
+offer them, as one of the equal pieces then isn't empty. A document that shares fewer of the pieces it
+offers than that leaves, such as one that only has a common passage with others, links with nothing.
 
 Equal sets are one node. Groups that share a piece are joined to one member each (a star); pairs of
 the rest are looked at only where verified links don't connect them yet, so a group of copies costs
@@ -29,7 +30,7 @@ SHINGLE = 5
 #: Similarity as hundredths, compared in integers.
 PERCENT = 80
 #: Pieces beyond those that the pigeonhole needs.
-SPARE = 8
+SPARE = 12
 #: Fewest bits of the short sketch that goes with a candidate; rows of a group compared at once; members verified at once.
 SHORT_BITS, BLOCK, VERIFY = 512, 2048, 256
 #: Piece hashes that a map task gathers before it hands them out.
@@ -83,30 +84,46 @@ def _edges(percent: int) -> np.ndarray:
     return np.array(out)
 
 
-def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and keys of the sketch pieces that each document offers, in its own band and the next."""
+def _layout(row: np.ndarray, wide: np.ndarray, rows: int, up: int, percent: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In the band that is up above a set's own: band, first piece of each row, piece of each shingle, shingles in each piece."""
     n = np.bincount(row, minlength=rows)
     edges = _edges(percent)
-    own = np.searchsorted(edges, n, "right")
+    band = np.searchsorted(edges, n, "right") + up
+    budget = 2 * (edges[band] - 1) * (100 - percent) // (100 + percent)
+    count = np.where(n > 0, budget + 1 + spare, 0)
+    first = np.concatenate(([0], np.cumsum(count)))
+    piece = first[row] + ((wide >> np.uint64(32)) * count[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    return band, first, piece, np.bincount(piece, minlength=int(first[-1]))
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    return mixed(x ^ np.uint64(0x5851F42D4C957F2D))
+
+
+def _empty(first: np.ndarray, held: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0], np.cumsum(held == 0)))
+    return total[first[1:]] - total[first[:-1]]
+
+
+def needed(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT, spare: int = SPARE) -> np.ndarray:
+    """How many offered pieces a set shares at least with any set that it links with."""
+    empty = np.max([_empty(first, held) for _, first, _, held in (_layout(row, _wide(x), rows, up, percent, spare) for up in (0, 1))], axis=0)
+    return np.where(empty <= spare, 1 + spare - empty, 1)
+
+
+def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and keys of the sketch pieces that each document offers, in its own band and the next."""
     out_row, out_key = [], []
-    wide = mixed(x ^ np.uint64(0x5851F42D4C957F2D))
+    wide = _wide(x)
     for up in (0, 1):
-        band = own + up
-        most = edges[band] - 1
-        budget = 2 * most * (100 - percent) // (100 + percent)
-        count = np.where(n > 0, budget + 1 + spare, 0)
-        first = np.concatenate(([0], np.cumsum(count)))
-        piece = first[row] + ((wide >> np.uint64(32)) * count[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total = int(first[-1])
+        band, first, piece, held = _layout(row, wide, rows, up, percent, spare)
         order = np.argsort(piece, kind="stable")
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide[order])))
-        held = np.bincount(piece, minlength=total)
         end = np.cumsum(held)
         value = sums[end] - sums[end - held]
-        of = np.repeat(np.arange(rows), count)
-        place = np.arange(total) - first[of]
-        empty = np.bincount(of, held == 0, minlength=rows)
-        offer = (held > 0) | (empty[of] > spare)
+        of = np.repeat(np.arange(rows), np.diff(first))
+        place = np.arange(len(held)) - first[of]
+        offer = (held > 0) | (_empty(first, held)[of] > spare)
         salt = mixed((band[of].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
         key = mixed(value + salt + held.astype(np.uint64))
         out_row.append(of[offer])
@@ -114,8 +131,8 @@ def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT, sp
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def shingle_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), n_shingles, node (null without words), sketch of each row."""
+def shingle_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, node (null without words), need (of needed()), sketch of each row."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +142,11 @@ def shingle_nodes(docs: DataFrame) -> DataFrame:
                 n, node = nodes_of(row, x, j - i)
                 sketch = short_sketches(row, x, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(n), pa.array(node, mask=n == 0), pa.array(sketch, pa.binary())],
-                    ["doc_id", "t", "n_shingles", "node", "sketch"],
+                    [b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(n), pa.array(node, mask=n == 0), pa.array(needed(row, x, j - i, percent)), pa.array(sketch, pa.binary())],
+                    ["doc_id", "t", "n_shingles", "node", "need", "sketch"],
                 )
 
-    return rows.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n_shingles long, node long, sketch binary")
+    return rows.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n_shingles long, node long, need long, sketch binary")
 
 
 def _dealt(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -172,7 +189,7 @@ def _dealt(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
-    """sig, node: for each distinct set of nodes that meet on a piece, its members."""
+    """sig, node, keys: for each distinct set of nodes that meet on pieces, its members and on how many."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes = [], []
@@ -196,13 +213,23 @@ def _shared(dealt: DataFrame) -> DataFrame:
         size = np.diff(np.append(first, len(key)))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(node.astype(np.uint64)))))
         sig = mixed(total[first + size] - total[first] + size.astype(np.uint64)).view(np.int64)
-        _, once = np.unique(sig, return_index=True)
-        once = once[size[once] > 1]
+        _, once, times = np.unique(sig, return_index=True, return_counts=True)
+        once, times = once[size[once] > 1], times[size[once] > 1]
         at = np.repeat(first[once] - np.concatenate(([0], np.cumsum(size[once])[:-1])), size[once]) + np.arange(size[once].sum()) if len(once) else np.zeros(0, np.int64)
         for s in range(0, len(at), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig[once], size[once])[s : s + (1 << 18)]), pa.array(node[at[s : s + (1 << 18)]])], ["sig", "node"])
+            e = s + (1 << 18)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sig[once], size[once])[s:e]), pa.array(node[at[s:e]]), pa.array(np.repeat(times, size[once])[s:e])], ["sig", "node", "keys"])
+
+    return dealt.groupBy("bucket").applyInArrow(find, "sig long, node long, keys long").groupBy("sig", "node").agg(F.sum("keys").alias("keys"))
+
 
-    return dealt.groupBy("bucket").applyInArrow(find, "sig long, node long").distinct()
+def _enough(groups: DataFrame, info: DataFrame) -> DataFrame:
+    """groups of the nodes that share pieces enough to link with anything, if two or more are left."""
+    need = info.where("node IS NOT NULL").groupBy("node").agg(F.first("need").alias("need"))
+    able = groups.groupBy("node").agg(F.sum("keys").alias("keys")).join(need, "node").where("keys >= need").select("node")
+    rest = groups.join(able, "node", "left_semi").select("sig", "node")
+    several = rest.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
+    return rest.join(several, "sig", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -273,10 +300,12 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     the least unless it is alone. An empty table gives an empty one."""
     spark = docs.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    info = keep(shingle_nodes(docs), "shingle-nodes")
-    groups = keep(_shared(_dealt(docs, buckets, percent)), "sketch-groups")
+    info = keep(shingle_nodes(docs, percent), "shingle-nodes")
+    met = keep(_shared(_dealt(docs, buckets, percent)), "sketch-met")
+    groups = keep(_enough(met, info), "sketch-groups")
+    drop(met)
     node = info.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    node = keep(node.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t"), "n", "sketch").join(groups.select("node").distinct(), "node", "left_semi"), "sketch-met")
+    node = keep(node.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t"), "n", "sketch").join(groups.select("node").distinct(), "node", "left_semi"), "sketch-nodes")
     same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t"))
     own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").alias("d")
     texts = keep(own.join(node.select("node", "doc_id", "t").alias("m"), same).select("m.node", "d.text").dropDuplicates(["node"]), "sketch-texts")
