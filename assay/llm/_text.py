@@ -67,7 +67,7 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], raw[off[0] : off[-1]]
 
 
-def slices(off: np.ndarray, most_bytes: int = 1 << 20, most_rows: int = 256) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most_bytes: int = 1 << 18, most_rows: int = 256) -> Iterator[tuple[int, int]]:
     """Row ranges of bounded size; a longer row comes alone."""
     i, n = 0, len(off) - 1
     while i < n:
@@ -77,7 +77,7 @@ def slices(off: np.ndarray, most_bytes: int = 1 << 20, most_rows: int = 256) ->
         i = j
 
 
-def parts(col: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(col: pa.Array, most_bytes: int = 1 << 18, most_rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """slices() of a string column with each one's own offsets and bytes."""
     off, data = utf8(col)
     for i, j in slices(off, most_bytes, most_rows):

@@ -47,17 +47,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, spans_ = (np.zeros(b.num_rows, np.int64) for _ in range(3))
-            kept = []
             for i, j, off, data in parts(b.column("text")):
                 _, out = removed(units, off, data, b.column("_sure").slice(i, j - i), b.column("_hits").slice(i, j - i))
-                for d in range(j - i):
-                    s, e = off[d], off[d + 1]
+                gone, pieces, kept = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), []
+                for d, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                     lost = out[s:e]
-                    n[i + d], gone[i + d] = e - s, lost.sum()
-                    spans_[i + d] = np.count_nonzero(np.diff(lost.astype(np.int8), prepend=0) == 1)
-                    kept.append(data[s:e][~lost].tobytes() if gone[i + d] else data[s:e].tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-4]), pa.array(n), pa.array(gone), pa.array(spans_), pa.array(kept, pa.binary())], names)
+                    gone[d] = lost.sum()
+                    pieces[d] = np.count_nonzero(np.diff(lost.astype(np.int8), prepend=0) == 1)
+                    kept.append((data[s:e][~lost] if gone[d] else data[s:e]).tobytes())
+                own = [b.column(c).slice(i, j - i) for c in names[:-4]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(off)), pa.array(gone), pa.array(pieces), pa.array(kept, pa.binary())], names)
 
     more = [T.StructField(c, T.LongType()) for c in names[-4:-1]] + [T.StructField("kept", T.BinaryType())]
     return joined(known, settled, hits).mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))

@@ -102,13 +102,12 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, context: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, gone, kept = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
             for i, j, off, data in parts(b.column("text")):
                 _, out = removed(units, off, data, b.column("_sure").slice(i, j - i), b.column("_hits").slice(i, j - i))
                 words = Words(off, data)
-                n[i:j], gone[i:j] = words.count, np.bincount(words.row, out, minlength=j - i)
-                kept += _kept(words, data, off, ~out)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-3]), pa.array(n), pa.array(gone), pa.array(kept, pa.string())], names)
+                gone, kept = np.bincount(words.row, out, minlength=j - i).astype(np.int64), _kept(words, data, off, ~out)
+                own = [b.column(c).slice(i, j - i) for c in names[:-3]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(words.count), pa.array(gone), pa.array(kept, pa.string())], names)
 
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     return joined(known, settled, hits).mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))
