@@ -223,13 +223,26 @@ def _shared(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(find, "sig long, node long, keys long").groupBy("sig", "node").agg(F.sum("keys").alias("keys"))
 
 
-def _enough(groups: DataFrame, info: DataFrame) -> DataFrame:
-    """groups of the nodes that share pieces enough to link with anything, if two or more are left."""
-    need = info.where("node IS NOT NULL").groupBy("node").agg(F.first("need").alias("need"))
-    able = groups.groupBy("node").agg(F.sum("keys").alias("keys")).join(need, "node").where("keys >= need").select("node")
-    rest = groups.join(able, "node", "left_semi").select("sig", "node")
-    several = rest.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
-    return rest.join(several, "sig", "left_semi")
+def _enough(groups: DataFrame, need: DataFrame) -> DataFrame:
+    """sig, node, keys, hub: groups without the nodes that share too few pieces to link with anything, if two
+    or more are left. hub is the member that shares most pieces. need: node, need."""
+    able = groups.groupBy("node").agg(F.sum("keys").alias("all")).join(need, "node").where("all >= need").select("node", "all")
+    rest = groups.join(able, "node")
+    several = rest.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max(F.struct("all", "node")).alias("h")).where("x <> y").select("sig", F.col("h.node").alias("hub"))
+    return rest.drop("all").join(several, "sig")
+
+
+def _apart(groups: DataFrame, root: DataFrame, need: DataFrame) -> DataFrame:
+    """sig, node, root of groups whose members have different roots, without the nodes that share too few
+    pieces in such groups: what links across roots shares as many pieces there as any link needs."""
+    rows = groups.select("sig", "node", "keys").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for _ in range(2):
+        mixed_up = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+        rows = keep(rows.join(mixed_up, "sig", "left_semi"), "sketch-apart")
+        able = rows.groupBy("node").agg(F.sum("keys").alias("all")).join(need, "node").where("all >= need").select("node")
+        rows = rows.join(able, "node", "left_semi")
+    mixed_up = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return rows.join(mixed_up, "sig", "left_semi").select("sig", "node", "root")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -292,7 +305,7 @@ def _near(groups: DataFrame, percent: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
-    """doc_id, t, n_shingles, component_id of each row of docs (doc_id, text).
+    """doc_id, t, n_shingles, component_id, root (of the component; null without words) of each row of docs (doc_id, text).
 
     Documents link where their sets of distinct 5-word shingles (A-Z lower-cased) have a Jaccard
     similarity of percent / 100 or more; component_id is the least doc_id that links reach. Without
@@ -302,7 +315,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     info = keep(shingle_nodes(docs, percent), "shingle-nodes")
     met = keep(_shared(_dealt(docs, buckets, percent)), "sketch-met")
-    groups = keep(_enough(met, info), "sketch-groups")
+    need = info.where("node IS NOT NULL").groupBy("node").agg(F.first("need").alias("need"))
+    groups = keep(_enough(met, need), "sketch-groups")
     drop(met)
     node = info.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     node = keep(node.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t"), "n", "sketch").join(groups.select("node").distinct(), "node", "left_semi"), "sketch-nodes")
@@ -311,26 +325,21 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     texts = keep(own.join(node.select("node", "doc_id", "t").alias("m"), same).select("m.node", "d.text").dropDuplicates(["node"]), "sketch-texts")
 
     # A star for each group, around the member that meets others most often.
-    often = groups.groupBy("node").agg(F.count(F.lit(1)).alias("often"))
-    ranked = groups.join(often, "node")
-    hub = ranked.groupBy("sig").agg(F.max(F.struct("often", "node")).alias("hub")).select("sig", F.col("hub.node").alias("a"))
-    stars = groups.join(hub, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    stars = groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     light = node.select("node", "n", "sketch")
     stars = _possible(stars, light, percent)
     links = keep(_verified(keep(stars, "sketch-stars"), texts, percent), "sketch-links")
     root = keep(components(links), "sketch-roots")
 
     # What the stars leave apart: pairs of a group whose members have different roots.
-    rooted = groups.join(root, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    pairs = keep(_near(rooted.join(apart, "sig", "left_semi").join(light, "node"), percent), "sketch-pairs")
+    pairs = keep(_near(_apart(groups, root, need).join(light, "node"), percent), "sketch-pairs")
     more = keep(_verified(pairs, texts, percent), "sketch-more")
     if more.limit(1).count():
         root = keep(components(links.unionByName(more)), "sketch-roots")
 
     rooted = info.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "t", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return rooted.join(least, "root", "left").select("doc_id", "t", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "root")
 
 
 def _possible(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
@@ -372,10 +381,10 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(m.component_id, d.d
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one with its least id; of equal rows one."""
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
+    keyed = docs.withColumn("__t", F.xxhash64("text"))
     found = similar_components(docs.select("doc_id", "text"))
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "t")).alias("at"))
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("at"))
     alone = found.where("n_shingles = 0").select("doc_id", "t")
     stay = first.select("at.doc_id", "at.t").unionByName(alone).distinct().alias("s")
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._t") == F.col("s.t"))
-    return keyed.alias("d").join(stay, same, "left_semi").dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__t") == F.col("s.t"))
+    return keyed.alias("d").join(stay, same, "left_semi").dropDuplicates(["doc_id", "__t"]).select(*docs.columns)
