@@ -8,9 +8,10 @@ from assay.llm.line_dedup import OP6_SQL, op6_line_runs
 from assay.llm.mixing import OP4_SQL, op4_mixing
 from assay.llm.quality_knn import op8_quality_knn
 from assay.llm.radix_dedup import op7_radix_dedup
+from assay.llm.revisits import OP5_SQL, op5_revisits
 from assay.llm.sketch_join import OP3_SQL, op3_sketch_join
 from assay.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from assay.llm.tool_calls import OP2_SQL, op2_tool_calls
 
-QUERIES = {f.__name__: f for f in (op1_line_crf, op2_tool_calls, op3_sketch_join, op4_mixing, op6_line_runs, op7_radix_dedup, op8_quality_knn, op9_decontaminate, op10_suffix_dedup)}
-SQL = {"op2_tool_calls": OP2_SQL, "op3_sketch_join": OP3_SQL, "op4_mixing": OP4_SQL, "op6_line_runs": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_line_crf, op2_tool_calls, op3_sketch_join, op4_mixing, op5_revisits, op6_line_runs, op7_radix_dedup, op8_quality_knn, op9_decontaminate, op10_suffix_dedup)}
+SQL = {"op2_tool_calls": OP2_SQL, "op3_sketch_join": OP3_SQL, "op4_mixing": OP4_SQL, "op5_revisits": OP5_SQL, "op6_line_runs": OP6_SQL, "op10_suffix_dedup": OP10_SQL}
