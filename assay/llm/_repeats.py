@@ -80,7 +80,7 @@ class Runs:
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("uid", F.xxhash64(F.col("doc_id"), F.col("text")))
+    return docs.withColumn("__uid", F.xxhash64(F.col("doc_id"), F.col("text")))
 
 
 def _pack(local: bool, bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
@@ -168,7 +168,7 @@ def by_row(settled: DataFrame) -> DataFrame:
 
 
 def runs_settled(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """First passes: uid, sure, open (spans of runs) of the rows that share any context. docs: uid, text."""
+    """First passes: uid, sure, open (spans of runs) of the rows that share any context. docs: with_uid()."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -180,7 +180,7 @@ def runs_settled(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
                 context, span, uid = (np.concatenate(x) for x in zip(*got, strict=True))
                 yield from deal([context, span], uid, span.view(np.int64), (context % np.uint64(buckets)).astype(np.int64))
 
-    packed = keep(docs.select("uid", "text").mapInArrow(emit, PACKED), "repeat-runs")
+    packed = keep(docs.select(F.col("__uid").alias("uid"), "text").mapInArrow(emit, PACKED), "repeat-runs")
     remote = packed.where("NOT local").groupBy("bucket").applyInArrow(radix_settle, SETTLED)
     settled = keep(by_row(remote.unionByName(local_rows(packed))), "repeat-settled")
     drop(packed)
@@ -196,7 +196,7 @@ def within(refs: pa.ListArray, row: np.ndarray, ref: np.ndarray) -> np.ndarray:
 
 def open_windows(docs: DataFrame, settled: DataFrame, units: Units, digits_of, bucket_of) -> DataFrame:
     """PACKED windows of the open runs: digits_of(runs, run, start) are their digits, bucket_of(digits) where they go; ref is the start within the row."""
-    rows = docs.select("uid", "text").join(settled.where(F.size("open") > 0).select("uid", "open"), "uid")
+    rows = docs.select(F.col("__uid").alias("uid"), "text").join(settled.where(F.size("open") > 0).select("uid", "open"), "uid")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +225,8 @@ def removed(units: Units, off: np.ndarray, data: np.ndarray, sure: pa.ListArray,
 
 
 def joined(docs: DataFrame, settled: DataFrame, hits: DataFrame) -> DataFrame:
-    """docs (with uid) with sure and hits, arrays that may be empty."""
+    """docs (of with_uid()) with __sure and __hits, arrays that may be empty."""
     none = F.array().cast("array<long>")
-    out = docs.join(settled.select("uid", F.col("sure").alias("_sure")), "uid", "left").join(hits.select("uid", F.col("sure").alias("_hits")), "uid", "left")
-    return out.withColumns({"_sure": F.coalesce("_sure", none), "_hits": F.coalesce("_hits", none)}).drop("uid")
+    sure = lambda df, name: df.select(F.col("uid").alias("__uid"), F.col("sure").alias(name))
+    out = docs.join(sure(settled, "__sure"), "__uid", "left").join(sure(hits, "__hits"), "__uid", "left")
+    return out.withColumns({"__sure": F.coalesce("__sure", none), "__hits": F.coalesce("__hits", none)}).drop("__uid")

@@ -116,13 +116,13 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     for ones named n_lines or n_dropped, which ours replace."""
     docs = docs.drop("n_lines", "n_dropped")
     gone = repeated_lines(keep(line_keys(docs, least_chars), "lines"), least_docs, batches)
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_t": F.xxhash64("text")})
-    own = own.join(gone.withColumnsRenamed({"id": "_id", "t": "_t", "drop": "_drop"}), ["_id", "_t"], "left").drop("_id", "_t")
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__t": F.xxhash64("text")})
+    own = own.join(gone.withColumnsRenamed({"id": "__id", "t": "__t", "drop": "__drop"}), ["__id", "__t"], "left").drop("__id", "__t")
     at, names = docs.columns.index("text"), [*docs.columns, "n_lines", "n_dropped"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, gone = b.column("text"), b.column("_drop")
+            texts, gone = b.column("text"), b.column("__drop")
             kept, count = texts.to_pylist(), np.ones(b.num_rows, np.int64)
             size = np.zeros(b.num_rows, np.int64)
             for i, (text, lost) in enumerate(zip(kept, gone.to_pylist(), strict=True)):

@@ -88,11 +88,11 @@ def mix(docs: DataFrame) -> DataFrame:
     have size 0; null sources are a source of their own, last; rows of equal id and size share their
     fate. An empty table gives an empty one."""
     docs = docs.drop("size", "source_size", "target", "taken")
-    sized = docs.withColumn("size", size_of()).withColumn("_h", hash_of("doc_id", "size"))
-    cut = keep(thresholds(keep(sized.select("source", "size", F.col("_h").alias("h")), "mix-sizes")), "mix-cuts")
-    cut = cut.withColumnRenamed("source", "_source").withColumnRenamed("copies", "_copies").withColumnRenamed("cut", "_cut")
-    both = sized.join(_sized(cut), F.col("source").eqNullSafe(F.col("_source")))
-    taken = F.col("size") * (F.col("_copies") + (F.col("_h") <= F.col("_cut")).cast("long"))
+    sized = docs.withColumn("size", size_of()).withColumn("__h", hash_of("doc_id", "size"))
+    cut = keep(thresholds(keep(sized.select("source", "size", F.col("__h").alias("h")), "mix-sizes")), "mix-cuts")
+    cut = cut.withColumnRenamed("source", "__source").withColumnRenamed("copies", "__copies").withColumnRenamed("cut", "__cut")
+    both = sized.join(_sized(cut), F.col("source").eqNullSafe(F.col("__source")))
+    taken = F.col("size") * (F.col("__copies") + (F.col("__h") <= F.col("__cut")).cast("long"))
     return both.withColumn("taken", taken.cast("long")).select(*docs.columns, "size", "source_size", "target", "taken")
 
 

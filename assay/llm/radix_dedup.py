@@ -19,7 +19,7 @@ WINDOW, CONTEXT = 400, 240
 
 
 def repeated_windows(docs: DataFrame, units: Units, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs (uid, text): the settled runs and the repeated windows of open ones, each by row."""
+    """Of docs (of with_uid()): the settled runs and the repeated windows of open ones, each by row."""
     settled = runs_settled(docs, units, buckets)
 
     def digits(runs: Runs, run: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, off, data in parts(b.column("text")):
-                _, out = removed(units, off, data, b.column("_sure").slice(i, j - i), b.column("_hits").slice(i, j - i))
+                _, out = removed(units, off, data, b.column("__sure").slice(i, j - i), b.column("__hits").slice(i, j - i))
                 gone, pieces, kept = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), []
                 for d, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                     lost = out[s:e]

@@ -103,7 +103,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, context: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, off, data in parts(b.column("text")):
-                _, out = removed(units, off, data, b.column("_sure").slice(i, j - i), b.column("_hits").slice(i, j - i))
+                _, out = removed(units, off, data, b.column("__sure").slice(i, j - i), b.column("__hits").slice(i, j - i))
                 words = Words(off, data)
                 gone, kept = np.bincount(words.row, out, minlength=j - i).astype(np.int64), _kept(words, data, off, ~out)
                 own = [b.column(c).slice(i, j - i) for c in names[:-3]]
