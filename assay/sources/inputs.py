@@ -41,15 +41,16 @@ def stripped(c: Column) -> Column:
 
 
 def read_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(idx and record, a variant, of each element; issues of the file). Nothing is read of a file that can't be used.
+    """(idx, record, a variant, and raw, its JSON text with the order of keys, of each element; issues of the file). Nothing is read of a file that can't be used.
 
     An array file is one JSON value, so it is one row; tables of any size come in as DataFrames instead."""
     if not exists(spark, path):
         lost = spark.createDataFrame([(path,)], "p string")
-        return spark.sql("SELECT 0 AS idx, parse_json('null') AS record WHERE false"), issues(lost, "FILE_NOT_FOUND", F.col("p"), F.lit("no such file"))
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).withColumn("kind", F.schema_of_variant("v"))
+        return spark.sql("SELECT 0 AS idx, parse_json('null') AS record, '' AS raw WHERE false"), issues(lost, "FILE_NOT_FOUND", F.col("p"), F.lit("no such file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.try_parse_json("value").alias("v")).withColumn("kind", F.schema_of_variant("v"))
     bad = issues(whole.where("v IS NULL"), "INVALID_JSON", F.lit(path), F.lit("not JSON")).unionByName(issues(whole.where("kind NOT LIKE 'ARRAY%'"), "NOT_AN_ARRAY", F.lit(path), F.lit("the top level is no array")))
-    rows = whole.where("kind LIKE 'ARRAY%'").select(F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("idx", "record"))
+    both = F.arrays_zip(F.variant_get("v", "$", "array<variant>").alias("record"), F.from_json("value", "array<string>").alias("raw"))
+    rows = whole.where("kind LIKE 'ARRAY%'").select(F.posexplode(both).alias("idx", "e")).select("idx", "e.record", "e.raw")
     return rows, bad
 
 
@@ -95,7 +96,7 @@ def load_inputs(spark: SparkSession, kb_path: str, queries_path: str, answers_pa
     given = F.from_json(F.to_json("record"), "answers map<string,variant>")["answers"]
     values = F.map_values(F.transform_values(given, lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))))
     ok = F.coalesce((F.size(given) > 0) & F.forall(F.map_keys(given), lambda k: stripped(k) != "") & F.forall(values, lambda t: t == "STRING"), F.lit(False))
-    answers, bad = _checked(raw["answers"], answers_path, "query_id", {"query_id": _text("query_id"), "answers": (F.when(ok, F.from_json(F.to_json("record"), "answers map<string,string>")["answers"]), ~ok)})
+    answers, bad = _checked(raw["answers"], answers_path, "query_id", {"query_id": _text("query_id"), "answers": (F.when(ok, F.from_json("raw", "answers map<string,string>")["answers"]), ~ok)})
     found.append(bad)
     for name, path, table in (("KB", kb_path, kb), ("QUERIES", queries_path, queries), ("ANSWERS", answers_path, answers)):
         if not table.limit(1).count():
