@@ -31,9 +31,9 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 
 
-def lower_headers(headers: Column) -> Column:
-    """Headers with lower-case names; of several of one name the last; null is none."""
-    entries = F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>"))
+def lower_headers(entries: Column) -> Column:
+    """Header entries as a map with lower-case names; of several of one name the last; null is none."""
+    entries = F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>"))
     names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"]))))
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == n), -1)["value"].alias("value"))))
 
@@ -63,18 +63,24 @@ def as_of(records: DataFrame, slot: int = SLOT) -> DataFrame:
 def resolve_revisits(records: DataFrame, slot: int = SLOT) -> DataFrame:
     """One row for each revisit: record_id, key, response_id, outcome, headers, payload.
 
-    records: record_id (unique), url, ts (whole number), full (true for a full response), headers (map), payload. A
-    revisit takes the latest full response of its canonical URL that isn't later. Its validators are
+    records: record_id, url, ts (whole number), full (true for a full response), headers (map), payload; other
+    columns are left out, and rows without a record_id; of rows of one record_id the first by url, ts and kind
+    counts. A revisit takes the latest full response of its canonical URL that isn't later. Its validators are
     checked: an ETag of both must be equal (a weak mark W/ doesn't count), without one of both
     Last-Modified must be; with neither the outcome is unvalidated, and the payload is taken too.
     Outcomes: resolved, unvalidated, changed (validators differ), missing (no response), invalid (no
     URL or time). Only the first two have headers and a payload. Null full counts as a revisit."""
-    base = records.select("record_id", canonical_url(F.col("url")).alias("key"), F.col("ts").cast("long").alias("ts"), F.coalesce("full", F.lit(False)).alias("full"), lower_headers(F.col("headers")).alias("headers"))
-    light = keep(base, "warc-records")
+    full = F.coalesce("full", F.lit(False))
+    entries = F.array_sort(F.map_entries("headers"))  # maps have no order, arrays do
+    # The payload's hash stands for it, so that it is neither sorted nor shuffled here.
+    row = F.struct("url", F.col("ts").cast("long").alias("ts"), full.alias("full"), entries.alias("entries"), F.xxhash64("payload").alias("digest"))
+    first = records.where("record_id IS NOT NULL").groupBy("record_id").agg(F.min(row).alias("r"))
+    light = keep(first.select("record_id", canonical_url(F.col("r.url")).alias("key"), "r.ts", "r.full", lower_headers(F.col("r.entries")).alias("headers"), "r.digest"), "warc-records")
     found = as_of(light.drop("headers"), slot)
     mine = light.where("NOT full").join(found, "record_id", "left")
     # Payloads are joined by the id found, once, and never sorted.
-    full = light.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored")).join(records.select(F.col("record_id").alias("response_id"), "payload"), "response_id")
+    bodies = records.where("full").select(F.col("record_id").alias("response_id"), F.xxhash64("payload").alias("digest"), "payload").dropDuplicates(["response_id", "digest"])
+    full = light.where("full").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), "digest").join(bodies, ["response_id", "digest"])
     both = mine.join(full, "response_id", "left")
     pick = lambda m, k: F.try_element_at(F.col(m), F.lit(k))
     tag = lambda m: F.regexp_replace(pick(m, "etag"), "^W/", "")
