@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
-from assay.functions.text import content_terms, stem, tokens, without_stopwords
+from assay.functions.text import content_terms, stem, stems, tokens, without_stopwords
 
 #: A side of a join is broadcast only if it has at most so many rows.
 BROADCAST_ROWS = 200_000
@@ -33,11 +33,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(content_terms(F.col("user_question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(documents: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """doc_id, length, term, tf; of the terms of vocabulary only, if given: others can't score."""
+def postings(documents: DataFrame, vocabulary: DataFrame | None = None, checked: bool = False) -> DataFrame:
+    """doc_id, length, term, tf; of the terms of vocabulary only, if given: others can't score. checked: it is distinct, and sent as it should be."""
     rows = documents.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", stem(F.col("word")).alias("term"))
     if vocabulary is not None:
-        rows = rows.join(if_small(vocabulary.select("term").distinct()), "term", "left_semi")
+        rows = rows.join(vocabulary if checked else if_small(vocabulary.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -45,6 +45,15 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def term_counts(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, df, length: document frequency of the vocabulary's terms; the empty term stands for all documents
+    and their lengths. One scan, and no more than a row for each term and task is shuffled."""
+    terms = F.array_append(F.array_distinct(stems(F.col("words"))), F.lit(""))
+    rows = documents.select("length", F.explode(terms).alias("term"))
+    # Callers have checked the size of the vocabulary where it is to be broadcast.
+    return rows.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
+
+
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -64,9 +73,14 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
     k, k1, b, digits = config["top_k"], config["bm25_k1"], config["bm25_b"], config["score_precision"]
     documents = document_terms(kb)
     asked = query_terms(queries)
-    posted = postings(documents, asked)
-    stats = F.broadcast(corpus_stats(documents))  # one row
-    weighed = posted.join(if_small(document_frequency(posted)), "term").join(stats)
+    terms = asked.select("term").distinct()
+    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    send = F.broadcast if small else lambda table: table  # no table below has more rows than the vocabulary
+    every = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    counts = term_counts(documents, send(every))
+    stats = F.broadcast(counts.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_length")))  # one row
+    posted = postings(documents, send(terms), checked=True)
+    weighed = posted.join(send(counts.where("term <> ''").select("term", "df")), "term").join(stats)
     weight = idf(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
     hits = weighed.select("term", "doc_id", weight.alias("weight")).join(if_small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
     first = F.broadcast(kb.select("doc_id").orderBy("doc_id").limit(k))  # k rows
@@ -76,10 +90,12 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def passages(top: DataFrame, kb: DataFrame) -> DataFrame:
-    """query_id, retrieved: the ranked passages with title and text, only now joined."""
-    # queries times top_k rows, checked before it is broadcast; else the text is shuffled once.
-    ranked = if_small(top, 50_000).join(kb.select("doc_id", "title", "text"), "doc_id")
+def passages(top: DataFrame, kb: DataFrame, queries: DataFrame, most_queries: int = 20_000) -> DataFrame:
+    """query_id, retrieved: the ranked passages with title and text, only now joined.
+
+    top has top_k rows for each query, so a count of the queries tells whether it may be broadcast; else texts are shuffled once."""
+    small = queries.limit(most_queries + 1).count() <= most_queries
+    ranked = (F.broadcast(top) if small else top).join(kb.select("doc_id", "title", "text"), "doc_id")
     row = F.struct("rank", "doc_id", "score", "title", "text")
     bare = lambda p: F.struct(p["doc_id"].alias("doc_id"), p["score"].alias("score"), p["title"].alias("title"), p["text"].alias("text"))
     return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(row)), bare).alias("retrieved"))

@@ -52,7 +52,7 @@ def evaluate(inputs: Inputs, config: dict, log: DataFrame | None = None, live: C
         seconds[name] = round(time.monotonic() - began, 4)
         return kept
 
-    retrieval = timed("retrieval", passages(bm25_topk(inputs.kb, queries, config["retrieval"]), inputs.kb))
+    retrieval = timed("retrieval", passages(bm25_topk(inputs.kb, queries, config["retrieval"]), inputs.kb, queries))
     scores = timed("automated_scores", score_answers(queries, answers, retrieval, config))
     began = time.monotonic()
     reviews, backend, calls = run_judge(queries, answers, retrieval, scores, config, log, live)

@@ -60,8 +60,8 @@ class Tables:
         return rows.select(F.col("conv_id").cast("string").alias("query_id"), F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("variant"), F.col("text").alias("answer"), F.col("conv_id").alias("a_ord"), F.col("turn").alias("v_pos"))
 
     def retrieval(self) -> DataFrame:
-        kb = self.kb()
-        return passages(bm25_topk(kb, self.chats(), CONFIG["retrieval"], SHIFT), kb)
+        kb, chats = self.kb(), self.chats()
+        return passages(bm25_topk(kb, chats, CONFIG["retrieval"], SHIFT), kb, chats)
 
     def scores(self) -> DataFrame:
         return score_answers(self.chats(), self.answers(), self.retrieval(), CONFIG, SHIFT)

@@ -93,7 +93,7 @@ def test_grounding(spark, answer, evidence, precision, quote, lost, score):
 def test_scores_flags_and_notes(spark, files):
     paths = files()
     inputs = load_inputs(spark, paths["kb"], paths["queries"], paths["answers"])
-    retrieval = passages(bm25_topk(inputs.kb, inputs.queries, CONFIG["retrieval"]), inputs.kb)
+    retrieval = passages(bm25_topk(inputs.kb, inputs.queries, CONFIG["retrieval"]), inputs.kb, inputs.queries)
     rows = {(r.query_id, r.variant): r for r in score_answers(inputs.queries, inputs.answers, retrieval, CONFIG).collect()}
     plain, bold = rows["R1", "plain"], rows["R1", "bold"]
     assert plain.risk_flags == ["none"] and plain.retrieval_hit and plain.must_include_pass
