@@ -232,17 +232,13 @@ def _enough(groups: DataFrame, need: DataFrame) -> DataFrame:
     return rest.drop("all").join(several, "sig")
 
 
-def _apart(groups: DataFrame, root: DataFrame, need: DataFrame) -> DataFrame:
-    """sig, node, root of groups whose members have different roots, without the nodes that share too few
-    pieces in such groups: what links across roots shares as many pieces there as any link needs."""
-    rows = groups.select("sig", "node", "keys").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    for _ in range(2):
-        mixed_up = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        rows = keep(rows.join(mixed_up, "sig", "left_semi"), "sketch-apart")
-        able = rows.groupBy("node").agg(F.sum("keys").alias("all")).join(need, "node").where("all >= need").select("node")
-        rows = rows.join(able, "node", "left_semi")
-    mixed_up = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-    return rows.join(mixed_up, "sig", "left_semi").select("sig", "node", "root")
+def _apart(groups: DataFrame, root: DataFrame) -> DataFrame:
+    """hub, node, root: of the groups whose members have different roots, all that meet one hub, once.
+
+    Two members of a group both meet its hub, so all pairs of a group are pairs of its hub's."""
+    rows = groups.select("sig", "node", "hub").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rows.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return rows.join(several, "sig", "left_semi").select("hub", "node", "root").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -275,14 +271,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one group and different roots whose sizes and short sketches allow a link.
+    """Pairs that meet one hub, of different roots, whose sizes and short sketches allow a link.
 
-    groups: sig, node, root, n, sketch. A large group is cut in blocks, and each pair of blocks is a task's."""
-    sized = groups.join(groups.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
+    groups: hub, node, root, n, sketch. A large group is cut in blocks, and each pair of blocks is a task's."""
+    sized = groups.join(groups.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "hub")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.greatest(blocks, F.lit(1)).cast("long")).cast("int")
     rows = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "n", "sketch")
+    rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "n", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
@@ -301,7 +297,7 @@ def _near(groups: DataFrame, percent: int) -> DataFrame:
             a, b = a[far <= budget[a, b]], b[far <= budget[a, b]]
             yield pa.RecordBatch.from_arrays([pa.array(node[s + a]), pa.array(node[b])], ["a", "b"])
 
-    return rows.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
@@ -332,7 +328,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     root = keep(components(links), "sketch-roots")
 
     # What the stars leave apart: pairs of a group whose members have different roots.
-    pairs = keep(_near(_apart(groups, root, need).join(light, "node"), percent), "sketch-pairs")
+    pairs = keep(_near(_apart(groups, root).join(light, "node"), percent), "sketch-pairs")
     more = keep(_verified(pairs, texts, percent), "sketch-more")
     if more.limit(1).count():
         root = keep(components(links.unionByName(more)), "sketch-roots")
