@@ -7,18 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.grounding import NUMBER, unsupported_numbers
+from assay.functions.grounding import unsupported_numbers
 from assay.functions.matching import exact, in_order, matches, rung
-from assay.functions.text import STOPWORDS, SUFFIXES, LEAST_STEM, content_terms, stem, stems, tokens, without_stopwords
+from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms, stem, stems, tokens, without_stopwords
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
 from assay.operators.checks import score_answers
 from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_issues, stub_reviews, stub_winner
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
-from assay.operators.taxonomy import MARKERS, TAGS, failure_tags, has_marker, severity
+from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
 from assay.plans.config import defaults
 
 #: Moves values off rounding ties, where engines differ.
