@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm._state import drop, keep
-from assay.llm._text import BYTE, FOLDED, SPACE, Lines, mixed, parts, prefix, spans, sums
+from assay.llm._text import FOLDED, SPACE, Lines, mixed, parts, prefix, spans, sums
 
 #: Keys of fewer code points stay; keys in fewer documents stay.
 LEAST_CHARS, LEAST_DOCS = 20, 3

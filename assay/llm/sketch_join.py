@@ -14,7 +14,6 @@ its size and not its square."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
