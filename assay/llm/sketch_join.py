@@ -3,10 +3,11 @@
 Each shingle flips one bit of a wide parity sketch of its document, so the Hamming distance of two
 sketches is at most the symmetric difference of the sets. Two sets of sizes n1, n2 with Jaccard
 similarity t or more differ in at most D = (n1 + n2) (1 - t) / (1 + t) shingles. In each size band
-the sketch is cut in D + 1 + SPARE pieces: at least 1 + SPARE of them are equal, so documents meet
-on the hash of an equal piece. Empty pieces say little: a document with at most SPARE of them needn't
-offer them, as one of the equal pieces then isn't empty. A document that shares fewer of the pieces it
-offers than that leaves, such as one that only has a common passage with others, links with nothing.
+the sketch is cut in D + 1 + S pieces: at least 1 + S of them are equal, so documents meet on the
+hash of an equal piece. Empty pieces say little: a document with at most S of them needn't offer
+them, as one of the equal pieces then isn't empty. The spare S grows with D, as the empty pieces do, so
+that long documents needn't either. A document that shares fewer of the pieces it offers than that
+leaves, such as one that only has a common passage with others, links with nothing.
 
 Equal sets are one node. Groups that share a piece are joined to one member each (a star); pairs of
 the rest are looked at only where verified links don't connect them yet, so a group of copies costs
@@ -28,8 +29,9 @@ from assay.llm._text import FOLDED, Words, mixed, parts, prefix, spans
 SHINGLE = 5
 #: Similarity as hundredths, compared in integers.
 PERCENT = 80
-#: Pieces beyond those that the pigeonhole needs.
-SPARE = 12
+#: Pieces beyond those that the pigeonhole needs: so many, and one for each so many differences. A set
+#: in the band above its own has 2.9 shingles for each difference or more, so 9 % of its pieces or fewer are empty.
+SPARE, SPARE_EVERY = 12, 8
 #: Fewest bits of the short sketch that goes with a candidate; rows of a group compared at once; members verified at once.
 SHORT_BITS, BLOCK, VERIFY = 512, 2048, 256
 #: Piece hashes that a map task gathers before it hands them out.
@@ -83,16 +85,17 @@ def _edges(percent: int) -> np.ndarray:
     return np.array(out)
 
 
-def _layout(row: np.ndarray, wide: np.ndarray, rows: int, up: int, percent: int, spare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """In the band that is up above a set's own: band, first piece of each row, piece of each shingle, shingles in each piece."""
+def _layout(row: np.ndarray, wide: np.ndarray, rows: int, up: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In the band that is up above a set's own: band, spare pieces, first piece of each row, piece of each shingle, shingles in each piece."""
     n = np.bincount(row, minlength=rows)
     edges = _edges(percent)
     band = np.searchsorted(edges, n, "right") + up
     budget = 2 * (edges[band] - 1) * (100 - percent) // (100 + percent)
+    spare = SPARE + budget // SPARE_EVERY
     count = np.where(n > 0, budget + 1 + spare, 0)
     first = np.concatenate(([0], np.cumsum(count)))
     piece = first[row] + ((wide >> np.uint64(32)) * count[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-    return band, first, piece, np.bincount(piece, minlength=int(first[-1]))
+    return band, spare, first, piece, np.bincount(piece, minlength=int(first[-1]))
 
 
 def _wide(x: np.ndarray) -> np.ndarray:
@@ -104,25 +107,25 @@ def _empty(first: np.ndarray, held: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def needed(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT, spare: int = SPARE) -> np.ndarray:
+def needed(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT) -> np.ndarray:
     """How many offered pieces a set shares at least with any set that it links with."""
-    empty = np.max([_empty(first, held) for _, first, _, held in (_layout(row, _wide(x), rows, up, percent, spare) for up in (0, 1))], axis=0)
-    return np.where(empty <= spare, 1 + spare - empty, 1)
+    layouts = (_layout(row, _wide(x), rows, up, percent) for up in (0, 1))
+    return np.maximum(1, np.min([1 + spare - _empty(first, held) for _, spare, first, _, held in layouts], axis=0))
 
 
-def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT, spare: int = SPARE) -> tuple[np.ndarray, np.ndarray]:
+def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Rows and keys of the sketch pieces that each document offers, in its own band and the next."""
     out_row, out_key = [], []
     wide = _wide(x)
     for up in (0, 1):
-        band, first, piece, held = _layout(row, wide, rows, up, percent, spare)
+        band, spare, first, piece, held = _layout(row, wide, rows, up, percent)
         order = np.argsort(piece, kind="stable")
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(wide[order])))
         end = np.cumsum(held)
         value = sums[end] - sums[end - held]
         of = np.repeat(np.arange(rows), np.diff(first))
         place = np.arange(len(held)) - first[of]
-        offer = (held > 0) | (_empty(first, held)[of] > spare)
+        offer = (held > 0) | (_empty(first, held) > spare)[of]
         salt = mixed((band[of].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
         key = mixed(value + salt + held.astype(np.uint64))
         out_row.append(of[offer])

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from assay.llm.line_dedup import LineRuns, dedup_lines
 from assay.llm.mixing import WEIGHTS, mix, targets
 from assay.llm.quality_knn import quality_scores
 from assay.llm.radix_dedup import remove_repeats
-from assay.llm.sketch_join import jaccard_stage, similar_components
+from assay.llm.sketch_join import jaccard_stage, needed, pieces, similar_components
 from assay.llm.suffix_dedup import remove_repeated_words
 from assay.llm.tool_calls import link_calls, schema_table
 
@@ -185,6 +186,26 @@ def test_components_of_small_sets_and_chains(spark):
     assert similar_components(table(spark, []).select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 4, 5, 9, 20, 60, 150, 400, 1500, 3000, 5500, 20000])
+def test_linked_sets_share_the_needed_pieces(size):
+    """The pigeonhole at the very edge of a link, within a band and across two; long sets need many shared pieces."""
+    rng = np.random.default_rng(size)
+    for larger in (0, 1, 2):  # differences on both sides, or all on one
+        apart = 2 * size // 9 if larger == 0 else size // 4
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * size + 8, dtype=np.uint64))
+        rng.shuffle(pool)
+        a = pool[:size]
+        b = np.concatenate((a[apart // 2 :], pool[size : size + apart - apart // 2])) if larger == 0 else pool[: size + apart]
+        both = len(np.intersect1d(a, b))
+        assert 100 * both >= 80 * (len(a) + len(b) - both)
+        row, x = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((np.sort(a), np.sort(b)))
+        of, key = pieces(row, x, 2)
+        need = needed(row, x, 2)
+        assert len(np.intersect1d(key[of == 0], key[of == 1])) >= need.max() >= 1
+        if size >= 400:
+            assert need.min() > 1
+
+
 def test_jaccard_stage_keeps_one_of_each(spark):
     rows = corpus()
     out = jaccard_stage(spark, table(spark, rows), "")
