@@ -238,6 +238,12 @@ def bm25_doc_freq(t: Tables) -> DataFrame:
     return document_frequency(postings(document_terms(t.kb()), query_terms(t.questions())))
 
 
+@query(f"WITH {_KB}, {_QUESTIONS}, {_sql_bm25('questions')} SELECT term, df FROM dfs")
+def bm25_corpus_doc_freq(t: Tables) -> DataFrame:
+    """Document frequency of every term of the corpus; bm25_doc_freq has those that a question asks for."""
+    return document_frequency(postings(document_terms(t.kb())))
+
+
 @query(f"WITH {_KB}, {_QUESTIONS}, {_sql_bm25('questions')} SELECT n AS n_docs, round(al, 6) AS avg_length FROM stats")
 def bm25_corpus_stats(t: Tables) -> DataFrame:
     return corpus_stats(document_terms(t.kb())).select("n_docs", F.round("avg_length", 6).alias("avg_length"))

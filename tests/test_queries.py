@@ -35,6 +35,15 @@ def test_agrees(spark, duck, name):
     assert text(got) == text(want)
 
 
+def test_doc_freq_of_the_whole_corpus(spark, duck):
+    """Every term that any document holds is counted, whether or not a question asks for it."""
+    every = {r.term: r.df for r in engine.QUERIES["bm25_corpus_doc_freq"](spark, SF).collect()}
+    words = duck.execute(f"SELECT DISTINCT unnest({engine._sql_terms("coalesce(source, '') || ' ' || coalesce(text, '')")}) FROM documents").fetchall()
+    assert set(every) == {w for (w,) in words}
+    asked = {r.term: r.df for r in engine.QUERIES["bm25_doc_freq"](spark, SF).collect()}
+    assert asked.items() < every.items()
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(engine.QUERIES) == set(engine.SQL)
