@@ -16,7 +16,7 @@ from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms,
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
 from assay.operators.checks import score_answers
-from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_issues, stub_reviews, stub_winner
+from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_reviews, stub_winner
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
 from assay.plans.config import defaults
@@ -462,5 +462,23 @@ def review_validation(t: Tables) -> DataFrame:
     queries = answers.select("query_id").distinct()
     number = F.col("query_id").cast("long") % 4
     entry = F.concat(F.lit('{"query_id":"'), F.col("query_id"), F.lit('","winner":"turn_1","faithfulness":{"turn_1":3},"clarity":{"turn_1":'), F.when(number == 1, "true").otherwise("4"), F.lit('},"overclaim_flags":{"turn_1":false},"justification":"fits"}'))
-    payload = answers.where(number != 0).select(entry.alias("e")).agg(F.concat(F.lit('{"reviews":['), F.array_join(F.collect_list("e"), ","), F.lit("]}")).alias("response"))
-    return review_issues(payload, queries, answers, 1, 5).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    entries = answers.where(number != 0).select(F.col("a_ord").alias("pos"), entry.alias("entry"))
+    return review_entry_issues(entries, queries, answers, 1, 5).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_ANSWERS}, q AS (SELECT DISTINCT query_id, a_ord % 4 AS k FROM answers)
+SELECT 'clarity must be whole numbers from 1 to 5' AS problem, count(*) AS n FROM q WHERE k = 1 HAVING count(*) > 0
+UNION ALL SELECT 'faithfulness must have the variants as keys', count(*) FROM q WHERE k = 2 HAVING count(*) > 0
+UNION ALL SELECT 'no valid review', count(*) FROM q WHERE k < 3 HAVING count(*) > 0""")
+def review_validation_all(t: Tables) -> DataFrame:
+    """A review of every answered query over all its variants: every fourth is left out, the next one scores true, the next one lacks a variant."""
+    answers = t.answers()
+    rows = answers.groupBy("query_id").agg(F.min("a_ord").alias("pos"), F.array_sort(F.collect_set("variant")).alias("v")).withColumn("k", F.col("pos") % 4)
+    of = lambda keys, value: F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda _: F.lit(value))))
+    some = F.when(F.col("k") == 2, F.slice("v", 1, F.size("v") - 1)).otherwise(F.col("v"))
+    entry = F.concat(
+        F.lit('{"query_id":"'), "query_id", F.lit('","winner":"'), F.get("v", 0), F.lit('","faithfulness":'), of(some, 3), F.lit(',"clarity":'), F.when(F.col("k") == 1, of(F.col("v"), True)).otherwise(of(F.col("v"), 4)),
+        F.lit(',"overclaim_flags":'), of(F.col("v"), False), F.lit(',"justification":"fits"}'),
+    )
+    entries = rows.where("k <> 0").select("pos", entry.alias("entry"))
+    return review_entry_issues(entries, answers.select("query_id").distinct(), answers, 1, 5).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from assay.functions.text import content_terms, tokens
 from assay.operators import validate
 from assay.operators.aggregate import recommendation, tradeoffs, verdicts
 from assay.operators.checks import score_answers
-from assay.operators.judge import JudgeUnavailable, long_reviews, review_issues, run_judge, stub_reviews, wide_reviews
+from assay.operators.judge import JudgeUnavailable, long_reviews, review_entry_issues, review_issues, run_judge, stub_reviews, wide_reviews
 from assay.operators.retrieval import bm25_topk, passages
 from assay.operators.taxonomy import failure_tags
 from assay.plans.config import ConfigError, config_hash, defaults, load_config
@@ -183,6 +183,19 @@ def test_review_issues(spark, payload, want):
     assert all(any(g.startswith(w) for g in got) for w in want)
 
 
+def test_reviews_as_a_table(spark):
+    """One row a review gives the same issues as the list of all in one payload; the first by position counts."""
+    queries = spark.createDataFrame([("q",), ("r",), ("s",)], "query_id string")
+    answers = spark.createDataFrame([(q, v) for q in "qrs" for v in "ab"], "query_id string, variant string")
+    reviews = [good(query_id="r", clarity={"a": 1}), 1, good(), good(winner="b"), good(query_id="x"), good(query_id="x"), good(query_id=None)]
+    rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(reviews)] + [(9, "{")], "pos int, entry string").repartition(3)
+    got = sorted((r.query_id or "", r.problem) for r in review_entry_issues(rows, queries, answers, 1, 5).collect())
+    want = [("", "no object"), ("", "no object"), ("", "unknown query_id"), ("q", "second review"), ("r", "clarity must have the variants as keys"), ("r", "no valid review"), ("s", "no valid review"), ("x", "unknown query_id"), ("x", "unknown query_id")]
+    assert got == want
+    whole = spark.createDataFrame([(json.dumps({"reviews": reviews}),)], "response string")
+    assert sorted((r.query_id or "", r.problem) for r in review_issues(whole, queries, answers, 1, 5).collect()) == want[1:]
+
+
 @pytest.fixture
 def judged(spark):
     queries = spark.createDataFrame([("q", 0, "why?", "low")], "query_id string, q_ord int, user_question string, risk_level string")

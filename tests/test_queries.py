@@ -44,6 +44,15 @@ def test_doc_freq_of_the_whole_corpus(spark, duck):
     assert asked.items() < every.items()
 
 
+def test_review_validation_of_all_variants(spark, duck):
+    """Conversations without an answer in turn 1 are validated too, as are maps over several variants."""
+    got = {r.problem: r.n for r in engine.QUERIES["review_validation_all"](spark, SF).collect()}
+    turns = dict(duck.execute("SELECT conv_id, count(DISTINCT turn) FROM conversations WHERE role = 'assistant' GROUP BY conv_id").fetchall())
+    assert max(turns.values()) > 1
+    assert got["no valid review"] == sum(c % 4 < 3 for c in turns)
+    assert got["faithfulness must have the variants as keys"] == sum(c % 4 == 2 for c in turns)
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(engine.QUERIES) == set(engine.SQL)
