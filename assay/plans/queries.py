@@ -5,6 +5,7 @@ benchmark items or first user turns the questions, assistant turns the answers o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,6 +86,10 @@ class Tables:
             (found("must_not_claim") == 0).alias("must_not_claim_pass"), (F.length("answer") % 101 / 100.0).alias("grounding_score"), numeric.alias("risk_flags"),
         )
 
+    def evidence(self) -> DataFrame:
+        """Evidence of the prompts: none beside light scores."""
+        return self.spark.createDataFrame([], "query_id string, retrieved array<struct<doc_id:string,score:double,title:string,text:string>>")
+
     def tags(self) -> DataFrame:
         return failure_tags(self.light_scores(), self.chats(), self.answers(), self.reviews(), CONFIG)
 
@@ -92,6 +97,36 @@ class Tables:
         return verdicts(self.light_scores(), self.chats(), self.reviews(), self.tags(), CONFIG, SHIFT)
 
 
+class Evaluated(Tables):
+    """The same inputs with real retrieval and scores for the later stages; scores are computed once and kept."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        super().__init__(spark, sf_dir)
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A Parquet table in spark.checkpoint.dir, or persisted where that is unset."""
+        if name not in self._kept:
+            table, shared = make(), self.spark.conf.get("spark.checkpoint.dir", None)
+            if shared:
+                path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+                table.write.parquet(path)
+                self._kept[name] = self.spark.read.schema(table.schema).parquet(path)
+            else:
+                self._kept[name] = table.persist()
+        return self._kept[name]
+
+    def retrieval(self) -> DataFrame:
+        return self._kept["evaluated-retrieval"] if "evaluated-retrieval" in self._kept else super().retrieval()
+
+    def light_scores(self) -> DataFrame:
+        return self._once("evaluated-scores", self.scores)
+
+    def evidence(self) -> DataFrame:
+        """Texts are kept only where prompts need them beside the scores."""
+        return self._once("evaluated-retrieval", super().retrieval)
+
+
 # ---- SQL pieces ------------------------------------------------------------------------------------
 
 _TOK = "regexp_extract_all(lower({}), '[a-z0-9]+(?:''[a-z]+)?')"
@@ -442,9 +477,8 @@ SELECT query_id, sha256('{_HEAD}' || 'Question ' || query_id || ': "' || user_qu
 FROM chats JOIN l USING (query_id)""")
 def prompt_hash(t: Tables) -> DataFrame:
     """The hash of each query's block as a prompt of its own."""
-    none = t.spark.createDataFrame([], "query_id string, retrieved array<struct<doc_id:string,score:double,title:string,text:string>>")
     answers = t.answers().join(t.chats(), "query_id", "left_semi")
-    blocks = build_prompt(t.chats(), answers, none, t.light_scores())
+    blocks = build_prompt(t.chats(), answers, t.evidence(), t.light_scores())
     return blocks.select("query_id", prompt_hash_column(F.col("block"), CONFIG["judge"]).alias("prompt_hash"))
 
 
@@ -482,3 +516,26 @@ def review_validation_all(t: Tables) -> DataFrame:
     )
     entries = rows.where("k <> 0").select("pos", entry.alias("entry"))
     return review_entry_issues(entries, answers.select("query_id").distinct(), answers, 1, 5).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- the later stages over real scores ---------------------------------------------------------------
+
+_REAL = (
+    _SCORED.removeprefix("WITH ").rsplit("\nSELECT", 1)[0]
+    + f""",
+auto AS ({_SCORED[_SCORED.rindex("SELECT query_id"):]}),
+scores AS (SELECT auto.*, contains(risk_flags, 'unsupported_numeric') AS numeric, risk_level, answer, a_ord FROM auto JOIN chats USING (query_id) JOIN answers USING (query_id, variant))"""
+)
+_SHOWN = """(SELECT string_agg('  [' || doc_id || '] ' || title || ': ' || text, chr(10) ORDER BY rank) FROM top JOIN kb USING (doc_id) WHERE top.query_id = chats.query_id)"""
+
+
+def _over_real_scores(f: Callable[[Tables], DataFrame]) -> None:
+    """Registers evaluated_<name>: the same operator and SQL, over real retrieval and scores in place of light ones."""
+    name = f"evaluated_{f.__name__}"
+    QUERIES[name] = lambda spark, sf_dir: f(Evaluated(spark, sf_dir))
+    flags = "replace(risk_flags, ',', chr(39) || ', ' || chr(39))"
+    SQL[name] = SQL[f.__name__].replace(_LIGHT, _REAL).replace("CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END", flags).replace("'  (no evidence retrieved)'", _SHOWN)
+
+
+for _f in (composite_score, recommend, clarity_tradeoffs, safety_gate, failure_tags_of_answers, failure_tag_counts, judge_stub_winner, judge_stub_reviews, prompt_hash):
+    _over_real_scores(_f)

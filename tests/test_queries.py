@@ -53,6 +53,13 @@ def test_review_validation_of_all_variants(spark, duck):
     assert got["faithfulness must have the variants as keys"] == sum(c % 4 == 2 for c in turns)
 
 
+def test_later_stages_over_real_scores(spark, duck):
+    """A tag for a missed document stands exactly where the real retrieval missed."""
+    missed = {(r.query_id, r.variant) for r in engine.QUERIES["evaluated_failure_tags_of_answers"](spark, SF).collect() if "retrieval_miss" in r.tags.split(",")}
+    rows = duck.execute(engine.SQL["automated_scores"]).df()
+    assert missed == set(rows[~rows.retrieval_hit][["query_id", "variant"]].itertuples(index=False, name=None))
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(engine.QUERIES) == set(engine.SQL)
