@@ -1,18 +1,18 @@
 """Windows of a fixed number of tokens that start at two places or more, over all documents.
 
-Every window has a minimiser: the context (a shorter run of tokens) within it whose hash is least.
-Equal windows have equal minimisers at the same place, so windows are ordered digit by digit, from
-the most significant: the minimiser's context, then the span of all windows in a row that share that
-minimiser. A context found once settles all its windows (none is repeated), a span found twice settles
-them too (all are). Only the windows of the other runs, at the ends of repeated passages, go on to the
-last digits one by one. What a pass shuffles is packed by bucket; equal entries of one batch are settled
-there and announced once, so a passage that a third of all rows share stays small.
+Equal windows have equal minimisers at the same place: the context (a shorter run of tokens) within them
+whose hash is least. So windows are dealt out by their context, in runs of neighbours that share one. What
+is found once with its context repeats nowhere and leaves. Of equal runs one goes on, with the weight two;
+its tokens are cut out of its document, and a task orders the suffixes that start in the runs of one context
+by the method of the operator that calls (radix passes, a suffix tree), through a window's tokens. Which of
+them repeat is then told to all equal runs by a join.
 
-Rows are known by uid, a 64-bit hash of id and text: equal rows share it, being copies of each other."""
+A context with too many different runs for one task is ordered by Spark itself, in two passes over hashes of
+a window's leading and last tokens, which combine before they shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm._state import drop, keep
-from assay.llm._text import BYTE, Words, mixed, parts, prefix, sliding_argmin, spans
+from assay.llm._text import BYTE, Words, parts, prefix, quick_prefix, quick_spans, runs, sliding_argmin, spans
 
-PACKED = "local boolean, bucket int, entries binary"
-SETTLED = "uid long, ref long, open boolean"
-_SEE = np.uint64((1 << 63) - 1)
-#: Top bit of a ref: the entry is settled in its batch and stands for two or more.
-_TWO = np.uint64(1 << 63)
+#: Bytes of tokens that a task orders at once, and different runs of one context beyond which Spark orders them.
+AT_ONCE, MOST_RUNS = 4 << 20, 20_000
+
+#: Whether the suffixes of runs repeat: of tokens, first token, number of windows, context and weight of each run, one flag for each window.
+Order = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -40,19 +40,19 @@ class Units:
     context: int
 
     def tokens(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all tokens, and the index of each row's first."""
+        """All tokens, words as their hashes, and the index of each row's first."""
         if not self.words:
-            return BYTE[data], off
+            return data, off
         words = Words(off, data)
         return words.hashes(data), words.first
 
 
 class Runs:
-    """Runs of neighbouring windows with one minimiser: first and last window, row, the minimiser's hash, the span's hash."""
+    """Runs of neighbouring windows with one minimiser: first and last window, row, and hashes of the minimiser and of all tokens."""
 
     def __init__(self, units: Units, off: np.ndarray, data: np.ndarray) -> None:
-        values, self.first = units.tokens(off, data)
-        self.sums = prefix(values)
+        tokens, self.first = units.tokens(off, data)
+        values = tokens if units.words else BYTE[tokens]
         n, c, w = len(values), units.context, units.window
         row = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         if n < w:
@@ -60,7 +60,7 @@ class Runs:
             self.context = self.span = np.zeros(0, np.uint64)
             return
         at = np.arange(n - c + 1)
-        h = spans(self.sums, at, at + c)
+        h = quick_spans(quick_prefix(values), at, at + c)
         least = sliding_argmin(h, w - c + 1)
         whole = np.flatnonzero(row[: n - w + 1] == row[w - 1 :])
         m, r = least[whole], row[whole]
@@ -68,165 +68,222 @@ class Runs:
         new[1:] = (m[1:] != m[:-1]) | (r[1:] != r[:-1])
         begin = np.flatnonzero(new)
         self.lo, self.hi, self.row = whole[begin], whole[np.append(begin[1:], len(whole)) - 1] if len(whole) else begin, r[begin]
-        m = m[begin]
-        self.context = h[m]
-        self.span = mixed(spans(self.sums, self.lo, self.hi + w) + (m - self.lo).astype(np.uint64)) & _SEE
-
-    def windows(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs that the windows of the picked runs belong to, and their starts."""
-        size = self.hi[pick] - self.lo[pick] + 1
-        run = np.repeat(pick, size)
-        return run, self.lo[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        self.context = h[m[begin]]
+        self.span = spans(prefix(values), self.lo, self.hi + w)
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.xxhash64(F.col("doc_id"), F.col("text")))
-
-
-def _pack(local: bool, bucket: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
-    """Entries (columns by rows) in one blob for each bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, entries = bucket[order], entries[:, order]
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = np.append(cut[1:], len(bucket))
-    blobs = [np.ascontiguousarray(entries[:, s:e]).tobytes() for s, e in zip(cut.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([local] * len(cut), pa.bool_()), pa.array(bucket[cut].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], ["local", "bucket", "entries"])
-
-
-def unpack(blobs: list[bytes], columns: int) -> np.ndarray:
-    return np.concatenate([np.zeros((columns, 0), np.uint64), *(np.frombuffer(x, np.uint64).reshape(columns, -1) for x in blobs)], axis=1)
-
-
-def deal(digits: list[np.ndarray], uid: np.ndarray, ref: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packs entries of digits, uid and ref. Entries of equal digits within the batch are settled: they
-    go to the local rows (uid, ref), and one of them, marked, goes to the bucket and counts as two."""
-    if not len(uid):
-        return
-    order = np.lexsort(digits[::-1])
-    digits, uid, ref, bucket = [d[order] for d in digits], uid[order], ref[order], bucket[order]
-    new = np.ones(len(uid), bool)
-    new[1:] = np.logical_or.reduce([d[1:] != d[:-1] for d in digits])
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(uid)))
-    twice = np.repeat(size > 1, size)
-    send = ~twice | new
-    if twice.any():
-        yield _pack(True, np.zeros(int(twice.sum()), np.int64), np.stack([uid[twice].view(np.uint64), ref[twice].astype(np.uint64)]))
-    marked = ref.astype(np.uint64) | np.where(twice, _TWO, np.uint64(0))
-    yield _pack(False, bucket[send], np.stack([*(d[send] for d in digits), uid[send].view(np.uint64), marked[send]]))
-
-
-def settled_rows(uid: np.ndarray, ref: np.ndarray, open_: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for s in range(0, len(uid), 1 << 17):
-        e = s + (1 << 17)
-        yield pa.RecordBatch.from_arrays([pa.array(uid[s:e].view(np.int64)), pa.array(ref[s:e].view(np.int64)), pa.array(open_[s:e])], ["uid", "ref", "open"])
-
-
-def radix_settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two most-significant-digit passes over a bucket: entries alone with their first digit leave, those
-    that share both digits are repeated, the rest stay open. Where some stay open, one of each repeated
-    kind with the same first digit goes on with them too, as what they may be equal to."""
-    entries = unpack([x for b in batches for x in b.column("entries").to_pylist()], 4)
-    entries = entries[:, np.argsort(entries[0])]
-    same = np.zeros(entries.shape[1], bool)
-    same[1:] = entries[0, 1:] == entries[0, :-1]
-    same[:-1] |= same[1:]
-    entries = entries[:, same | (entries[3] >= _TWO)]
-    entries = entries[:, np.lexsort((entries[1], entries[0]))]
-    if not entries.shape[1]:
-        return
-    group = np.ones(entries.shape[1], bool)
-    group[1:] = entries[0, 1:] != entries[0, :-1]
-    new = group.copy()
-    new[1:] |= entries[1, 1:] != entries[1, :-1]
-    begin, outer = np.flatnonzero(new), np.flatnonzero(group)
-    size = np.diff(np.append(begin, len(new)))
-    marked = entries[3] >= _TWO
-    repeated = np.repeat(size + np.add.reduceat(marked.astype(np.int64), begin) > 1, size)
-    some_open = np.repeat(np.logical_or.reduceat(~repeated, outer), np.diff(np.append(outer, len(new))))
-    witness = new & repeated & some_open
-    mine = ~marked
-    ref = entries[3] & _SEE
-    yield from settled_rows(entries[2][mine], ref[mine], ~repeated[mine])
-    yield from settled_rows(entries[2][witness], ref[witness], np.ones(int(witness.sum()), bool))
-
-
-def local_rows(packed: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("entries").to_pylist():
-                entries = unpack([x], 2)
-                yield from settled_rows(entries[0], entries[1], np.zeros(entries.shape[1], bool))
+    """docs with __u, __v: 128 bits of hashes of id and text. Equal rows share them, being copies of each other."""
+    return docs.withColumns({"__u": F.xxhash64("doc_id", "text"), "__v": F.xxhash64("text", F.lit(1), "doc_id")})
 
-    return packed.where("local").select("entries").mapInArrow(rows, SETTLED)
 
+RUNS = "context long, span long, u long, v long, at int, size int"
 
-def by_row(settled: DataFrame) -> DataFrame:
-    """uid, sure, open: the refs of each row's repeated and open entries."""
-    pick = lambda c: F.collect_set(F.when(c, F.col("ref")))
-    return settled.groupBy("uid").agg(pick(~F.col("open")).alias("sure"), pick(F.col("open")).alias("open"))
 
+def runs_of(docs: DataFrame, units: Units) -> DataFrame:
+    """RUNS: context, hash of the tokens, document, first window in it and number of windows, of each run of docs (of with_uid())."""
 
-def runs_settled(docs: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """First passes: uid, sure, open (spans of runs) of the rows that share any context. docs: with_uid()."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, uids = [], b.column("uid").to_numpy()
             for i, _, off, data in parts(b.column("text")):
-                runs = Runs(units, off, data)
-                got.append((runs.context, runs.span, uids[i + runs.row]))
-            if got:
-                context, span, uid = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield from deal([context, span], uid, span.view(np.int64), (context % np.uint64(buckets)).astype(np.int64))
+                got = Runs(units, off, data)
+                of = pa.array(got.row + i)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(got.context.view(np.int64)), pa.array(got.span.view(np.int64)), b.column("u").take(of), b.column("v").take(of),
+                        pa.array((got.lo - got.first[got.row]).astype(np.int32)), pa.array((got.hi - got.lo + 1).astype(np.int32)),
+                    ],
+                    ["context", "span", "u", "v", "at", "size"],
+                )
+
+    return docs.select(F.col("__u").alias("u"), F.col("__v").alias("v"), "text").mapInArrow(find, RUNS)
 
-    packed = keep(docs.select(F.col("__uid").alias("uid"), "text").mapInArrow(emit, PACKED), "repeat-runs")
-    remote = packed.where("NOT local").groupBy("bucket").applyInArrow(radix_settle, SETTLED)
-    settled = keep(by_row(remote.unionByName(local_rows(packed))), "repeat-settled")
-    drop(packed)
-    return settled
 
+def _wanted(docs: DataFrame, runs_: DataFrame) -> DataFrame:
+    """text and runs (context, span, weight, at, size) of the documents that runs are to be cut from, of equal rows once."""
+    by = runs_.groupBy(F.col("one.u").alias("__u"), F.col("one.v").alias("__v")).agg(F.collect_list(F.struct("context", "span", "weight", "one.at", "size")).alias("runs"))
+    both = docs.select("__u", "__v", "text").join(by, ["__u", "__v"])
+    return both.groupBy("__u", "__v").agg(F.first("text").alias("text"), F.first("runs").alias("runs")).select("text", "runs")
 
-def within(refs: pa.ListArray, row: np.ndarray, ref: np.ndarray) -> np.ndarray:
-    """Whether each (row, ref) is in the list of that row."""
-    of, values = pc.list_parent_indices(refs).to_numpy(), pc.list_flatten(refs).to_numpy(zero_copy_only=False).astype(np.int64)
-    key = lambda r, v: mixed(v.view(np.uint64) + mixed(np.asarray(r).astype(np.uint64)))
-    return np.isin(key(row, ref.astype(np.int64)), key(of, values))
 
+def _cut(b: pa.RecordBatch, units: Units) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of slices of _wanted(): the wanted runs, the slice's tokens, each run's first token and number of windows."""
+    for i, j, off, data in parts(b.column("text")):
+        wanted = b.column("runs").slice(i, j - i)
+        tokens, first = units.tokens(off, data)
+        flat = pa.RecordBatch.from_struct_array(pc.list_flatten(wanted))
+        yield flat, tokens, flat.column("at").to_numpy() + first[pc.list_parent_indices(wanted).to_numpy()], flat.column("size").to_numpy()
 
-def open_windows(docs: DataFrame, settled: DataFrame, units: Units, digits_of, bucket_of) -> DataFrame:
-    """PACKED windows of the open runs: digits_of(runs, run, start) are their digits, bucket_of(digits) where they go; ref is the start within the row."""
-    rows = docs.select(F.col("__uid").alias("uid"), "text").join(settled.where(F.size("open") > 0).select("uid", "open"), "uid")
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+CUT = "context long, span long, weight int, size int, tokens binary"
+
+
+def _cut_runs(wanted: DataFrame, units: Units) -> DataFrame:
+    """CUT: the tokens of each wanted run (a word's hash has eight bytes)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for flat, tokens, start, size in _cut(b, units):
+                blobs = [tokens[s:e].tobytes() for s, e in zip(start.tolist(), (start + size + units.window - 1).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(flat.column(c) for c in ("context", "span", "weight", "size")), pa.array(blobs, pa.binary())], ["context", "span", "weight", "size", "tokens"])
+
+    return wanted.mapInArrow(cut, CUT)
+
+
+FOUND = "context long, span long, hits array<int>"
+
+
+def _found(context: np.ndarray, span: np.ndarray, size: np.ndarray, repeats: np.ndarray) -> pa.RecordBatch:
+    """FOUND: of each run with repeated windows, the first and last of each series of them, in turn."""
+    end = np.cumsum(size)
+    # A gap after each run, so that no series goes on into the next.
+    apart = np.zeros(int(end[-1] if len(end) else 0) + len(size), bool)
+    apart[np.arange(len(repeats)) + np.repeat(np.arange(len(size)), size)] = repeats
+    a, b = runs(apart)
+    first = end - size + np.arange(len(size))
+    of = np.searchsorted(first, a, "right") - 1
+    pairs = np.stack((a - first[of], b - 1 - first[of]), axis=1).astype(np.int32).ravel()
+    some, count = np.unique(of, return_counts=True)
+    hits = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(2 * count))).astype(np.int32)), pa.array(pairs))
+    return pa.RecordBatch.from_arrays([pa.array(context[some]), pa.array(span[some]), hits], ["context", "span", "hits"])
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by context, in tables of about at_once bytes (or one context) that end where a context does."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= at_once:
+            got = pa.Table.from_batches(held)
+            context = got.column("context").to_numpy()
+            cut = int(np.searchsorted(context, context[-1], "left"))
+            if cut:
+                yield got.slice(0, cut)
+            held = got.slice(cut).combine_chunks().to_batches()
+            size = sum(x.nbytes for x in held) if cut else 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _ordered(cut: DataFrame, units: Units, order: Order, at_once: int) -> DataFrame:
+    """FOUND of CUT, context by context."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in _whole_contexts(batches, at_once):
+            off, data = _blobs(got.column("tokens"))
+            tokens, first = (data.view(np.uint64), off // 8) if units.words else (data, off)
+            context, span, size, weight = (got.column(c).to_numpy() for c in ("context", "span", "size", "weight"))
+            yield _found(context, span, size, order(tokens, first[:-1], size.astype(np.int64), context, weight.astype(np.int64)))
+
+    return cut.repartition("context").sortWithinPartitions("context").mapInArrow(find, FOUND)
+
+
+def _blobs(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    one = col.combine_chunks()
+    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
+    off = np.frombuffer(one.buffers()[1], np.int64 if pa.types.is_large_binary(one.type) else np.int32)[one.offset : one.offset + len(one) + 1].astype(np.int64)
+    data = np.frombuffer(one.buffers()[2], np.uint8)[off[0] : off[-1]] if len(one) else np.zeros(0, np.uint8)
+    return off - off[0], data.copy()
+
+
+def _passes(wanted: DataFrame, units: Units) -> DataFrame:
+    """FOUND of contexts that are too large for a task: Spark orders their windows by two digits, their leading tokens and the rest."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got, uids = [], b.column("uid").to_numpy()
-            for i, j, off, data in parts(b.column("text")):
-                runs = Runs(units, off, data)
-                pick = np.flatnonzero(within(b.column("open").slice(i, j - i), runs.row, runs.span.view(np.int64)))
-                run, start = runs.windows(pick)
-                got.append((*digits_of(runs, run, start), uids[i + runs.row[run]], start - runs.first[runs.row[run]]))
-            if got:
-                *digits, uid, ref = (np.concatenate(x) for x in zip(*got, strict=True))
-                yield from deal(digits, uid, ref, bucket_of(digits))
-
-    return rows.mapInArrow(emit, PACKED)
-
-
-def removed(units: Units, off: np.ndarray, data: np.ndarray, sure: pa.ListArray, hits: pa.ListArray) -> tuple[Runs, np.ndarray]:
-    """Which tokens repeated windows cover: those of sure runs and those that start at hits."""
-    runs = Runs(units, off, data)
-    n = int(runs.first[-1])
-    ok = within(sure, runs.row, runs.span.view(np.int64))
-    at = pc.list_flatten(hits).to_numpy(zero_copy_only=False).astype(np.int64) + runs.first[pc.list_parent_indices(hits).to_numpy()]
-    start, end = np.concatenate((runs.lo[ok], at)), np.concatenate((runs.hi[ok] + units.window, at + units.window))
-    step = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
-    return runs, np.cumsum(step[:n]) > 0
-
-
-def joined(docs: DataFrame, settled: DataFrame, hits: DataFrame) -> DataFrame:
-    """docs (of with_uid()) with __sure and __hits, arrays that may be empty."""
-    none = F.array().cast("array<long>")
-    sure = lambda df, name: df.select(F.col("uid").alias("__uid"), F.col("sure").alias(name))
-    out = docs.join(sure(settled, "__sure"), "__uid", "left").join(sure(hits, "__hits"), "__uid", "left")
-    return out.withColumns({"__sure": F.coalesce("__sure", none), "__hits": F.coalesce("__hits", none)}).drop("__uid")
+            for flat, tokens, start, size in _cut(b, units):
+                sums, half = prefix(tokens if units.words else BYTE[tokens]), units.window // 2
+                run = np.repeat(np.arange(len(size)), size)
+                k = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+                p = start[run] + k
+                one, two = spans(sums, p, p + half), spans(sums, p + half, p + units.window)
+                for s in range(0, len(run), 1 << 16):
+                    of = pa.array(run[s : s + (1 << 16)])
+                    digits = [pa.array(x[s : s + (1 << 16)].view(np.int64)) for x in (one, two)]
+                    yield pa.RecordBatch.from_arrays([*(flat.column(c).take(of) for c in ("context", "span", "weight")), pa.array(k[s : s + (1 << 16)].astype(np.int32)), *digits], ["context", "span", "weight", "k", "one", "two"])
+
+    every = keep(wanted.mapInArrow(windows, "context long, span long, weight int, k int, one long, two long"), "repeat-windows")
+    first = every.join(every.groupBy("one").agg(F.sum("weight").alias("n")).where("n > 1").select("one"), "one", "left_semi")
+    both = first.join(first.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two"), ["one", "two"], "left_semi")
+    k = F.array_sort(F.collect_set("k"))
+    return both.groupBy("context", "span").agg(F.flatten(F.transform(k, lambda x: F.array(x, x))).alias("hits"))
+
+
+def repeated_windows(docs: DataFrame, units: Units, order: Order, at_once: int = AT_ONCE, most_runs: int = MOST_RUNS) -> DataFrame:
+    """__u, __v, __hits of the documents (of with_uid()) with repeated windows: first and last window of series of them, in turn."""
+    every = keep(runs_of(docs, units), "repeat-runs")
+    twice = every.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("context")
+    shared = keep(every.join(twice, "context", "left_semi"), "repeat-shared")
+    drop(every)
+    one = shared.groupBy("context", "span", "size").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"), F.min(F.struct("u", "v", "at")).alias("one"))
+    one = keep(one, "repeat-kinds")
+    large = one.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_runs).select("context")
+    found = _ordered(_cut_runs(_wanted(docs, one.join(large, "context", "left_anti")), units), units, order, at_once)
+    if large.limit(1).count():
+        found = found.unionByName(_passes(_wanted(docs, one.join(large, "context", "left_semi")), units))
+    found = keep(found, "repeat-found")
+    absolute = shared.join(found, ["context", "span"]).select("u", "v", F.transform("hits", lambda x: x + F.col("at")).alias("hits"))
+    by = absolute.groupBy(F.col("u").alias("__u"), F.col("v").alias("__v")).agg(F.flatten(F.collect_list("hits")).alias("__hits"))
+    hits = keep(by, "repeat-hits")
+    for table in (shared, one, found):
+        drop(table)
+    return hits
+
+
+def with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """docs (of with_uid()) with __hits, an array that may be empty."""
+    out = docs.join(hits, ["__u", "__v"], "left")
+    return out.withColumn("__hits", F.coalesce("__hits", F.array().cast("array<int>"))).drop("__u", "__v")
+
+
+def removed(units: Units, first: np.ndarray, hits: pa.ListArray) -> np.ndarray:
+    """Which tokens the windows of hits cover; first: of each row."""
+    flat, of = pc.list_flatten(hits).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_parent_indices(hits).to_numpy()
+    at = flat + first[of]
+    n = int(first[-1])
+    step = np.bincount(at[::2], minlength=n + 1) - np.bincount(at[1::2] + units.window, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
+
+
+class Groups:
+    """Suffixes in an order in which those that agree so far are neighbours; sort() refines it by one more digit."""
+
+    def __init__(self, key: np.ndarray, weight: np.ndarray) -> None:
+        self.weight = weight
+        self.order = np.argsort(key, kind="stable")
+        near = key[self.order]
+        self.new = np.ones(len(key), bool)
+        self.new[1:] = near[1:] != near[:-1]
+        self.leave()
+
+    def sort(self, digit: np.ndarray) -> bool:
+        """Splits groups by a digit of each suffix in the present order. False where all agree already."""
+        apart = np.zeros(len(digit), bool)
+        apart[1:] = ~self.new[1:] & (digit[1:] != digit[:-1])
+        if not apart.any():
+            return False
+        group = np.cumsum(self.new) - 1
+        some = np.zeros(int(group[-1]) + 1, bool)
+        some[group[apart]] = True
+        at = np.flatnonzero(some[group])
+        by = at[np.lexsort((digit[at], group[at]))]
+        self.order[at] = self.order[by]
+        digit = digit[by]
+        split = np.zeros(len(at), bool)
+        split[1:] = digit[1:] != digit[:-1]
+        self.new[at] |= split
+        return True
+
+    def leave(self) -> None:
+        """Suffixes that are alone and stand for one go."""
+        if len(self.order):
+            first = np.flatnonzero(self.new)
+            stay = np.repeat(np.add.reduceat(self.weight[self.order], first) > 1, np.diff(np.append(first, len(self.order))))
+            self.order, self.new = self.order[stay], self.new[stay]
+
+
+def suffixes(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and first token of each window."""
+    run = np.repeat(np.arange(len(size)), size)
+    return run, first[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)

@@ -2,8 +2,11 @@
 
 A column is looked at as one byte array plus document offsets. Words are maximal runs without
 the ASCII white space \\x20 \\x09-\\x0D, so they can be found on bytes. Hashes are differences of
-prefix sums of a polynomial modulo 2**64 over random byte values, finished by a mixer: equal
-strings have equal hashes wherever they stand, and any substring's hash costs O(1).
+prefix sums of a polynomial over random byte values, finished by a mixer: equal strings have equal
+hashes wherever they stand, and any substring's hash costs O(1). prefix() and spans() count modulo the
+prime 2**61 - 1. quick_prefix() and quick_spans() count modulo 2**64, where some strings that are made
+for it (Thue-Morse words) collide whatever the base: they only choose positions, or are a second hash
+beside the first, so that both must agree (128 bits).
 """
 
 from __future__ import annotations
@@ -16,11 +19,58 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(20240229)
-BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+PRIME = (1 << 61) - 1
+_P, _SHIFT = np.uint64(PRIME), np.uint64(61)
+_LOW31, _LOW30, _31, _30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1), np.uint64(31), np.uint64(30)
+BYTE = _rng.integers(0, 2**31, 256, dtype=np.uint64)
 FOLDED = BYTE.copy()
 FOLDED[65:91] = BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
+_POINT = 0x123456789ABCDEF
 _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_prime_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, in place."""
+    over = x >> _SHIFT
+    x &= _P
+    x += over
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 but for the modulus, of x below 2**62."""
+    out = x & _LOW30
+    out <<= _31
+    out += x >> _30
+    return out
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, of numbers below it: halves of 31 bits, as 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    a1 *= b1
+    a1 += a1
+    a0 *= b0
+    a1 += a0
+    a1 += _shifted(middle)
+    return _reduced(a1)
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the point and of its inverse modulo the prime, at least n of each."""
+    if len(_prime_pow[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for k, x in enumerate((_POINT, pow(_POINT, -1, PRIME))):
+            have = np.ones(1, np.uint64)
+            while len(have) < size:
+                have = np.concatenate((have, times(have, np.full(len(have), pow(x, len(have), PRIME), np.uint64))))
+            _prime_pow[k] = have
+    return _prime_pow[0], _prime_pow[1]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,15 +90,53 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Numbers that are worked on at once, so that they stay in a core's cache.
+_AT_ONCE = 1 << 14
+
+
 def prefix(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a leading 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
+    """Prefix sums of values[i] * point**i modulo 2**61 - 1, with a leading 0."""
+    n = len(values)
+    power, out, carry = _prime_powers(n)[0], np.zeros(n + 1, np.uint64), np.uint64(0)
+    for s in range(0, n, _AT_ONCE):
+        v, w = values[s : s + _AT_ONCE], power[s : min(n, s + _AT_ONCE)]
+        if v.max() > _LOW31:
+            term = times(_reduced(v.copy()), w)
+        else:
+            term = _shifted(v * (w >> _31))
+            term += v * (w & _LOW31)
+            term = _reduced(term)
+        # Sums of the halves don't overflow; the upper one counts 2**31 times.
+        upper = np.cumsum(term >> _31)
+        term &= _LOW31
+        np.cumsum(term, out=term)
+        term += _shifted(upper)
+        term += carry
+        out[s + 1 : s + 1 + len(term)] = _reduced(term)
+        carry = out[s + len(term)]
     return out
 
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the ranges [start, end) of what prefix() was given."""
+    back, out = _prime_powers(len(sums))[1], np.empty(len(start), np.uint64)
+    for s in range(0, len(start), _AT_ONCE):
+        a, b = start[s : s + _AT_ONCE], end[s : s + _AT_ONCE]
+        apart = sums[b] + _P
+        apart -= sums[a]
+        out[s : s + _AT_ONCE] = mixed(times(_reduced(apart), back[a]) ^ mixed((b - a).astype(np.uint64)))
+    return out
+
+
+def quick_prefix(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of values[i] * base**i modulo 2**64, with a leading 0."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
+    return out
+
+
+def quick_spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges [start, end) of what quick_prefix() was given."""
     return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 

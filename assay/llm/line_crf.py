@@ -76,7 +76,7 @@ def repeated(data: np.ndarray, lines: Lines, n_words: np.ndarray) -> tuple[np.nd
     return h, (n_words > 0) & (first[inverse] < np.arange(len(h)))
 
 
-_LINE = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
+_LINE = np.random.default_rng(3).integers(0, 2**31, 256, dtype=np.uint64)
 
 
 def _steps(count: np.ndarray) -> Iterator[np.ndarray]:

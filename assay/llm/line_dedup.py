@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm._state import drop, keep
-from assay.llm._text import FOLDED, SPACE, Lines, mixed, parts, prefix, spans, sums
+from assay.llm._text import FOLDED, SPACE, Lines, mixed, parts, prefix, quick_prefix, quick_spans, spans, sums
 
 #: Keys of fewer code points stay; keys in fewer documents stay.
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -32,7 +32,7 @@ def _keys(off: np.ndarray, data: np.ndarray, least_chars: int) -> tuple[np.ndarr
     long = sums((data & 0xC0) != 0x80, start, end) >= least_chars
     has, start, end = has[long], start[long], end[long]
     row = lines.row[has]
-    return row, has - lines.first[row], spans(prefix(FOLDED[data]), start, end), spans(prefix(_SECOND[data]), start, end)
+    return row, has - lines.first[row], spans(prefix(FOLDED[data]), start, end), quick_spans(quick_prefix(_SECOND[data]), start, end)
 
 
 def line_keys(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:

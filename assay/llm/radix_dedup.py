@@ -10,29 +10,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm._repeats import SETTLED, Runs, Units, by_row, joined, local_rows, open_windows, radix_settle, removed, runs_settled, with_uid
-from assay.llm._state import drop, keep
-from assay.llm._text import parts, spans
+from assay.llm._repeats import AT_ONCE, MOST_RUNS, Groups, Units, removed, repeated_windows, suffixes, with_hits, with_uid
+from assay.llm._text import parts
 
 #: Bytes of a window, and of its minimiser's context.
-WINDOW, CONTEXT = 400, 240
-
-
-def repeated_windows(docs: DataFrame, units: Units, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Of docs (of with_uid()): the settled runs and the repeated windows of open ones, each by row."""
-    settled = runs_settled(docs, units, buckets)
-
-    def digits(runs: Runs, run: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-        return [runs.context[run], spans(runs.sums, start, start + units.window)]
-
-    packed = keep(open_windows(docs, settled, units, digits, lambda d: (d[0] % np.uint64(buckets)).astype(np.int64)), "radix-windows")
-    found = packed.where("NOT local").groupBy("bucket").applyInArrow(radix_settle, SETTLED).where("NOT open").unionByName(local_rows(packed))
-    hits = keep(by_row(found), "radix-hits")
-    drop(packed)
-    return settled, hits
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT, buckets: int | None = None) -> DataFrame:
+WINDOW, CONTEXT = 400, 120
+#: Bytes of a digit.
+DIGIT = 8
+
+
+def radix_order(window: int):
+    """The Order of depth-limited radix passes: suffixes are sorted by digit after digit of their leading
+    bytes, the most significant first, through a window's bytes; only groups that disagree are sorted again,
+    and suffixes that get alone leave. What is left are groups of equal windows."""
+
+    def order(data: np.ndarray, first: np.ndarray, size: np.ndarray, context: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        run, start = suffixes(first, size)
+        digits = np.zeros(len(data), np.uint64)
+        for k in range(DIGIT):
+            digits[: len(data) - k] |= data[k:].astype(np.uint64) << np.uint64(8 * (DIGIT - 1 - k))
+        groups = Groups(context[run], weight[run])
+        for at in range(0, window, DIGIT):
+            # The last digit ends with the window; it may begin with bytes of the one before.
+            if window >= DIGIT:
+                digit = digits[start[groups.order] + min(at, window - DIGIT)]
+            else:
+                digit = digits[start[groups.order]] >> np.uint64(8 * (DIGIT - window))
+            if groups.sort(digit):
+                groups.leave()
+        repeats = np.zeros(len(run), bool)
+        repeats[groups.order] = True
+        return repeats
+
+    return order
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT, at_once: int = AT_ONCE, most_runs: int = MOST_RUNS) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary: what stays of the UTF-8 text).
 
     Removed is each byte that some window of `window` bytes covers which starts at another place too,
@@ -40,15 +53,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT
     text has no bytes and kept is empty; texts shorter than a window stay; equal rows are copies of
     each other. Cuts may split a character, so kept is binary."""
     units = Units(False, window, min(context, window))
-    buckets = buckets or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     known, names = with_uid(docs), [*docs.columns, "n_bytes", "n_removed", "n_spans", "kept"]
-    settled, hits = repeated_windows(known, units, buckets)
+    hits = repeated_windows(known, units, radix_order(window), at_once, most_runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, off, data in parts(b.column("text")):
-                _, out = removed(units, off, data, b.column("__sure").slice(i, j - i), b.column("__hits").slice(i, j - i))
+                out = removed(units, off, b.column("__hits").slice(i, j - i))
                 gone, pieces, kept = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64), []
                 for d, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
                     lost = out[s:e]
@@ -59,7 +71,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT
                 yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(off)), pa.array(gone), pa.array(pieces), pa.array(kept, pa.binary())], names)
 
     more = [T.StructField(c, T.LongType()) for c in names[-4:-1]] + [T.StructField("kept", T.BinaryType())]
-    return joined(known, settled, hits).mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))
+    return with_hits(known, hits).mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))
 
 
 def op7_radix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,114 +10,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm._repeats import SETTLED, Runs, Units, by_row, joined, local_rows, open_windows, removed, runs_settled, settled_rows, unpack, with_uid
-from assay.llm._state import drop, keep
-from assay.llm._text import Words, mixed, parts, spans
-
-#: Words of a window, and of its minimiser's context; labels on a path from the root are so many words each.
-WINDOW, CONTEXT, LABEL = 35, 18, 7
-#: A subtree of more suffixes gets a longer prefix.
-SUBTREE = 1_000_000
-
-
-def subtree(labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix tree of suffixes given by labels (depth by suffixes): their order, and of each internal node
-    depth in labels, first and end of its leaves in that order. weight: leaves that a suffix stands for.
-
-    In sorted order a node's leaves are neighbours, and the common prefix of neighbours bounds its depth."""
-    depth = len(labels)
-    order = np.lexsort(labels[::-1])
-    near = labels[:, order]
-    common = np.zeros(len(order), np.int64)
-    alike = np.ones(max(0, len(order) - 1), bool)
-    for k in range(depth):
-        alike &= near[k, 1:] == near[k, :-1]
-        common[1:] += alike
-    total = np.concatenate(([0], np.cumsum(weight[order])))
-    nodes = []
-    for k in range(1, depth + 1):
-        first = np.flatnonzero(common < k)
-        end = np.append(first[1:], len(order))
-        # A node branches at k: it has leaves enough, and its children at k + 1 are not just one.
-        deeper = np.add.reduceat((common < k + 1).astype(np.int64), first) if len(first) else first
-        inner = (total[end] - total[first] > 1) & ((deeper > 1) | (k == depth))
-        nodes.append((np.full(int(inner.sum()), k), first[inner], end[inner]))
-    return order, *(np.concatenate(x) for x in zip(*nodes, strict=True))
-
-
-def _deep(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
-    """The suffixes under internal nodes as deep as a window."""
-    entries = unpack([x for b in batches for x in b.column("entries").to_pylist()], depth + 2)
-    uid, ref = entries[depth], entries[depth + 1]
-    marked = ref >= np.uint64(1 << 63)
-    order, deep, first, end = subtree(entries[:depth], 1 + marked)
-    pick = deep == depth
-    step = np.bincount(first[pick], minlength=len(order) + 1) - np.bincount(end[pick], minlength=len(order) + 1)
-    under = order[np.cumsum(step[:-1]) > 0]
-    under = under[~marked[under]]
-    yield from settled_rows(uid[under], ref[under], np.zeros(len(under), bool))
-
-
-def _longer(packed: DataFrame, depth: int, most: int) -> DataFrame:
-    """bucket, part, entries: prefix buckets of more than most suffixes are dealt out again by a longer prefix."""
-    size = packed.groupBy("bucket").agg((F.sum(F.octet_length("entries")) / (8 * (depth + 2))).alias("n"))
-    # One row for each first prefix bucket, a number that the caller sets.
-    parted = packed.join(F.broadcast(size.select("bucket", F.ceil(F.col("n") / most).cast("int").alias("parts"))), "bucket")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for bucket, n, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "parts", "entries")), strict=True):
-                part = [0]
-                if n > 1:
-                    entries = unpack([blob], depth + 2)
-                    to = (mixed(entries[: depth // 2 + 1].sum(0)) % np.uint64(n)).astype(np.int64)
-                    part = np.unique(to).tolist()
-                blobs = [blob] if n <= 1 else [np.ascontiguousarray(entries[:, to == p]).tobytes() for p in part]
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part", "entries"])
+from assay.llm._repeats import AT_ONCE, MOST_RUNS, Groups, Units, removed, repeated_windows, suffixes, with_hits, with_uid
+from assay.llm._text import Words, parts
+
+#: Words of a window, and the least of the prefix that a group of suffixes shares.
+WINDOW, PREFIX = 35, 8
+
+
+def subtrees(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, prefix: np.ndarray, weight: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix trees, one for each prefix, of the suffixes that start in the windows of runs, built from the roots down to a depth in words.
+
+    A node's leaves are neighbours. Where all of them agree on the next word the node's edge goes on; where
+    they don't, it branches, and its children part by that word. Children with one leaf that stands for one
+    suffix are cut. Returns the leaves under the nodes at that depth, node by node, and which of them is a
+    node's first: each node is a repeat of depth words, as often as its leaves weigh."""
+    run, start = suffixes(first, size)
+    nodes = Groups(prefix[run], weight[run])
+    for at in range(depth):
+        if nodes.sort(tokens[start[nodes.order] + at]):
+            nodes.leave()
+    return nodes.order, nodes.new
+
+
+def tree_order(window: int):
+    """The Order by suffix trees: the windows that are leaves under a node as deep as a window repeat."""
 
-    return parted.select("bucket", "parts", "entries").mapInArrow(deal, "bucket int, part int, entries binary")
+    def order(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, context: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        repeats = np.zeros(int(size.sum()), bool)
+        repeats[subtrees(tokens, first, size, context, weight, window)[0]] = True
+        return repeats
 
+    return order
 
-def remove_repeated_words(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT, label: int = LABEL, buckets: int | None = None, most: int = SUBTREE) -> DataFrame:
+
+def remove_repeated_words(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, at_once: int = AT_ONCE, most_runs: int = MOST_RUNS) -> DataFrame:
     """docs with n_words, n_removed and kept (the words that stay, joined by one space).
 
-    Removed is each word that some window of `window` words (a multiple of label) covers whose words
-    start at another place too, in any text. One row out for each row in, extra columns kept (ours
-    replace equal names). A null text has no words and kept is empty; texts of fewer words stay; equal
-    rows are copies of each other."""
-    units, depth = Units(True, window, min(context, window)), window // label
-    buckets = buckets or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    Removed is each word that some window of `window` words covers whose words start at another place too,
+    in any text. One row out for each row in, extra columns kept (ours replace equal names). A null text has
+    no words and kept is empty; texts of fewer words stay; equal rows are copies of each other.
+
+    Suffixes are dealt out by a prefix of `prefix` words: that of the suffix at a window's minimiser, which
+    the windows around it share. A prefix of more than most_runs different surroundings gets longer, to half
+    a window and then to all of it, in passes of Spark."""
+    units = Units(True, window, min(prefix, window))
     docs = docs.drop("n_words", "n_removed", "kept")
     known, names = with_uid(docs), [*docs.columns, "n_words", "n_removed", "kept"]
-    settled = runs_settled(known, units, buckets)
-
-    def labels(runs: Runs, run: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-        return [spans(runs.sums, start + label * k, start + label * (k + 1)) for k in range(depth)]
-
-    packed = keep(open_windows(known, settled, units, labels, lambda d: (mixed(d[0]) % np.uint64(buckets)).astype(np.int64)), "suffixes")
-    remote = packed.where("NOT local").select("bucket", "entries")
-    found = _longer(remote, depth, most).groupBy("bucket", "part").applyInArrow(_by(depth), SETTLED).unionByName(local_rows(packed))
-    hits = keep(by_row(found), "suffix-hits")
-    drop(packed)
+    hits = repeated_windows(known, units, tree_order(window), at_once, most_runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, off, data in parts(b.column("text")):
-                _, out = removed(units, off, data, b.column("__sure").slice(i, j - i), b.column("__hits").slice(i, j - i))
                 words = Words(off, data)
+                out = removed(units, words.first, b.column("__hits").slice(i, j - i))
                 gone, kept = np.bincount(words.row, out, minlength=j - i).astype(np.int64), _kept(words, data, off, ~out)
                 own = [b.column(c).slice(i, j - i) for c in names[:-3]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(words.count), pa.array(gone), pa.array(kept, pa.string())], names)
 
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
-    return joined(known, settled, hits).mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))
-
-
-def _by(depth: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _deep(batches, depth)
-
-    return find
+    return with_hits(known, hits).mapInArrow(cut, T.StructType([*docs.schema.fields, *more]))
 
 
 def _kept(words: Words, data: np.ndarray, off: np.ndarray, stays: np.ndarray) -> list[bytes]:

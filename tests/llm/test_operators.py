@@ -7,10 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assay.llm._components import components
+from assay.llm._text import BYTE, prefix, spans, utf8
 from assay.llm.decontaminate import find_items
 from assay.llm.line_crf import COUNTS, fit, line_quality, viterbi
 from assay.llm.line_dedup import LineRuns, dedup_lines
@@ -318,9 +320,10 @@ def test_runs_compact(spark):
 
 # ---- repeated windows
 
-@pytest.mark.parametrize(("window", "context"), [(40, 24), (40, 40), (90, 30)])
-def test_bytes(spark, window, context):
-    rows = [r for r in corpus() if r[0] != 11]
+@pytest.mark.parametrize(("window", "context", "most"), [(40, 24, 1000), (40, 40, 1000), (90, 30, 1000), (40, 12, 2), (6, 3, 1000)])
+def test_bytes(spark, window, context, most):
+    rows = corpus()
+    rows.append((12, rows[-1][1][:-30] + "x" + rows[-1][1][20_000:]))
     count = Counter()
     for _, text in rows:
         b = (text or "").encode()
@@ -334,14 +337,15 @@ def test_bytes(spark, window, context):
                 gone[i : i + window] = b"\1" * window
         runs = len(re.findall(b"\1+", bytes(gone)))
         want[d, len(b), sum(gone), runs, bytes(x for x, g in zip(b, gone, strict=True) if not g)] += 1
-    out = remove_repeats(table(spark, rows), window, context, buckets=5)
+    out = remove_repeats(table(spark, rows), window, context, 50_000, most)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()) == want
     assert remove_repeats(table(spark, []), window, context).count() == 0
 
 
-@pytest.mark.parametrize("most", [1_000_000, 5])
-def test_words(spark, most):
+@pytest.mark.parametrize(("prefix", "most"), [(7, 1_000_000), (7, 2), (14, 1_000_000), (1, 1)])
+def test_words(spark, prefix, most):
     rows, window = corpus(), 14
+    rows += [(2000 + i, f"own{i} " + rows[0][1] + f" own{i}") for i in range(5)]
     count = Counter()
     for _, text in rows:
         w = WORD.findall(text or "")
@@ -351,11 +355,51 @@ def test_words(spark, most):
         w = WORD.findall(text or "")
         gone = {k for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for k in range(i, i + window)}
         want[d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
-    out = remove_repeated_words(table(spark, rows), window, 7, 7, buckets=5, most=most)
+    out = remove_repeated_words(table(spark, rows), window, prefix, 20_000, most)
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()) == want
     assert remove_repeated_words(table(spark, []), window, 7).count() == 0
 
 
+def test_one_huge_prefix(spark):
+    """One passage in all documents, each time in other surroundings: its prefixes pass every bound, and Spark lengthens them."""
+    rng = random.Random(5)
+    passage = words(rng, 40)
+    own = lambda i: [f"{w}-{i}" for w in words(rng, 30)]
+    texts = [own(i) + passage + own(i) for i in range(300)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    for most in (5, 100_000):
+        out = {r.doc_id: (r.n_removed, r.kept) for r in remove_repeated_words(table(spark, rows), 35, 8, 1000, most).collect()}
+        assert out == {i: (40, " ".join(x[:30] + x[70:])) for i, x in enumerate(texts)}
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    """Thue-Morse words and their complements, which polynomials modulo 2**64 can't tell apart."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    off, data = utf8(pa.array([one, other]))
+    at = np.array([0, 2048])
+    assert len(set(spans(prefix(BYTE[data]), at, at + 2048).tolist())) == 2
+    rows = [(i, one if i < 3 else other + " " * i) for i in range(4)]
+    assert {r.doc_id: r.n_dropped for r in dedup_lines(table(spark, rows)).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r.n_dup_lines for r in line_quality(table(spark, [(1, one + "\n" + other)]), labels).collect()] == [0]
+    got = similar_components(table(spark, [(1, one), (2, other)]).select("doc_id", "text"))
+    assert {r.component_id for r in got.collect()} == {1, 2}
+    got = remove_repeated_words(table(spark, [(1, f"{one} x"), (2, f"{other} x")]), 2, 1)
+    assert {r.n_removed for r in got.collect()} == {0}
+    runs = {}
+    for text in (one, other):
+        for i in range(len(text) - 399):
+            runs.setdefault(text[i : i + 400], []).append(i)
+    gone = {t: {p + k for x, at in runs.items() if len(at) > 1 for p in at if t[p : p + 400] == x for k in range(400)} for t in (one, other)}
+    got = {r.doc_id: r.n_removed for r in remove_repeats(table(spark, [(1, one), (2, other)])).collect()}
+    assert got == {1: len(gone[one]), 2: len(gone[other])}
+
+
 # ---- classifier
 
 def test_knn(spark):
