@@ -34,8 +34,10 @@ PERCENT = 80
 SPARE, SPARE_EVERY = 12, 8
 #: Fewest bits of the short sketch that goes with a candidate; rows of a group compared at once; members verified at once.
 SHORT_BITS, BLOCK, VERIFY = 512, 2048, 256
-#: Piece hashes that a map task gathers before it hands them out.
-FLUSH = 1 << 20
+#: Piece hashes that a map task gathers before it hands them out; bytes of them that a task groups at once.
+FLUSH, BUCKET_BYTES = 1 << 20, 24 << 20
+#: Hashes of wanted texts, of eight bytes, that are broadcast so that other texts aren't shuffled; more are joined by shuffle.
+BROADCAST_TEXTS = 4_000_000
 
 
 def shingles(off: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,10 +109,11 @@ def _empty(first: np.ndarray, held: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def needed(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT) -> np.ndarray:
-    """How many offered pieces a set shares at least with any set that it links with."""
-    layouts = (_layout(row, _wide(x), rows, up, percent) for up in (0, 1))
-    return np.maximum(1, np.min([1 + spare - _empty(first, held) for _, spare, first, _, held in layouts], axis=0))
+def offered(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """How many offered pieces a set shares at least with any set that it links with, and how many it has at most."""
+    layouts = [_layout(row, _wide(x), rows, up, percent) for up in (0, 1)]
+    need = np.maximum(1, np.min([1 + spare - _empty(first, held) for _, spare, first, _, held in layouts], axis=0))
+    return need, np.sum([np.diff(first) for _, _, first, _, _ in layouts], axis=0)
 
 
 def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +137,7 @@ def pieces(row: np.ndarray, x: np.ndarray, rows: int, percent: int = PERCENT) ->
 
 
 def shingle_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, t (hash of the text), n_shingles, node (null without words), need (of needed()), sketch of each row."""
+    """doc_id, t (hash of the text), n_shingles, node (null without words), need and pieces (of offered()), sketch of each row."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +146,13 @@ def shingle_nodes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 row, x = shingles(off, data)
                 n, node = nodes_of(row, x, j - i)
                 sketch = short_sketches(row, x, j - i)
+                need, most = offered(row, x, j - i, percent)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(n), pa.array(node, mask=n == 0), pa.array(needed(row, x, j - i, percent)), pa.array(sketch, pa.binary())],
-                    ["doc_id", "t", "n_shingles", "node", "need", "sketch"],
+                    [b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(n), pa.array(node, mask=n == 0), pa.array(need), pa.array(most), pa.array(sketch, pa.binary())],
+                    ["doc_id", "t", "n_shingles", "node", "need", "pieces", "sketch"],
                 )
 
-    return rows.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n_shingles long, node long, need long, sketch binary")
+    return rows.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n_shingles long, node long, need long, pieces long, sketch binary")
 
 
 def _dealt(docs: DataFrame, buckets: int, percent: int) -> DataFrame:
@@ -302,6 +306,21 @@ def _near(groups: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, text of the nodes of pairs. nodes: node, doc_id, t.
+
+    Only their texts go into the shuffle where the hashes of all of them are few enough to be broadcast."""
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "t")
+    wanted = keep(wanted, "sketch-wanted")
+    own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    if wanted.count() <= BROADCAST_TEXTS:
+        own = own.join(F.broadcast(wanted.select("t").distinct()), "t", "left_semi")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t"))
+    texts = keep(own.alias("d").join(wanted.alias("m"), same).select("m.node", "d.text").dropDuplicates(["node"]), "sketch-texts")
+    drop(wanted)
+    return texts
+
+
 def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | None = None) -> DataFrame:
     """doc_id, t, n_shingles, component_id, root (of the component; null without words) of each row of docs (doc_id, text).
 
@@ -309,31 +328,36 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, buckets: int | N
     similarity of percent / 100 or more; component_id is the least doc_id that links reach. Without
     words a row is alone and has its own id. Equal rows link as equal texts do; a null doc_id is never
     the least unless it is alone. An empty table gives an empty one."""
-    spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     info = keep(shingle_nodes(docs, percent), "shingle-nodes")
+    if buckets is None:
+        entries = info.agg(F.sum("pieces")).first()[0] or 0
+        buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-16 * entries // BUCKET_BYTES))
     met = keep(_shared(_dealt(docs, buckets, percent)), "sketch-met")
     need = info.where("node IS NOT NULL").groupBy("node").agg(F.first("need").alias("need"))
     groups = keep(_enough(met, need), "sketch-groups")
     drop(met)
     node = info.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     node = keep(node.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.t").alias("t"), "n", "sketch").join(groups.select("node").distinct(), "node", "left_semi"), "sketch-nodes")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").alias("d")
-    texts = keep(own.join(node.select("node", "doc_id", "t").alias("m"), same).select("m.node", "d.text").dropDuplicates(["node"]), "sketch-texts")
 
     # A star for each group, around the member that meets others most often.
-    stars = groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     light = node.select("node", "n", "sketch")
-    stars = _possible(stars, light, percent)
-    links = keep(_verified(keep(stars, "sketch-stars"), texts, percent), "sketch-links")
+    stars = keep(_possible(groups.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), light, percent), "sketch-stars")
+    texts = _texts(docs, node, stars)
+    links = keep(_verified(stars, texts, percent), "sketch-links")
+    drop(texts)
+    drop(stars)
     root = keep(components(links), "sketch-roots")
 
     # What the stars leave apart: pairs of a group whose members have different roots.
     pairs = keep(_near(_apart(groups, root).join(light, "node"), percent), "sketch-pairs")
-    more = keep(_verified(pairs, texts, percent), "sketch-more")
-    if more.limit(1).count():
-        root = keep(components(links.unionByName(more)), "sketch-roots")
+    drop(groups)
+    if pairs.limit(1).count():
+        texts = _texts(docs, node, pairs)
+        links = links.unionByName(keep(_verified(pairs, texts, percent), "sketch-more"))
+        drop(texts)
+        root = keep(components(links), "sketch-roots")
+    drop(pairs)
+    drop(node)
 
     rooted = info.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -378,11 +402,15 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_shingles, coalesce(m.component_id, d.d
 
 
 def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with its least id; of equal rows one."""
+    """One document of each component: the one with its least id; of rows of one id and text the one whose other columns come first as JSON.
+
+    Rows without words, null texts too, are alone: each different one stays. An empty table gives an empty one."""
     keyed = docs.withColumn("__t", F.xxhash64("text"))
     found = similar_components(docs.select("doc_id", "text"))
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("at"))
     alone = found.where("n_shingles = 0").select("doc_id", "t")
     stay = first.select("at.doc_id", "at.t").unionByName(alone).distinct().alias("s")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__t") == F.col("s.t"))
-    return keyed.alias("d").join(stay, same, "left_semi").dropDuplicates(["doc_id", "__t"]).select(*docs.columns)
+    kept = keyed.alias("d").join(stay, same, "left_semi")
+    rest = F.to_json(F.struct(F.lit(1), *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return kept.groupBy("doc_id", "__t").agg(F.min_by(F.struct(*docs.columns), rest).alias("row")).select("row.*")

@@ -19,7 +19,7 @@ from assay.llm.line_dedup import LineRuns, dedup_lines
 from assay.llm.mixing import WEIGHTS, mix, targets
 from assay.llm.quality_knn import quality_scores
 from assay.llm.radix_dedup import remove_repeats
-from assay.llm.sketch_join import jaccard_stage, needed, pieces, similar_components
+from assay.llm.sketch_join import jaccard_stage, offered, pieces, similar_components
 from assay.llm.suffix_dedup import remove_repeated_words
 from assay.llm.tool_calls import link_calls, schema_table
 
@@ -202,7 +202,8 @@ def test_linked_sets_share_the_needed_pieces(size):
         assert 100 * both >= 80 * (len(a) + len(b) - both)
         row, x = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((np.sort(a), np.sort(b)))
         of, key = pieces(row, x, 2)
-        need = needed(row, x, 2)
+        need, most = offered(row, x, 2)
+        assert (np.bincount(of, minlength=2) <= most).all()
         assert len(np.intersect1d(key[of == 0], key[of == 1])) >= need.max() >= 1
         if size >= 400:
             assert need.min() > 1
