@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.llm._labelled import labelled_texts
 from assay.llm._text import FOLDED, SPACE, Lines, Words, covered, mixed, parts, prefix, spans, sums
 
-#: Bounds of what is fitted on the driver: labelled documents of each class, and lines of each that may be learnt from.
-SAMPLE_PER_CLASS = 600
-MOST_LINES = 300
+#: Bounds of what is fitted on the driver: labelled documents of each class, of which those of up to so many lines are learnt from.
+SAMPLE_PER_CLASS, SAMPLE_LINES = 600, 2000
 #: Documents with a smaller share of words in content lines are dropped.
 CONTENT_SHARE = 0.5
 #: Base rules: fewer words fail; more per cent of words in repeated 8-word windows fail.
@@ -34,6 +34,8 @@ _SIZES = np.array([1, 3, 6, 13, 40])
 _VALUES = (6, 5, 5, 5, 5, 5, 5, 2, 2, 2)
 _BASE = np.concatenate(([0], np.cumsum(_VALUES)))[:-1]
 FEATURES = sum(_VALUES)
+#: The feature that says whether a line is its document's first.
+_FIRST = 9
 
 
 def line_features(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words) -> np.ndarray:
@@ -63,7 +65,7 @@ def line_features(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words)
             part(sums(again, s, e), n),
             np.isin(last, list(b".?!:;,")).astype(int),
             dup.astype(int),
-            (np.arange(len(s)) == lines.first[:-1][lines.row]).astype(int),
+            (np.arange(len(s)) == lines.first[:-1][lines.row]).astype(int),  # _FIRST
         ],
         axis=1,
     ) + _BASE
@@ -109,10 +111,26 @@ def viterbi(emit: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
     return state
 
 
-def fit(features: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> dict:
-    """Maximum conditional likelihood by forward-backward and Adam; every line of a document bears its label."""
+def joined_chains(features: list[np.ndarray], labels: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Chains and their lines' states to learn from: each document with its label on all lines, and for each
+    two of different labels one put into the middle of the other, so that states change where the lines do."""
+    chains, states = list(features), [np.full(len(f), y) for f, y in zip(features, labels, strict=True)]
+    kinds = [[f for f, y in zip(features, labels, strict=True) if y == q] for q in (0, 1)]
+    for i in range(max(map(len, kinds))):
+        pair = [kinds[q][i % len(kinds[q])] for q in (0, 1)]
+        for outer, inner in ((0, 1), (1, 0)):
+            half = (len(pair[outer]) + 1) // 2
+            chain = np.concatenate((pair[outer][:half], pair[inner], pair[outer][half:]))
+            chain[1:, _FIRST] = _BASE[_FIRST]
+            chains.append(chain)
+            states.append(np.repeat([outer, inner, outer], [half, len(pair[inner]), len(pair[outer]) - half]))
+    return chains, states
+
+
+def fit(features: list[np.ndarray], states: list[np.ndarray], rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> dict:
+    """Maximum conditional likelihood of the states of chains of lines, by forward-backward and Adam."""
     first = np.concatenate(([0], np.cumsum([len(f) for f in features])))
-    x, y = np.concatenate(features), np.repeat(np.array(labels), np.diff(first))
+    x, y = np.concatenate(features), np.concatenate(states)
     steps = list(_steps(np.diff(first)))
     n, rows = len(y), np.arange(len(y))
     size = FEATURES * 2
@@ -148,34 +166,37 @@ def fit(features: list[np.ndarray], labels: list[int], rounds: int = 150, rate:
     return {"emit": p[:size].reshape(-1, 2), "trans": p[size : size + 4].reshape(2, 2), "start": p[size + 4 :]}
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_lines: int = MOST_LINES) -> dict | None:
-    """Weak supervision: the lines of documents of quality 1 are content, those of quality 0 boilerplate.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_lines: int = SAMPLE_LINES) -> dict | None:
+    """Weak supervision: the lines of documents of quality 1 are content, those of quality 0 boilerplate, alone
+    and in chains of both (joined_chains()).
 
-    Learns from at most per_class documents of each class (lowest label where there are several),
-    the same ones in every run, and from at most most_lines lines of each. None where a class has no row."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
+    Learns from all lines of at most per_class documents of each class, the same ones in every run; of those,
+    documents of more than most_lines lines are not in the sample. None where a class has no row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, off, data in parts(b.column("text")):
                 lines = Lines(off, data)
                 f = line_features(off, data, lines, Words(off, data)).astype(np.int16)
-                blobs = [f[s : min(e, s + most_lines)].tobytes() for s, e in zip(lines.first[:-1], lines.first[1:], strict=True)]
+                blobs = [f[s:e].tobytes() for s, e in zip(lines.first[:-1], lines.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "quality", "lines"])
 
-    # At most 2 * per_class rows, whatever the input.
-    ids = F.broadcast(picked[0].unionByName(picked[1]))
-    got = docs.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(rows, "doc_id long, quality int, lines binary").collect()
+    short = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < most_lines
+    got = labelled_texts(docs, labels, per_class, short).mapInArrow(rows, "doc_id long, quality int, lines binary").collect()
     if len({r.quality for r in got}) < 2:
         return None
     got.sort(key=lambda r: r.doc_id)
-    return fit([np.frombuffer(r.lines, np.int16).reshape(-1, len(_VALUES)) for r in got], [r.quality for r in got])
+    return fit(*joined_chains([np.frombuffer(r.lines, np.int16).reshape(-1, len(_VALUES)) for r in got], [r.quality for r in got]))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_content_words")
 
 
+def content_lines(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words, model: dict) -> np.ndarray:
+    """Which lines the best states of each document's chain mark as content."""
+    return viterbi(model["emit"][line_features(off, data, lines, words)].sum(1), lines.first, model) == 1
+
+
 def measure(off: np.ndarray, data: np.ndarray, model: dict | None) -> list[np.ndarray]:
     """COUNTS of each row; without a model every line is content."""
     words, lines = Words(off, data), Lines(off, data)
@@ -195,8 +216,7 @@ def measure(off: np.ndarray, data: np.ndarray, model: dict | None) -> list[np.nd
     if model is None:
         content = words.count
     else:
-        emit = model["emit"][line_features(off, data, lines, words)].sum(1)
-        content = np.bincount(lines.row, line_words * (viterbi(emit, lines.first, model) == 1), minlength=n)
+        content = np.bincount(lines.row, line_words * content_lines(off, data, lines, words, model), minlength=n)
     solid = ~SPACE[data] & ((data & 0xC0) != 0x80)
     repeat = sums(again, words.first[:-1], words.first[1:])
     return [words.count, sums(solid, s, e), sums(_SYMBOL[data], s, e), np.bincount(lines.row, dup, minlength=n), repeat, content]
@@ -205,10 +225,11 @@ def measure(off: np.ndarray, data: np.ndarray, model: dict | None) -> list[np.nd
 def line_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, content_share: float = CONTENT_SHARE) -> DataFrame:
     """docs with COUNTS, base_failed, content_share and kept.
 
-    One row out for each row in, extra columns kept (of equal names, ours replace them). A null text
-    counts as empty: no words, base_failed. Without labels of both classes every line is content."""
+    One row out for each row in, repeated rows too, extra columns kept (of equal names, ours replace them). A
+    null text counts as empty: one line without words, base_failed; so does a text of white space. Without
+    labels of both classes every line is content. Ties of the best states go to boilerplate."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
-    docs = docs.drop(*COUNTS)
+    docs = docs.drop(*COUNTS, "base_failed", "content_share", "kept")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.llm._labelled import labelled_texts
 from assay.llm._text import FOLDED, SPACE, Words, parts, prefix, spans
 
 #: Bounds of what is fitted and broadcast: labelled rows of each class, latent dimensions, voters.
@@ -101,13 +102,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    """Fit on at most per_class labelled rows of each class, the same ones in every run.
+    """Fit on at most per_class labelled rows of each class that aren't held out, the same ones in every run.
 
-    A document with several labels counts with its lowest; null ids or labels are left out. None
-    where a class has no row."""
-    own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
-    ids = picked[0].unionByName(picked[1])
+    A document with several labels counts with its lowest, one with several texts with that of the least
+    hash; null ids or labels are left out. None where a class has no row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,8 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
                 x = term_matrix(off, data).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "terms"])
 
-    # ids has at most 2 * per_class rows, whatever the input.
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(rows, "doc_id long, quality int, terms binary").collect()
+    got = labelled_texts(docs, labels.where(~held_out()), per_class).mapInArrow(rows, "doc_id long, quality int, terms binary").collect()
     if len({r.quality for r in got}) < 2:
         return None
     got.sort(key=lambda r: r.doc_id)

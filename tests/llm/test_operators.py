@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.llm._components import components
-from assay.llm._text import BYTE, prefix, spans, utf8
+from assay.llm._text import BYTE, Lines, Words, prefix, spans, utf8
 from assay.llm.decontaminate import find_items
-from assay.llm.line_crf import COUNTS, fit, line_quality, viterbi
+from assay.llm.line_crf import COUNTS, content_lines, fit, joined_chains, line_quality, train, viterbi
 from assay.llm.line_dedup import LineRuns, dedup_lines
 from assay.llm.mixing import WEIGHTS, mix, targets
 from assay.llm.quality_knn import quality_scores
@@ -104,12 +104,48 @@ def test_viterbi_is_exact():
 
 
 def test_crf_learns_transitions():
-    import numpy as np
-
-    model = fit([np.zeros((6, 10), int)] * 10 + [np.ones((6, 10), int)] * 10, [0] * 10 + [1] * 10)
+    model = fit(*joined_chains([np.zeros((6, 10), int)] * 10 + [np.ones((6, 10), int)] * 10, [0] * 10 + [1] * 10))
     assert model["trans"][0, 0] > model["trans"][0, 1] and model["emit"][1, 1] > model["emit"][1, 0]
 
 
+def good_lines(rng, n):
+    return [" ".join(words(rng, rng.randint(6, 14))) + "." for _ in range(n)]
+
+
+def junk_lines(rng, n):
+    return [" ".join(w.upper() + rng.choice(["!!", " |", "***"]) for w in words(rng, rng.randint(6, 14))) for _ in range(n)]
+
+
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Trained on documents of one kind only, the chain marks the right lines of documents of both."""
+    rng = random.Random(3)
+    pure = [(i, "\n".join((good_lines if i % 2 else junk_lines)(rng, rng.randint(1, 9)))) for i in range(160)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d, _ in pure], "doc_id long, quality int, toxic int")
+    mixed, want = [], {}
+    for i in range(40):
+        kinds = [rng.random() < 0.5] * rng.randint(2, 5) + [rng.random() < 0.5] * rng.randint(2, 5) + [True] * 3
+        lines = [(good_lines if k else junk_lines)(rng, 1)[0] for k in kinds]
+        n = [len(WORD.findall(x)) for x in lines]
+        mixed.append((1000 + i, "\n".join(lines)))
+        want[1000 + i] = sum(x for x, k in zip(n, kinds, strict=True) if k), sum(n), kinds
+    odd = [(2000, None), (2001, ""), (2002, " \n\n\t"), (2003, "\n".join(good_lines(rng, 3000))), (2004, "\n".join(junk_lines(rng, 3000))), (None, mixed[0][1]), mixed[0]]
+    docs = table(spark, pure + mixed + odd)
+    out = line_quality(docs, labels).collect()
+    got = {r.doc_id: r for r in out}
+    right = [d for d, (content, n, _) in want.items() if got[d].n_content_words == content and got[d].n_words == n]
+    assert len(out) == len(pure + mixed + odd) and len(right) >= 0.95 * len(want)
+    between = [d for d, (content, n, _) in want.items() if content < n]
+    assert len(between) > 20 and all(0 < got[d].content_share < 1 for d in between)
+    model = train(docs, labels)
+    off, data = utf8(pa.array([x for _, x in mixed]))
+    lines = Lines(off, data)
+    marks = content_lines(off, data, lines, Words(off, data), model)
+    assert np.mean(marks == np.concatenate([want[1000 + i][2] for i in range(40)])) > 0.98
+    assert [(got[d].n_words, got[d].n_content_words, got[d].content_share, got[d].kept) for d in (2000, 2001, 2002)] == [(0, 0, 0.0, False)] * 3
+    assert got[2003].content_share > 0.99 and got[2003].kept and got[2004].content_share < 0.01 and not got[2004].kept
+    assert got[None].content_share == got[1000].content_share
+
+
 # ---- tool calls
 
 def test_tool_calls(spark):
