@@ -210,23 +210,38 @@ def _passes(wanted: DataFrame, units: Units) -> DataFrame:
     return both.groupBy("context", "span").agg(F.flatten(F.transform(k, lambda x: F.array(x, x))).alias("hits"))
 
 
+#: Keys of more rows than this, and than this part of all rows, are joined by broadcast: there are HOT_PART of them at most.
+HOT_ROWS, HOT_PART = 5_000, 10_000
+
+
+def _hot_apart(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keys (on, n, more columns; n: how many rows a key has). Hot keys are few, so they are
+    broadcast, and their rows aren't shuffled to one task each."""
+    limit = max(HOT_ROWS, (keys.agg(F.sum("n")).first()[0] or 0) // HOT_PART)
+    hot = F.broadcast(keys.where(F.col("n") > limit).drop("n"))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.where(F.col("n") <= limit).drop("n"), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def repeated_windows(docs: DataFrame, units: Units, order: Order, at_once: int = AT_ONCE, most_runs: int = MOST_RUNS) -> DataFrame:
     """__u, __v, __hits of the documents (of with_uid()) with repeated windows: first and last window of series of them, in turn."""
     every = keep(runs_of(docs, units), "repeat-runs")
-    twice = every.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("context")
-    shared = keep(every.join(twice, "context", "left_semi"), "repeat-shared")
+    twice = keep(every.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-contexts")
+    shared = keep(_hot_apart(every, twice, ["context"]), "repeat-shared")
     drop(every)
-    one = shared.groupBy("context", "span", "size").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("weight"), F.min(F.struct("u", "v", "at")).alias("one"))
-    one = keep(one, "repeat-kinds")
-    large = one.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_runs).select("context")
-    found = _ordered(_cut_runs(_wanted(docs, one.join(large, "context", "left_anti")), units), units, order, at_once)
+    drop(twice)
+    one = keep(shared.groupBy("context", "span", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "at")).alias("one")), "repeat-kinds")
+    kinds = one.withColumn("weight", F.least("n", F.lit(2)).cast("int"))
+    large = one.groupBy("context").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > most_runs).select("context")
+    large = keep(large, "repeat-large")
+    found = _ordered(_cut_runs(_wanted(docs, kinds.join(large, "context", "left_anti")), units), units, order, at_once)
     if large.limit(1).count():
-        found = found.unionByName(_passes(_wanted(docs, one.join(large, "context", "left_semi")), units))
-    found = keep(found, "repeat-found")
-    absolute = shared.join(found, ["context", "span"]).select("u", "v", F.transform("hits", lambda x: x + F.col("at")).alias("hits"))
+        found = found.unionByName(_passes(_wanted(docs, kinds.join(large, "context", "left_semi")), units))
+    found = keep(found.join(one.select("context", "span", "n"), ["context", "span"]), "repeat-found")
+    absolute = _hot_apart(shared, found, ["context", "span"]).select("u", "v", F.transform("hits", lambda x: x + F.col("at")).alias("hits"))
     by = absolute.groupBy(F.col("u").alias("__u"), F.col("v").alias("__v")).agg(F.flatten(F.collect_list("hits")).alias("__hits"))
     hits = keep(by, "repeat-hits")
-    for table in (shared, one, found):
+    for table in (shared, one, large, found):
         drop(table)
     return hits
 

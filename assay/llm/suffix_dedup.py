@@ -14,7 +14,7 @@ from assay.llm._repeats import AT_ONCE, MOST_RUNS, Groups, Units, removed, repea
 from assay.llm._text import Words, parts
 
 #: Words of a window, and the least of the prefix that a group of suffixes shares.
-WINDOW, PREFIX = 35, 8
+WINDOW, PREFIX = 35, 14
 
 
 def subtrees(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, prefix: np.ndarray, weight: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
