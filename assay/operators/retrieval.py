@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
-from assay.functions.text import content_terms, stem, stems, tokens, without_stopwords
+from assay.functions.text import content_terms, stem, tokens, without_stopwords
+from assay.operators.kept import kept
 
 #: A side of a join is broadcast only if it has at most so many rows.
 BROADCAST_ROWS = 200_000
@@ -17,8 +18,15 @@ def if_small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table, dealt out where it comes in fewer parts than there are cores (a small file); a large one isn't shuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def document_terms(kb: DataFrame) -> DataFrame:
     """doc_id, length and content words of each document's title and text; stems are made of exploded rows, in generated code."""
+    kb = spread(kb.select("doc_id", "title", "text"))
     words = without_stopwords(tokens(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))))
     return kb.select("doc_id", words.alias("words")).withColumn("length", F.size("words").cast("long"))
 
@@ -33,11 +41,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(content_terms(F.col("user_question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(documents: DataFrame, vocabulary: DataFrame | None = None, checked: bool = False) -> DataFrame:
-    """doc_id, length, term, tf; of the terms of vocabulary only, if given: others can't score. checked: it is distinct, and sent as it should be."""
+def postings(documents: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """doc_id, length, term, tf; of the terms of vocabulary only, if given: others can't score."""
     rows = documents.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", stem(F.col("word")).alias("term"))
     if vocabulary is not None:
-        rows = rows.join(vocabulary if checked else if_small(vocabulary.select("term").distinct()), "term", "left_semi")
+        rows = rows.join(if_small(vocabulary.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -45,15 +53,6 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def term_counts(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, df, length: document frequency of the vocabulary's terms; the empty term stands for all documents
-    and their lengths. One scan, and no more than a row for each term and task is shuffled."""
-    terms = F.array_append(F.array_distinct(stems(F.col("words"))), F.lit(""))
-    rows = documents.select("length", F.explode(terms).alias("term"))
-    # Callers have checked the size of the vocabulary where it is to be broadcast.
-    return rows.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
-
-
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -63,29 +62,70 @@ def bm25_weight(tf: Column, length: Column, avg_length: Column, k1: float, b: fl
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
 
 
+#: Terms of a query, those that may add most, whose scores give the first bound for its top documents.
+SEEDS = 4
+#: Postings that the queries meet, counted before, from which on documents are pruned: below, pruning costs more than it saves.
+PRUNE_FROM = 50_000_000
+
+
+def _scores(weighed: DataFrame, some: DataFrame) -> DataFrame:
+    """query_id, doc_id, score by the query terms `some` (query_id, term, times)."""
+    return weighed.join(some, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+
+
+def _able(weighed: DataFrame, asked: DataFrame, k: int, digits: int, send) -> DataFrame:
+    """query_id, doc_id, score of the documents that can be among the k best of their queries, in parts that add up.
+
+    The terms that may add most give a bound that k documents reach; terms that together can't add as much
+    (the common ones) don't make a document a candidate, and candidates that can't reach the bound with them
+    go. The bound is two units of the last digit below the k-th score, so that rounding loses nothing."""
+    most = weighed.groupBy("term").agg(F.max("weight").alias("most"))
+    parts = asked.join(send(most), "term").select("query_id", "term", "times", (F.col("most") * F.col("times")).alias("most"))
+    parts = kept(parts.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term"))), "bm25-parts")
+    of = lambda some: send(some.select("query_id", "term", "times"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    kth = lambda scores, name: scores.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", (F.col("score") - 2 * 10.0**-digits).alias(name))
+    upto = Window.partitionBy("query_id").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = parts.join(send(kth(_scores(weighed, of(parts.where(F.col("n") <= SEEDS))), "bound")), "query_id", "left")
+    marked = kept(marked.withColumn("common", F.coalesce(F.sum("most").over(upto) < F.col("bound"), F.lit(False))), "bm25-marked")
+    partial = kept(_scores(weighed, of(marked.where("NOT common"))), "bm25-partial")
+    rest = marked.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(0.0)).alias("rest"))
+    # What the other terms give is a better bound than the seeds'.
+    least = rest.join(send(kth(partial, "better")), "query_id", "left").select("query_id", (F.coalesce("better", F.lit(-1.0)) - F.col("rest")).alias("least"))
+    able = kept(partial.join(send(least), "query_id").where("score >= least").select("query_id", "doc_id", "score"), "bm25-able")
+    # The common terms' share of the candidates' scores: their postings meet few candidates.
+    wanted = able.select("query_id", "doc_id").join(of(marked.where("common")), "query_id")
+    return able.unionByName(weighed.join(wanted, ["doc_id", "term"]).select("query_id", "doc_id", (F.col("weight") * F.col("times")).alias("score")))
+
+
 def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.0) -> DataFrame:
     """query_id, rank, doc_id, score of the top_k documents of each query.
 
     Scores are rounded first and ranked then, ties by doc_id as text. Documents that score 0 fill up:
     as no score is negative, they can only be among the top_k least ids, so those are added to the
-    documents that share a term, and no product of queries and documents is formed. Texts stay out
-    of every shuffle; join them to the result."""
+    documents that share a term, and no product of queries and documents is formed. Texts are read once
+    and stay out of every shuffle; join them to the result. Where queries meet very many postings, only
+    documents that can be among the best are scored whole (_able()); the result is the same."""
     k, k1, b, digits = config["top_k"], config["bm25_k1"], config["bm25_b"], config["score_precision"]
-    documents = document_terms(kb)
-    asked = query_terms(queries)
+    asked = kept(query_terms(queries), "bm25-asked")
+    # No table that is broadcast below has more rows than asked, or it has one row a query that asks.
+    send = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda table: table
     terms = asked.select("term").distinct()
-    small = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    send = F.broadcast if small else lambda table: table  # no table below has more rows than the vocabulary
-    every = terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
-    counts = term_counts(documents, send(every))
+    # The empty word stands for its document: it carries the number of documents and their lengths.
+    documents = document_terms(kb).withColumn("words", F.array_append("words", F.lit("")))
+    rows = documents.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", stem(F.col("word")).alias("term"))
+    posted = rows.join(send(terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))), "term", "left_semi")
+    posted = kept(posted.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
+    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     stats = F.broadcast(counts.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_length")))  # one row
-    posted = postings(documents, send(terms), checked=True)
-    weighed = posted.join(send(counts.where("term <> ''").select("term", "df")), "term").join(stats)
     weight = idf(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
-    hits = weighed.select("term", "doc_id", weight.alias("weight")).join(if_small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    weighed = posted.join(send(counts.where("term <> ''").select("term", "df")), "term").join(stats).select("term", "doc_id", weight.alias("weight"))
+    met = asked.join(send(counts), "term").agg(F.sum("df")).first()[0] or 0
+    scores = _scores(weighed, send(asked)) if met < PRUNE_FROM else _able(kept(weighed, "bm25-weights"), asked, k, digits, send)
     first = F.broadcast(kb.select("doc_id").orderBy("doc_id").limit(k))  # k rows
     fill = queries.select("query_id").join(first).withColumn("score", F.lit(0.0))
-    scored = hits.select("query_id", "doc_id", rounded(F.col("score"), digits, shift).alias("score")).unionByName(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    scored = scores.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    scored = scored.withColumn("score", rounded(F.col("score"), digits, shift))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -5,18 +5,18 @@ benchmark items or first user turns the questions, assistant turns the answers o
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.functions.grounding import unsupported_numbers
+from assay.functions.grounding import unsupported_numbers, with_evidence, with_grounding
 from assay.functions.matching import exact, in_order, matches, rung
 from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms, stem, stems, tokens, without_stopwords
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
-from assay.operators.checks import score_answers
+from assay.operators.checks import dealt, score_answers
+from assay.operators.kept import kept
 from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_reviews, stub_winner
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
@@ -105,15 +105,8 @@ class Evaluated(Tables):
         self._kept: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """A Parquet table in spark.checkpoint.dir, or persisted where that is unset."""
         if name not in self._kept:
-            table, shared = make(), self.spark.conf.get("spark.checkpoint.dir", None)
-            if shared:
-                path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-                table.write.parquet(path)
-                self._kept[name] = self.spark.read.schema(table.schema).parquet(path)
-            else:
-                self._kept[name] = table.persist()
+            self._kept[name] = kept(make(), name)
         return self._kept[name]
 
     def retrieval(self) -> DataFrame:
@@ -324,17 +317,15 @@ def match_ladder(t: Tables) -> DataFrame:
 
 @query(f"WITH {_EVIDENCE} SELECT query_id, variant, q AS quote, round(p + 1e-9::DOUBLE, 4) AS precision, score AS grounding_score, array_to_string(lost, ',') AS unsupported FROM grounded")
 def grounding_score(t: Tables) -> DataFrame:
-    from assay.functions.grounding import evidence_text, grounding
-
-    ev = t.retrieval().select("query_id", evidence_text(F.col("retrieved")).alias("evidence")).withColumn("terms", F.array_distinct(content_terms(F.col("evidence"))))
-    rows = t.answers().join(ev, "query_id").withColumn("g", grounding(F.col("answer"), tokens(F.col("answer")), F.col("evidence"), F.col("terms"), CONFIG["grounding"], SHIFT))
-    return rows.select("query_id", "variant", F.col("g.quote").alias("quote"), F.col("g.precision").alias("precision"), F.col("g.score").alias("grounding_score"), F.array_join("g.unsupported", ",").alias("unsupported"))
+    ev = with_evidence(t.retrieval()).drop("retrieved")
+    rows = dealt(t.answers()).join(ev, "query_id").withColumn("words", tokens(F.col("answer")))
+    return with_grounding(rows, CONFIG["grounding"], SHIFT).select("query_id", "variant", "quote", "precision", "grounding_score", F.array_join("unsupported", ",").alias("unsupported"))
 
 
 @query("WITH b AS (SELECT page_id, html, lower(url) AS url FROM pages) SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'), lambda x: NOT contains(url, x)))), ' ') AS numbers FROM b")
 def numbers_not_in_evidence(t: Tables) -> DataFrame:
     """Numbers of a page that its address doesn't bear out: the number check where there are numbers."""
-    return t.read("pages").select("page_id", F.array_join(unsupported_numbers(F.col("html"), F.col("url")), " ").alias("numbers"))
+    return t.read("pages").select("page_id", F.array_join(unsupported_numbers(F.col("html"), F.lower("url")), " ").alias("numbers"))
 
 
 _SCORED = f"""WITH {_EVIDENCE}, ph AS (SELECT query_id, variant, len(expected_doc_ids) = 0 AS free, expected_doc_ids, must_include_any, must_not_claim, pi, pn, ri, rn FROM (

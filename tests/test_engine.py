@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from assay.functions.grounding import grounding
+from assay.functions.grounding import with_evidence, with_grounding
 from assay.functions.text import content_terms, tokens
 from assay.operators import validate
 from assay.operators.aggregate import recommendation, tradeoffs, verdicts
@@ -77,6 +77,20 @@ def test_bm25_repeated_query_terms_and_empty_tables(spark):
     assert bm25_topk(kb, q.limit(0), CONFIG["retrieval"]).count() == 0
 
 
+def test_pruned_retrieval_is_the_same(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(60)]
+    text = lambda n: " ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=n))
+    kb = spark.createDataFrame([(str(i), None, text(rng.randint(1, 40))) for i in range(300)], "doc_id string, title string, text string")
+    queries = spark.createDataFrame([(f"q{i}", text(rng.randint(0, 12))) for i in range(30)], "query_id string, user_question string")
+    rows = lambda: sorted(map(tuple, bm25_topk(kb, queries, CONFIG["retrieval"] | {"top_k": 3}).collect()))
+    whole = rows()
+    monkeypatch.setattr("assay.operators.retrieval.PRUNE_FROM", 0)
+    assert rows() == whole and len(whole) == 90
+
+
 @pytest.mark.parametrize(
     ("answer", "evidence", "precision", "quote", "lost", "score"),
     [
@@ -85,9 +99,10 @@ def test_bm25_repeated_query_terms_and_empty_tables(spark):
     ],
 )
 def test_grounding(spark, answer, evidence, precision, quote, lost, score):
-    df = spark.createDataFrame([(answer, evidence)], "a string, e string")
-    g = df.select(grounding(F.col("a"), tokens(F.col("a")), F.col("e"), content_terms(F.col("e")), CONFIG["grounding"]).alias("g")).first().g
-    assert (g.precision, g.quote, g.unsupported, g.score) == (precision, quote, lost, pytest.approx(score, abs=1e-4))
+    passage = "array<struct<doc_id:string,score:double,title:string,text:string>>"
+    df = spark.createDataFrame([(answer, [("d", 1.0, None, evidence)])], f"answer string, retrieved {passage}")
+    g = with_grounding(with_evidence(df).withColumn("words", tokens(F.col("answer"))), CONFIG["grounding"]).first()
+    assert (g.precision, g.quote, g.unsupported, g.grounding_score) == (precision, quote, lost, pytest.approx(score, abs=1e-4))
 
 
 def test_scores_flags_and_notes(spark, files):
