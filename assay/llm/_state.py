@@ -11,16 +11,25 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in
+    tests; on a cluster an error, as executors don't share their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="assay-")
     return _own[app]
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A Parquet table; one in fewer parts than there are cores (a small file) is dealt out, a large one isn't shuffled."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that a lost executor
     costs a read and not a recomputation, and both sides of a self join see the same rows."""

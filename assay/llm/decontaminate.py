@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay.llm._state import read
 from assay.llm._text import FOLDED, SPACE, Words, parts, prefix, spans
 
-#: Word errors allowed for each word of an item; items of fewer words are not looked for.
-ERROR_RATE, LEAST_WORDS = 0.15, 5
+#: Word errors allowed for each word of an item; items of fewer words are not looked for. Items of 6 words or fewer are looked for as they are.
+ERROR_RATE, LEAST_WORDS = 0.15, 1
 #: Items are broadcast in blocks of about so many.
 BLOCK = 20_000
 
@@ -147,8 +148,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     """One row for each document and item that it holds."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    found = find_items(read("documents").select("doc_id", "text"), read("benchmark"))
+    found = find_items(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.item_id", "m.distance", "m.end_word")
 
 

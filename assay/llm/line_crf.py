@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm._labelled import labelled_texts
+from assay.llm._state import read
 from assay.llm._text import FOLDED, SPACE, Lines, Words, covered, mixed, parts, prefix, spans, sums
 
 #: Bounds of what is fitted on the driver: labelled documents of each class, of which those of up to so many lines are learnt from.
@@ -246,6 +247,5 @@ def line_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER
 
 
 def op1_line_crf(spark, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    out = line_quality(read("documents").select("doc_id", "text"), read("labels"))
+    out = line_quality(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", *COUNTS, "base_failed", "content_share", "kept")

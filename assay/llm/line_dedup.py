@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from assay.llm._state import drop, keep
+from assay.llm._state import drop, keep, read
 from assay.llm._text import FOLDED, SPACE, Lines, mixed, parts, prefix, quick_prefix, quick_spans, spans, sums
 
 #: Keys of fewer code points stay; keys in fewer documents stay.
@@ -118,28 +117,16 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int
     gone = repeated_lines(keep(line_keys(docs, least_chars), "lines"), least_docs, batches)
     own = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "__t": F.xxhash64("text")})
     own = own.join(gone.withColumnsRenamed({"id": "__id", "t": "__t", "drop": "__drop"}), ["__id", "__t"], "left").drop("__id", "__t")
-    at, names = docs.columns.index("text"), [*docs.columns, "n_lines", "n_dropped"]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, gone = b.column("text"), b.column("__drop")
-            kept, count = texts.to_pylist(), np.ones(b.num_rows, np.int64)
-            size = np.zeros(b.num_rows, np.int64)
-            for i, (text, lost) in enumerate(zip(kept, gone.to_pylist(), strict=True)):
-                if text:
-                    count[i] += text.count("\n")
-                if lost:
-                    out, size[i], rest = set(lost), len(lost), text.split("\n")
-                    kept[i] = "\n".join(x for k, x in enumerate(rest) if k not in out)
-            columns = [b.column(c) for c in names[:-2]]
-            columns[at] = pa.array(kept, texts.type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(size)], names)
-
-    return own.mapInArrow(cut, T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
+    # Only rows that lose lines are cut into them; what stays is looked up by position.
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    more = {"n_lines": F.coalesce(F.regexp_count("text", F.lit("\n")) + 1, F.lit(1)).cast("long"), "n_dropped": F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop")).cast("long")}
+    return own.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns), *(v.alias(k) for k, v in more.items()))
 
 
 def op6_line_runs(spark, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm._state import keep
+from assay.llm._state import keep, read
 
 #: Weights of the sources in code point order, repeating; what all take together; most copies of a document.
 WEIGHTS = (3, 1, 2)
@@ -97,7 +97,7 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

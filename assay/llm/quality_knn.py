@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm._labelled import labelled_texts
+from assay.llm._state import read
 from assay.llm._text import FOLDED, SPACE, Words, parts, prefix, spans
 
 #: Bounds of what is fitted and broadcast: labelled rows of each class, latent dimensions, voters.
@@ -141,8 +142,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_P
 
 
 def op8_quality_knn(spark, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    out = quality_scores(read("documents").select("doc_id", "text"), read("labels"))
+    out = quality_scores(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm._repeats import AT_ONCE, MOST_RUNS, Groups, Units, removed, repeated_windows, suffixes, with_hits, with_uid
+from assay.llm._state import read
 from assay.llm._text import parts
 
 #: Bytes of a window, and of its minimiser's context.
@@ -75,5 +76,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, context: int = CONTEXT
 
 
 def op7_radix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, x, length(x) // 2 AS n, regexp_extract_all(x, '.{1,800}') AS k FROM d),
+p AS (SELECT doc_id, unnest(range(0, n - 399)) AS pos, k FROM b WHERE n >= 400),
+w AS (SELECT doc_id, pos, substr(k[pos // 400 + 1], 2 * (pos % 400) + 1, 800) || coalesce(substr(k[pos // 400 + 2], 1, 2 * (pos % 400)), '') AS w FROM p),
+h AS (SELECT doc_id, pos, hash(w) AS h1, hash(w || 'x') AS h2 FROM w),
+r AS (SELECT doc_id, pos FROM h JOIN (SELECT h1, h2 FROM h GROUP BY h1, h2 HAVING count(*) > 1) USING (h1, h2)),
+s AS (SELECT doc_id, pos, CASE WHEN pos - lag(pos) OVER o <= 400 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+g AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM s),
+i AS (SELECT doc_id, min(pos) AS a, max(pos) + 400 AS z FROM g GROUP BY doc_id, run),
+l AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM i GROUP BY doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda j: substr(x, 2 * coalesce(z[j], 0) + 1, 2 * (coalesce(a[j + 1], n) - coalesce(z[j], 0)))), '') END)) AS kept_sha256
+FROM b LEFT JOIN l ON b.doc_id = l.doc_id
+"""

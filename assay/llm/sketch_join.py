@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm._components import components
-from assay.llm._state import drop, keep
+from assay.llm._state import drop, keep, read
 from assay.llm._text import FOLDED, Words, mixed, parts, prefix, spans
 
 SHINGLE = 5
@@ -381,7 +381,7 @@ def _possible(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
 
 
 def op3_sketch_join(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return similar_components(docs).select("doc_id", "n_shingles", "component_id")
 
 

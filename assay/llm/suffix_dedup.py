@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm._repeats import AT_ONCE, MOST_RUNS, Groups, Units, removed, repeated_windows, suffixes, with_hits, with_uid
+from assay.llm._state import read
 from assay.llm._text import Words, parts
 
 #: Words of a window, and the least of the prefix that a group of suffixes shares.
@@ -83,7 +84,7 @@ def _kept(words: Words, data: np.ndarray, off: np.ndarray, stays: np.ndarray) ->
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove_repeated_words(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
