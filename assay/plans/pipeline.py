@@ -66,9 +66,13 @@ def evaluate(inputs: Inputs, config: dict, log: DataFrame | None = None, live: C
 
 
 def recommendation_markdown(run: Evaluation) -> str:
+    return recommendation_text(run.verdicts, run.decision, run.tradeoffs, run.backend)
+
+
+def recommendation_text(verdict: DataFrame, decision: DataFrame, clearer: DataFrame, backend: str) -> str:
     """The decision in words. Only tables of one row for each variant are collected."""
-    one, rows = run.decision.first(), run.verdicts.orderBy("variant").collect()
-    lines = ["# Recommendation", "", f"Selected variant: {one.selected_variant or 'none'}", f"Judge backend: {run.backend}", "", "| variant | composite | gate | clarity | faithfulness | wins |", "|---|---|---|---|---|---|"]
+    one, rows = decision.first(), verdict.orderBy("variant").collect()
+    lines = ["# Recommendation", "", f"Selected variant: {one.selected_variant or 'none'}", f"Judge backend: {backend}", "", "| variant | composite | gate | clarity | faithfulness | wins |", "|---|---|---|---|---|---|"]
     lines += [f"| {r.variant} | {r.composite_score} | {'disqualified' if r.disqualified else 'passes'} | {r.mean_clarity} | {r.mean_faithfulness} | {r.judge_wins} |" for r in rows]
     lines += ["", "## Why", ""] + [f"- {r.variant} is out: {'; '.join(r.reasons)}" for r in rows if r.disqualified]
     if not one.n_candidates:
@@ -77,7 +81,7 @@ def recommendation_markdown(run: Evaluation) -> str:
         lines.append(f"- {one.selected_variant} alone passes the safety gate")
     else:
         lines.append(f"- margin over {one.runner_up}: {one.margin}" + ("" if one.selected_variant else ", too small to prefer one"))
-    lines += [f"- {r.variant} reads more clearly than {r.target} ({r.mean_clarity} against {r.target_clarity}) but fails the gate" for r in run.tradeoffs.orderBy("variant").collect()]
+    lines += [f"- {r.variant} reads more clearly than {r.target} ({r.mean_clarity} against {r.target_clarity}) but fails the gate" for r in clearer.orderBy("variant").collect()]
     lines += ["", "## Failure tags", ""] + [f"- {r.variant}: " + (", ".join(f"{k} {v}" for k, v in sorted(r.failure_tag_counts.items())) or "none") for r in rows]
     return "\n".join(lines) + "\n"
 

@@ -461,10 +461,13 @@ def retrieval_count_check(t: Tables) -> DataFrame:
 _HEAD = "provider=openai|model=gpt-4o-mini|temperature=0|max_tokens=4096|rubric=v1|prompt="
 
 
-@query(f"""WITH {_LIGHT}, l AS (SELECT query_id, string_agg('  variant "' || variant || '":' || chr(10) || '    answer: "' || coalesce(answer, '') || '"' || chr(10) || '    deterministic checks: retrieval_hit=' || CASE WHEN retrieval_hit THEN 'True' ELSE 'False' END
-  || ', must_include_pass=' || CASE WHEN must_include_pass THEN 'True' ELSE 'False' END || ', must_not_claim_pass=' || CASE WHEN must_not_claim_pass THEN 'True' ELSE 'False' END || ', grounding_score=' || CAST(grounding_score AS VARCHAR)
-  || ', risk_flags=[''' || CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END || ''']', chr(10) ORDER BY variant) AS body, string_agg('''' || variant || '''', ', ' ORDER BY variant) AS names FROM scores GROUP BY query_id)
-SELECT query_id, sha256('{_HEAD}' || 'Question ' || query_id || ': "' || user_question || '"' || chr(10) || 'Retrieved evidence:' || chr(10) || '  (no evidence retrieved)' || chr(10) || 'Candidate answers:' || chr(10) || body || chr(10) || 'Variant names for this question: [' || names || ']') AS prompt_hash
+_YES = "CASE WHEN {0} THEN 'yes' ELSE 'no' END"
+
+
+@query(f"""WITH {_LIGHT}, l AS (SELECT query_id, string_agg('<answer variant=' || variant || '>' || chr(10) || coalesce(answer, '') || chr(10) || '</answer>' || chr(10) || '<rules>expected source found: ' || {_YES.format('retrieval_hit')}
+  || '; required point made: ' || {_YES.format('must_include_pass')} || '; no banned claim: ' || {_YES.format('must_not_claim_pass')} || '; support ' || CAST(grounding_score AS VARCHAR)
+  || '; flags ' || CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END || '</rules>', chr(10) ORDER BY variant) AS body FROM scores GROUP BY query_id)
+SELECT query_id, sha256('{_HEAD}' || '<item query=' || query_id || '>' || chr(10) || user_question || chr(10) || '<source>none</source>' || chr(10) || body || chr(10) || '</item>') AS prompt_hash
 FROM chats JOIN l USING (query_id)""")
 def prompt_hash(t: Tables) -> DataFrame:
     """The hash of each query's block as a prompt of its own."""
@@ -517,15 +520,15 @@ _REAL = (
 auto AS ({_SCORED[_SCORED.rindex("SELECT query_id"):]}),
 scores AS (SELECT auto.*, contains(risk_flags, 'unsupported_numeric') AS numeric, risk_level, answer, a_ord FROM auto JOIN chats USING (query_id) JOIN answers USING (query_id, variant))"""
 )
-_SHOWN = """(SELECT string_agg('  [' || doc_id || '] ' || title || ': ' || text, chr(10) ORDER BY rank) FROM top JOIN kb USING (doc_id) WHERE top.query_id = chats.query_id)"""
+_SHOWN = """(SELECT string_agg('<source id=' || doc_id || '>' || chr(10) || concat_ws(chr(10), title, text) || chr(10) || '</source>', chr(10) ORDER BY rank) FROM top JOIN kb USING (doc_id) WHERE top.query_id = chats.query_id)"""
 
 
 def _over_real_scores(f: Callable[[Tables], DataFrame]) -> None:
     """Registers evaluated_<name>: the same operator and SQL, over real retrieval and scores in place of light ones."""
     name = f"evaluated_{f.__name__}"
     QUERIES[name] = lambda spark, sf_dir: f(Evaluated(spark, sf_dir))
-    flags = "replace(risk_flags, ',', chr(39) || ', ' || chr(39))"
-    SQL[name] = SQL[f.__name__].replace(_LIGHT, _REAL).replace("CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END", flags).replace("'  (no evidence retrieved)'", _SHOWN)
+    flags = "replace(risk_flags, ',', ' ')"
+    SQL[name] = SQL[f.__name__].replace(_LIGHT, _REAL).replace("CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END", flags).replace("'<source>none</source>'", _SHOWN)
 
 
 for _f in (composite_score, recommend, clarity_tradeoffs, safety_gate, failure_tags_of_answers, failure_tag_counts, judge_stub_winner, judge_stub_reviews, prompt_hash):

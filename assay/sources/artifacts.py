@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.sources.inputs import exists, read_array
+from assay.sources.inputs import exists
 
 LOG = "backend string, call_id string, latency_ms long, model string, parsed_ok boolean, prompt_hash string, provider string, replayed_call_id string, response_raw string, timestamp string, usage struct<input_tokens:long,output_tokens:long>, validation_errors array<string>"
 
@@ -22,9 +22,12 @@ def read_call_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value of the lines of a JSON-lines file that aren't objects; blank ones don't count."""
-    rows = spark.read.text(path).where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
-    return rows.where(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")).select("value")
+    """line (from 1) and value of the lines of a JSON-lines file that aren't objects; blank ones don't count.
+
+    A log is one file that people read; it is cut into numbered lines in one task."""
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    rows = whole.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    return rows.where(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")).select("line", "value")
 
 
 def append_call_log(path: str, entries: list[dict]) -> None:
@@ -34,11 +37,6 @@ def append_call_log(path: str, entries: list[dict]) -> None:
             out.writelines(json.dumps(e, sort_keys=True) + "\n" for e in entries)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """A folder of JSON lines, for tables of any size."""
-    df.write.mode("overwrite").json(path)
-
-
 def write_array(df: DataFrame, path: str, order: list[str]) -> None:
     """One indented JSON array in the given order, for reports that people read: rows stream through the driver one by one."""
     kept = [c for c in df.columns if c not in order or not c.endswith("_ord")]
@@ -51,16 +49,6 @@ def write_array(df: DataFrame, path: str, order: list[str]) -> None:
         out.write("]\n" if first else "\n]\n")
 
 
-def artifact_issues(spark: SparkSession, path: str) -> DataFrame:
-    """Issues of a JSON array artifact; an empty one is an issue too."""
-    from assay.operators.validate import issues
-
-    rows, bad = read_array(spark, path)
-    if bad.limit(1).count() or rows.limit(1).count():
-        return bad
-    return issues(spark.createDataFrame([(path,)], "p string"), "EMPTY_ARTIFACT", F.col("p"), F.lit("no record"))
-
-
 def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, sha256 of files in any store."""
     return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))
