@@ -1,11 +1,13 @@
 """Chat formatting: tool-call linking with DataFrame operations only.
 
-Calls and results meet on their identifiers by hash join, calls are ordered by the length of the chain
-of calls whose results they use, arguments are checked against schemas, and each call is written as
-canonical JSON (keys sorted, no spaces)."""
+Calls and results meet on their identifiers by hash join, calls are ordered by the longest chain of calls
+whose results they use, arguments are checked against schemas, and each call is written as canonical JSON
+(keys sorted, no spaces)."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +15,42 @@ from assay.llm._state import drop, keep
 
 #: Types of a schema, and how the type of a parsed JSON value begins.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL|DOUBLE)", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
+SCHEMAS = "name string, fields array<struct<path:string,field:string,parent:string,type:string,required:boolean,allowed:array<string>>>"
+
+
+def schema_table(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
+    """name and fields of {tool: {field: (type, required) or spec}}.
+
+    A spec is a dictionary: type, required (false), enum (allowed values), items (type of a list's
+    elements), fields (specs of an object's own fields, which are checked where the object is there)."""
+
+    def flat(fields: dict, above: str = "") -> list[tuple]:
+        out = []
+        for name, spec in sorted(fields.items()):
+            spec = {"type": spec[0], "required": spec[1]} if isinstance(spec, tuple) else spec
+            field = f"{above}.{name}" if above else name
+            kind = TYPES[spec["type"]] + (f"<({TYPES[spec['items']]}|VOID|VARIANT)" if "items" in spec else "")
+            allowed = [json.dumps(v, separators=(",", ":")) for v in spec["enum"]] if "enum" in spec else None
+            out.append((f"$.{field}", field, f"$.{above}" if above else "$", kind, bool(spec.get("required")), allowed))
+            out += flat(spec.get("fields", {}), field)
+        return out
+
+    return spark.createDataFrame([(name, flat(fields)) for name, fields in sorted(tools.items())], SCHEMAS)
 
 
-def schema_table(spark: SparkSession, tools: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """name, fields (array of field, type, required) of {tool: {field: (type, required)}}."""
-    rows = [(name, [(field, TYPES[kind], required) for field, (kind, required) in sorted(fields.items())]) for name, fields in sorted(tools.items())]
-    return spark.createDataFrame(rows, "name string, fields array<struct<field:string,type:string,required:boolean>>")
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """conv_id, call_id, level: 0 for a call that uses no known result, else one more than the highest of the calls it uses; null on a cycle or behind one.
 
+    calls: conv_id, call_id. edges: conv_id, call_id, after, between known calls. Where no call uses more
+    than one result, by pointer doubling, in as many rounds as the longest chain's length has bits; else the
+    calls whose predecessors are all ordered are ordered round by round, and those of round n have level n."""
+    many = edges.groupBy("conv_id", "call_id").count().where("count > 1").limit(1).count()
+    return _rounds(calls, edges) if many else _doubled(calls, edges)
 
-def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 for a call that uses no known result, else one more than the call it uses; null on a cycle or behind one.
 
-    Pointer doubling: as many rounds as the longest conversation's number of calls has bits."""
-    known = calls.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"))
-    start = calls.select("conv_id", "call_id", "after").join(known, (F.col("conv_id") == F.col("_c")) & (F.col("after") == F.col("_i")), "left")
-    now = keep(start.select("conv_id", "call_id", F.col("_i").alias("at"), F.col("_i").isNotNull().cast("long").alias("level")), "call-levels")
+def _doubled(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    start = calls.select("conv_id", "call_id").join(edges, ["conv_id", "call_id"], "left")
+    now = keep(start.select("conv_id", "call_id", F.col("after").alias("at"), F.col("after").isNotNull().cast("long").alias("level")), "call-levels")
     most = now.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 1
     for _ in range(most.bit_length()):
         if not now.where("at IS NOT NULL").limit(1).count():
@@ -40,35 +63,74 @@ def levels(calls: DataFrame) -> DataFrame:
     return now.select("conv_id", "call_id", F.when(F.col("at").isNull(), F.col("level")).alias("level"))
 
 
+def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    own = ["conv_id", "call_id"]
+    waits = keep(calls.select(*own).join(edges.groupBy(own).agg(F.count(F.lit(1)).alias("left")), own, "left").withColumn("left", F.coalesce("left", F.lit(0))), "call-waits")
+    done, level = [], 0
+    while True:
+        ready = keep(waits.where(F.col("left") == 0).select(*own, F.lit(level).cast("long").alias("level")), "call-ready")
+        done.append(ready)
+        met = edges.join(ready.select("conv_id", F.col("call_id").alias("after")), ["conv_id", "after"]).groupBy(own).agg(F.count(F.lit(1)).alias("met"))
+        rest = waits.where(F.col("left") > 0).join(met, own, "left")
+        new = keep(rest.select(*own, (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")), "call-waits")
+        drop(waits)
+        waits, level = new, level + 1
+        if not waits.where(F.col("left") == 0).limit(1).count():
+            break
+    out = waits.select(*own, F.lit(None).cast("long").alias("level"))
+    for table in done:
+        out = out.unionByName(table)
+    return out
+
+
 def argument_errors(arguments: str, fields: str) -> Column:
-    """Sorted errors of a JSON string against an array of (field, type, required)."""
+    """Sorted errors of a JSON string against an array of fields, as schema_table() gives them."""
     parsed = F.try_parse_json(F.col(arguments))
     given = F.from_json(F.col(arguments), "map<string,variant>")
-    kind = lambda f: F.coalesce(F.schema_of_variant(F.try_element_at(given, f["field"])), F.lit("VOID"))
-    missing = F.transform(F.filter(F.col(fields), lambda f: f["required"] & (kind(f) == "VOID")), lambda f: F.concat(F.lit("missing "), f["field"]))
-    wrong = F.transform(F.filter(F.col(fields), lambda f: (kind(f) != "VOID") & ~F.regexp(kind(f), F.concat(F.lit("^"), f["type"]))), lambda f: F.concat(F.lit("type of "), f["field"]))
+    value = lambda path: F.try_variant_get(parsed, path, "variant")
+    kind = lambda path: F.coalesce(F.schema_of_variant(value(path)), F.lit("VOID"))
+    # An inner field counts only where the object around it is there.
+    there = lambda f: (f["parent"] == "$") | F.startswith(kind(f["parent"]), F.lit("OBJECT"))
+    said = lambda what, keep_: F.transform(F.filter(F.col(fields), keep_), lambda f: F.concat(F.lit(what), f["field"]))
+    missing = said("missing ", lambda f: f["required"] & there(f) & (kind(f["path"]) == "VOID"))
+    wrong = said("type of ", lambda f: (kind(f["path"]) != "VOID") & ~F.regexp(kind(f["path"]), F.concat(F.lit("^"), f["type"])))
+    other = said("value of ", lambda f: f["allowed"].isNotNull() & (kind(f["path"]) != "VOID") & ~F.array_contains(f["allowed"], F.to_json(value(f["path"]))))
     extra = F.transform(F.array_except(F.map_keys(given), F.transform(F.col(fields), lambda f: f["field"])), lambda k: F.concat(F.lit("unknown "), k))
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    return F.when(F.col(fields).isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(F.array_sort(F.concat(missing, wrong, extra)))
+    return F.when(F.col(fields).isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(F.array_sort(F.concat(missing, wrong, other, extra)))
+
+
+def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """conv_id, call_id, turn, content of results that belong to no call, those without a conversation or id too."""
+    known = calls.select("conv_id", "call_id").distinct()
+    return results.select("conv_id", "call_id", "turn", "content").join(known, ["conv_id", "call_id"], "left_anti")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, call_id, turn, name, level, errors, valid, n_results, record of each call.
 
-    calls: conv_id, call_id, turn, name, arguments (JSON text), after (id of the call of the same
-    conversation whose result it uses, or null). results: conv_id, call_id, turn, content. Of calls of
-    one conversation and id the first by turn, name and arguments counts; of its results the first by
-    turn and content is linked, n_results counts all. Calls and results without conversation or id are
-    left out; an unknown `after` adds an error and no level. Sorting by level, turn and call_id is a
-    topological order of each conversation; on a cycle and behind it level is null and an error says so."""
+    calls: conv_id, call_id, turn, name, arguments (JSON text), after (array of the ids of calls of the same
+    conversation whose results it uses; null and null ids count as none, repeated ones once). results:
+    conv_id, call_id, turn, content. Of calls of one conversation and id the first by turn, name and
+    arguments counts; of its results the first by turn and content is linked, n_results counts all; those of
+    no call are orphan_results(). Calls without conversation or id are left out; an unknown id in `after`
+    adds an error and no level. Sorting by level, turn and call_id is a topological order of each
+    conversation; on a cycle and behind it level is null and an error says so. Null or empty arguments are
+    no object; other columns are left out; empty tables give an empty one."""
     own = ["conv_id", "call_id"]
-    first = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(own).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
+    after = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("after", F.array().cast("array<string>")))))
+    named = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).withColumn("after", after)
+    first = named.groupBy(own).agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("c"))
     one = keep(first.select(*own, "c.turn", "c.name", "c.arguments", "c.after"), "calls")
     found = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy(own).agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
-    exists = one.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("known"))
-    all_of = one.join(levels(one), own).join(found, own, "left").join(exists, ["conv_id", "after"], "left").join(schemas, "name", "left")
-    loose = F.when(F.col("after").isNotNull() & F.col("known").isNull(), F.array(F.lit("unknown after"))).otherwise(F.array().cast("array<string>"))
-    cycle = F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>"))
+    uses = one.select(*own, F.explode("after").alias("after")).join(one.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("known")), ["conv_id", "after"], "left")
+    uses = keep(uses, "call-uses")
+    lost = uses.where("known IS NULL").select(*own).distinct().withColumn("lost", F.lit(True))
+    order = levels(one, uses.where("known").select(*own, "after"))
+    all_of = one.join(order, own).join(found, own, "left").join(lost, own, "left").join(schemas, "name", "left")
+    none = F.array().cast("array<string>")
+    loose = F.when(F.col("lost"), F.array(F.lit("unknown after"))).otherwise(none)
+    cycle = F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(none)
     errors = F.concat(argument_errors("arguments", "fields"), cycle, loose)
     record = F.struct(F.col("after"), F.try_parse_json("arguments").alias("arguments"), F.col("call_id"), F.col("conv_id"), F.col("level"), F.col("name"), F.col("r.content").alias("result"), F.col("turn"))
     out = all_of.select(*own, "turn", "name", "level", errors.alias("errors"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
@@ -80,14 +142,14 @@ TOOLS = {"answer": {"text": ("string", True), "turn": ("integer", True), "words"
 
 
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assistant turns as calls, each using the result of the one two turns before; the user turn that follows is its result."""
+    """Assistant turns as calls, each using the result of the one two turns before, every third turn that of four turns before too; the user turn that follows is its result."""
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     odd = F.col("turn") % 7 == 0
     arguments = F.when(odd, F.to_json(F.struct("text", "turn", words.cast("string").alias("words")))).otherwise(F.to_json(F.struct("text", "turn", words.alias("words"))))
     calls = conversations.where("role = 'assistant'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.when(F.col("turn") % 5 == 0, "lookup").otherwise("answer").alias("name"),
-        arguments.alias("arguments"), F.when(F.col("turn") > 2, name(F.col("turn") - 2)).alias("after"),
+        arguments.alias("arguments"), F.array_compact(F.array(F.when(F.col("turn") > 2, name(F.col("turn") - 2)), F.when((F.col("turn") > 4) & (F.col("turn") % 3 == 0), name(F.col("turn") - 4)))).alias("after"),
     )
     results = conversations.where("role = 'user'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
@@ -101,14 +163,18 @@ def op2_tool_calls(spark, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH RECURSIVE a AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE WHEN turn % 5 = 0 THEN 'lookup' ELSE 'answer' END AS name, text,
-    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, CASE WHEN turn > 2 THEN conv_id || ':' || (turn - 2) END AS after
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
+    list_sort(list_filter([CASE WHEN turn > 2 THEN conv_id || ':' || (turn - 2) END, CASE WHEN turn > 4 AND turn % 3 = 0 THEN conv_id || ':' || (turn - 4) END], lambda x: x IS NOT NULL)) AS after
   FROM conversations WHERE role = 'assistant'),
-l(call_id, level) AS (SELECT call_id, 0 FROM a WHERE after IS NULL OR after NOT IN (SELECT call_id FROM a)
-  UNION ALL SELECT a.call_id, l.level + 1 FROM a JOIN l ON a.after = l.call_id),
+u AS (SELECT call_id, unnest(after) AS after FROM a),
+k AS (SELECT u.call_id, u.after FROM u JOIN a ON a.call_id = u.after),
+paths(call_id, level) AS (SELECT call_id, 0 FROM a WHERE call_id NOT IN (SELECT call_id FROM k)
+  UNION SELECT k.call_id, paths.level + 1 FROM k JOIN paths ON k.after = paths.call_id),
+l AS (SELECT call_id, max(level) AS level FROM paths GROUP BY call_id),
 r AS (SELECT conv_id || ':' || (turn - 1) AS call_id, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY ALL),
 e AS (SELECT a.*, l.level, r.content, coalesce(r.n, 0) AS n_results, concat_ws(', ',
     CASE WHEN turn % 7 = 0 THEN 'type of words' END, CASE WHEN name = 'lookup' THEN 'unknown turn' END,
-    CASE WHEN after IS NOT NULL AND after NOT IN (SELECT call_id FROM a) THEN 'unknown after' END) AS errors
+    CASE WHEN call_id IN (SELECT call_id FROM u WHERE u.after NOT IN (SELECT call_id FROM a)) THEN 'unknown after' END) AS errors
   FROM a JOIN l USING (call_id) LEFT JOIN r USING (call_id))
 SELECT conv_id, call_id, turn, name, CAST(level AS BIGINT) AS level, errors, errors = '' AS valid, n_results,
   CAST(json_object('after', after, 'arguments', CASE WHEN turn % 7 = 0 THEN json_object('text', text, 'turn', turn, 'words', CAST(words AS VARCHAR)) ELSE json_object('text', text, 'turn', turn, 'words', words) END,

@@ -21,7 +21,7 @@ from assay.llm.quality_knn import quality_scores
 from assay.llm.radix_dedup import remove_repeats
 from assay.llm.sketch_join import jaccard_stage, offered, pieces, similar_components
 from assay.llm.suffix_dedup import remove_repeated_words
-from assay.llm.tool_calls import link_calls, schema_table
+from assay.llm.tool_calls import link_calls, orphan_results, schema_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept string, size string, id string, t string, uid string, matches string, node string"
@@ -148,29 +148,64 @@ def test_lines_of_mixed_documents_are_told_apart(spark):
 
 # ---- tool calls
 
+CALLS = "conv_id long, call_id string, turn long, name string, arguments string, after array<string>"
+RESULTS = "conv_id long, call_id string, turn long, content string"
+
+
 def test_tool_calls(spark):
     tools = {"f": {"x": ("integer", True), "y": ("string", False), "z": ("object", False), "q": ("number", False)}}
     calls = [
-        (1, "a", 1, "f", '{"x": 1, "q": 2.5, "z": {"b": 1, "a": [2,  3]}}', None), (1, "b", 2, "f", '{"x": 1.5, "y": null}', "a"), (1, "c", 3, "f", '{"y": 3, "w": 1}', "b"), (1, "d", 4, "g", "{}", "c"),
-        (1, "e", 5, "f", "[1]", "none"), (2, "p", 1, "f", '{"x": 1}', "q"), (2, "q", 2, "f", '{"x": 1}', "p"), (2, "r", 3, "f", '{"x": 1}', "q"), (2, "s", 3, "f", None, "s"), (3, "a", 9, "f", '{"x": 2}', None), (3, "a", 8, "f", '{"x": 3}', None), (None, "a", 1, "f", "{}", None), (4, None, 1, "f", "{}", None), (5, "a", None, None, None, None),
+        (1, "a", 1, "f", '{"x": 1, "q": 2.5, "z": {"b": 1, "a": [2,  3]}}', None), (1, "b", 2, "f", '{"x": 1.5, "y": null}', ["a"]), (1, "c", 3, "f", '{"y": 3, "w": 1}', ["b", None, "b"]), (1, "d", 4, "g", "{}", ["c"]),
+        (1, "e", 5, "f", "[1]", ["none"]), (2, "p", 1, "f", '{"x": 1}', ["q"]), (2, "q", 2, "f", '{"x": 1}', ["p"]), (2, "r", 3, "f", '{"x": 1}', ["q"]), (2, "s", 3, "f", None, ["s"]), (3, "a", 9, "f", '{"x": 2}', None), (3, "a", 8, "f", '{"x": 3}', []), (None, "a", 1, "f", "{}", None), (4, None, 1, "f", "{}", None), (5, "a", None, None, None, None),
     ]
     results = [(1, "a", 2, "r1"), (1, "a", 1, "r0"), (1, "zz", 1, "lost"), (None, "a", 1, "x"), (2, "r", None, None)]
-    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, name string, arguments string, after string")
-    r = spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string")
-    out = {(x.conv_id, x.call_id): x for x in link_calls(c, r, schema_table(spark, tools)).collect()}
+    c = spark.createDataFrame([(*x, "extra") for x in calls], CALLS + ", level string")
+    r = spark.createDataFrame(results, RESULTS)
+    schemas = schema_table(spark, tools)
+    out = {(x.conv_id, x.call_id): x for x in link_calls(c, r, schemas).collect()}
     assert {k: v.level for k, v in out.items()} == {(1, "a"): 0, (1, "b"): 1, (1, "c"): 2, (1, "d"): 3, (1, "e"): 0, (2, "p"): None, (2, "q"): None, (2, "r"): None, (2, "s"): None, (3, "a"): 0, (5, "a"): 0}
     assert {k: v.errors for k, v in out.items() if k[0] == 1} == {(1, "a"): [], (1, "b"): ["type of x"], (1, "c"): ["missing x", "type of y", "unknown w"], (1, "d"): ["unknown tool"], (1, "e"): ["not an object", "unknown after"]}
     assert out[2, "p"].errors == ["cycle"] and out[2, "s"].errors == ["not an object", "cycle"] and out[5, "a"].errors == ["unknown tool"]
-    assert out[1, "a"].record == '{"after":null,"arguments":{"q":2.5,"x":1,"z":{"a":[2,3],"b":1}},"call_id":"a","conv_id":1,"level":0,"name":"f","result":"r0","turn":1}'
+    assert out[1, "a"].record == '{"after":[],"arguments":{"q":2.5,"x":1,"z":{"a":[2,3],"b":1}},"call_id":"a","conv_id":1,"level":0,"name":"f","result":"r0","turn":1}'
     assert out[1, "a"].n_results == 2 and out[3, "a"].turn == 8
-    assert link_calls(c.limit(0), r.limit(0), schema_table(spark, tools)).count() == 0
+    assert {(x.conv_id, x.call_id) for x in orphan_results(c, r).collect()} == {(1, "zz"), (None, "a")}
+    assert link_calls(c.limit(0), r.limit(0), schemas).count() == 0
+
+
+def test_calls_that_use_several_results(spark):
+    """Levels of random graphs against the longest path, cycles among them."""
+    rng = random.Random(4)
+    calls, uses = [], {}
+    for conv in range(6):
+        for i in range(14):
+            after = rng.sample(range(14) if conv == 5 else range(i), min(i, rng.randint(0, 3)))
+            uses[conv, f"c{i}"] = [f"c{j}" for j in after]
+            calls.append((conv, f"c{i}", i, "f", "{" + '"t": "' + "long " * 30_000 + '"}' if i == 3 else "{}", uses[conv, f"c{i}"]))
+
+    def level(conv, c, seen=()):
+        if c in seen:
+            return None
+        inner = [level(conv, x, (*seen, c)) for x in uses[conv, c]]
+        return None if None in inner else 1 + max(inner, default=-1)
+
+    got = link_calls(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), schema_table(spark, {"f": {"t": ("string", False)}})).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == {k: level(*k) for k in uses}
+    assert any(r.level is None for r in got) and max(r.level or 0 for r in got) > 3
+
+
+def test_nested_schemas(spark):
+    inner = {"unit": {"type": "string", "enum": ["km", "mi"]}, "n": {"type": "integer", "required": True}}
+    tools = {"f": {"to": {"type": "object", "fields": inner}, "tags": {"type": "array", "items": "string"}, "level": {"type": "integer", "enum": [1, 2]}}}
+    given = ['{"to":{"n":1,"unit":"km"},"tags":["a"],"level":2}', '{"to":{"unit":"m"},"tags":[1],"level":3}', '{"tags":[]}', '{"to":3}', '{"to":{"n":"x"},"level":"1"}', "", None]
+    calls = spark.createDataFrame([(1, str(i), i, "f", x, None) for i, x in enumerate(given)], CALLS)
+    got = {r.turn: r.errors for r in link_calls(calls, spark.createDataFrame([], RESULTS), schema_table(spark, tools)).collect()}
+    assert got == {0: [], 1: ["missing to.n", "type of tags", "value of level", "value of to.unit"], 2: [], 3: ["type of to"], 4: ["type of level", "type of to.n", "value of level"], 5: ["not an object"], 6: ["not an object"]}
 
 
 def test_long_chain(spark):
     n = 70
-    calls = spark.createDataFrame([(1, f"c{i}", i, "f", "{}", f"c{i - 1}" if i else None) for i in range(n)], "conv_id long, call_id string, turn long, name string, arguments string, after string")
-    none = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
-    got = {r.turn: r.level for r in link_calls(calls, none, schema_table(spark, {"f": {}})).collect()}
+    calls = spark.createDataFrame([(1, f"c{i}", i, "f", "{}", [f"c{i - 1}"] if i else None) for i in range(n)], CALLS)
+    got = {r.turn: r.level for r in link_calls(calls, spark.createDataFrame([], RESULTS), schema_table(spark, {"f": {}})).collect()}
     assert got == {i: i for i in range(n)}
 
 
