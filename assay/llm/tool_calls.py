@@ -142,14 +142,14 @@ TOOLS = {"answer": {"text": ("string", True), "turn": ("integer", True), "words"
 
 
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Assistant turns as calls, each using the result of the one two turns before, every third turn that of four turns before too; the user turn that follows is its result."""
+    """Assistant turns as calls, each using the result of the one two turns before; the user turn that follows is its result."""
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     odd = F.col("turn") % 7 == 0
     arguments = F.when(odd, F.to_json(F.struct("text", "turn", words.cast("string").alias("words")))).otherwise(F.to_json(F.struct("text", "turn", words.alias("words"))))
     calls = conversations.where("role = 'assistant'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), "turn", F.when(F.col("turn") % 5 == 0, "lookup").otherwise("answer").alias("name"),
-        arguments.alias("arguments"), F.array_compact(F.array(F.when(F.col("turn") > 2, name(F.col("turn") - 2)), F.when((F.col("turn") > 4) & (F.col("turn") % 3 == 0), name(F.col("turn") - 4)))).alias("after"),
+        arguments.alias("arguments"), F.array_compact(F.array(F.when(F.col("turn") > 2, name(F.col("turn") - 2)))).alias("after"),
     )
     results = conversations.where("role = 'user'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
@@ -164,7 +164,7 @@ def op2_tool_calls(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 WITH RECURSIVE a AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE WHEN turn % 5 = 0 THEN 'lookup' ELSE 'answer' END AS name, text,
     len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words,
-    list_sort(list_filter([CASE WHEN turn > 2 THEN conv_id || ':' || (turn - 2) END, CASE WHEN turn > 4 AND turn % 3 = 0 THEN conv_id || ':' || (turn - 4) END], lambda x: x IS NOT NULL)) AS after
+    CASE WHEN turn > 2 THEN [conv_id || ':' || (turn - 2)] ELSE [] END AS after
   FROM conversations WHERE role = 'assistant'),
 u AS (SELECT call_id, unnest(after) AS after FROM a),
 k AS (SELECT u.call_id, u.after FROM u JOIN a ON a.call_id = u.after),
