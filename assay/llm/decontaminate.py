@@ -153,6 +153,10 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    """Documents that hold no benchmark item, repeated rows as often as they come.
+
+    Null and empty texts hold nothing and stay; without items all stay; an empty table gives an empty one. A
+    column named matches is the documents' own."""
+    safe = docs.withColumnsRenamed({"matches": "__own_matches"})
+    found = find_items(safe, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where(F.size("matches") == 0)
+    return found.select(*(F.col("__own_matches").alias(c) if c == "matches" else F.col(c) for c in docs.columns))

@@ -142,6 +142,10 @@ FROM j GROUP BY doc_id
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; one that loses all its text goes."""
-    out = dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*docs.columns)
+    """Documents without their repeated lines; one that loses lines and has no word left goes.
+
+    Null, empty and blank texts have no key and stay as they are; repeated rows stay; an empty table gives an
+    empty one. Columns named n_lines or n_dropped are the documents' own."""
+    safe = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("n_lines", "n_dropped")})
+    out = dedup_lines(safe).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(*(F.col(f"__own_{c}").alias(c) if c in ("n_lines", "n_dropped") else F.col(c) for c in docs.columns))

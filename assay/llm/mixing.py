@@ -119,5 +119,8 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (c
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, as the last stage: each document's columns with size, source_size, target and taken; documents of which nothing is taken go."""
+    """The mix, as the last stage: each document's columns with size, source_size, target and taken; documents of which nothing is taken go.
+
+    Null and empty texts have size 0 and go; null sources are one source; repeated rows share their fate; an
+    empty table gives an empty one. Columns of the four names are replaced."""
     return mix(docs).where(F.col("taken") > 0)

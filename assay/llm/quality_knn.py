@@ -147,6 +147,10 @@ def op8_quality_knn(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of label 1."""
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    """Documents that the classifier predicts to be of label 1, repeated rows as often as they come.
+
+    Null texts and texts without a word score 0 and go; without labels of both classes all others stay. An empty
+    table gives an empty one. Of all columns, score and predicted of the documents' own too, only the given ones return."""
+    safe = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("score", "predicted")})
+    scored = quality_scores(safe, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("predicted") == 1)
+    return scored.select(*(F.col(f"__own_{c}").alias(c) if c in ("score", "predicted") else F.col(c) for c in docs.columns))

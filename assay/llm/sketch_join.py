@@ -407,7 +407,7 @@ def jaccard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words, null texts too, are alone: each different one stays. An empty table gives an empty one."""
     keyed = docs.withColumn("__t", F.xxhash64("text"))
     found = similar_components(docs.select("doc_id", "text"))
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("at"))
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("at"))
     alone = found.where("n_shingles = 0").select("doc_id", "t")
     stay = first.select("at.doc_id", "at.t").unionByName(alone).distinct().alias("s")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.__t") == F.col("s.t"))

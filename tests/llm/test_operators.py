@@ -17,7 +17,8 @@ from assay.llm.decontaminate import find_items
 from assay.llm.line_crf import COUNTS, content_lines, fit, joined_chains, line_quality, train, viterbi
 from assay.llm.line_dedup import LineRuns, dedup_lines
 from assay.llm.mixing import WEIGHTS, mix, targets
-from assay.llm.quality_knn import quality_scores
+from assay.llm.quality_knn import fit as fit_terms
+from assay.llm.quality_knn import quality_scores, term_matrix
 from assay.llm.radix_dedup import remove_repeats
 from assay.llm.sketch_join import jaccard_stage, offered, pieces, similar_components
 from assay.llm.suffix_dedup import remove_repeated_words
@@ -488,6 +489,26 @@ def test_knn(spark):
     assert quality_scores(table(spark, []), labels).count() == 0
 
 
+def test_votes_against_a_plain_loop(spark):
+    """Every labelled row compared with every document, one by one."""
+    rng = random.Random(16)
+    rows = [(i, " ".join(words(rng, rng.randint(5, 60))) + ("!! " * (i % 5))) for i in range(60)] + [(70, None), (71, " "), (72, " ".join(words(rng, 6000))), (None, "no id")]
+    own = spark.createDataFrame([(d, int(len(t or "") % 2), 0) for d, t in rows if d is not None and d < 60], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in quality_scores(table(spark, rows), own, 1000).collect()}
+    terms = lambda t: term_matrix(*utf8(pa.array([t], pa.string())))[0]
+    learnt = sorted((d, t) for d, t in rows if d is not None and d < 60 and zlib.crc32(str(d).encode()) % 3 != 1)
+    y = np.array([len(t) % 2 for _, t in learnt])
+    model = fit_terms(np.stack([terms(t).astype(np.float16) for _, t in learnt]).astype(np.float32), y)
+    for d, t in rows:
+        want = 0.0
+        if WORD.search(t or ""):
+            v = terms(t) @ model["to"]
+            sims = sorted(((float(v @ u) / max(float(np.linalg.norm(v)), 1e-12), k) for k, u in enumerate(model["rows"])), reverse=True)[:15]
+            weights = [(max(s, 0.0) ** 8, y[k]) for s, k in sims]
+            want = sum(w * q for w, q in weights) / max(sum(w for w, _ in weights), 1e-300)
+        assert got[d] == pytest.approx(want, abs=1e-3)
+
+
 # ---- decontamination
 
 def edits(a, text):

@@ -81,6 +81,44 @@ def test_stages(spark, folder):
     assert 1.2 * sum(len(split(t)) for _, t, *_ in before) < sum(r["taken"] for r in after) < 1.8 * sum(len(split(t)) for _, t, *_ in before)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, matches string, score string, n_lines string, n_dropped string, predicted string, root string, t string"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, folder, stage):
+    """Nulls, empty and long texts, repeated rows, clashing columns, and no rows at all."""
+    path, items = folder
+    rng = random.Random(8)
+    text = " ".join(words(rng, 40))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (None, text), (None, None), (4, text), (4, text), (5, " ".join(words(rng, 8000))), (6, items[0][1])]
+    docs = spark.createDataFrame([(d, t, None, None, None, *"abcdefg") for d, t in rows], ODD)
+    name, run = corpus_pipeline.STAGES[stage]
+    own = [c.split()[0] for c in ODD.split(", ")]
+    assert run(spark, docs.limit(0), path).count() == 0
+    out = run(spark, docs, path)
+    got = out.collect()
+    assert out.columns[: len(own)] == own and all((r.matches, r.score, r.n_lines, r.root) == ("a", "b", "c", "f") for r in got)
+    left = sorted((r.doc_id or 0, r.text or "") for r in got)
+    every = sorted((d or 0, t or "") for d, t in rows)
+    if name == "n-gram Jaccard join":
+        assert [d for d, _ in left] == [0, 1, 2, 3, 4, 5, 6]
+    elif name == "benchmark decontamination":
+        assert left == [x for x in every if x[0] != 6]
+    elif name == "line dedup":
+        assert left == every
+    else:
+        assert set(left) <= {x for x in every if x[1].strip()}
+
+
+def test_whole_run(spark, folder, tmp_path):
+    path, items = folder
+    rows = corpus_pipeline.run(spark, path).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) > 30 and all(r.taken > 0 for r in rows) and not set(ids) & set(range(400, 502))
+    split = lambda x: (x or "").lower().split()
+    assert all(edits(split(i), split(r.text)) > int(len(split(i)) * 0.15) for r in rows for _, i in items)
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(SQL) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
