@@ -5,6 +5,9 @@ benchmark items or first user turns the questions, assistant turns the answers o
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +18,14 @@ from assay.functions.matching import exact, in_order, matches, rung
 from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms, stem, stems, tokens, without_stopwords
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
-from assay.operators.checks import dealt, score_answers
+from assay.operators.checks import dealt, long_answers, score_answers
 from assay.operators.kept import kept
 from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_reviews, stub_winner
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
-from assay.plans.config import defaults
+from assay.plans.config import config_hash, defaults
+from assay.sources.artifacts import broken_lines, file_hashes, read_call_log
+from assay.sources.inputs import read_array, text_field, typed_records
 
 #: Moves values off rounding ties, where engines differ.
 SHIFT = 1e-9
@@ -512,6 +517,59 @@ def review_validation_all(t: Tables) -> DataFrame:
     return review_entry_issues(entries, answers.select("query_id").distinct(), answers, 1, 5).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ---- sources and sinks: small files made of the tables, and read again -----------------------------
+
+
+def _file(t: Tables, lines: DataFrame, name: str) -> str:
+    """A text file of one column, in the order of pos, in the folder that all executors share (a temporary one in local mode)."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assay-")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    lines.coalesce(1).sortWithinPartitions("pos").select("value").write.text(path)
+    return path
+
+
+@query("""WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, CASE WHEN item_id % 10 = 5 THEN item_id - 5 ELSE item_id END AS id, item_id % 7 = 0 AS blank FROM benchmark),
+g AS (SELECT *, min(idx) OVER (PARTITION BY id) AS first_idx FROM b WHERE NOT blank)
+SELECT 'SCHEMA_INVALID' AS code, CAST(idx AS VARCHAR) AS idx, 'text' AS field FROM b WHERE blank UNION ALL SELECT 'DUPLICATE_ID', CAST(idx AS VARCHAR), 'doc_id' FROM g WHERE idx > first_idx""")
+def array_input_issues(t: Tables) -> DataFrame:
+    """Benchmark items as a JSON array with blank texts and repeated ids: what a typed scan of the array finds."""
+    items = t.read("benchmark").select("item_id", F.when(F.col("item_id") % 10 == 5, F.col("item_id") - 5).otherwise(F.col("item_id")).cast("string").alias("doc_id"), F.when(F.col("item_id") % 7 == 0, " ").otherwise(F.col("text")).alias("text"))
+    array = items.agg(F.array_sort(F.collect_list(F.struct("item_id", "doc_id", "text"))).alias("a")).select(F.lit(0).alias("pos"), F.to_json("a").alias("value"))
+    path = _file(t, array, "items")
+    rows, bad = read_array(t.spark, path)
+    _, found = typed_records(rows, path, "doc_id", {"doc_id": text_field("doc_id"), "text": text_field("text")})
+    return bad.unionByName(found).select("code", F.regexp_extract("location", r"\[(\d+)\]", 1).alias("idx"), F.regexp_extract("location", r"\.([a-z_]+)$", 1).alias("field"))
+
+
+@query("""WITH e AS (SELECT event_id % 9 = 4 AS broken, CASE WHEN event_id % 3 = 0 THEN 'cache' ELSE 'live' END AS backend FROM events)
+SELECT CASE WHEN broken THEN 'broken' ELSE backend END AS backend, count(*) AS n FROM e GROUP BY ALL""")
+def call_log_scan(t: Tables) -> DataFrame:
+    """Events as a call log of JSON lines, some of which are cut off: the calls that are read, and the broken lines."""
+    whole = F.to_json(F.struct(F.when(F.col("event_id") % 3 == 0, "cache").otherwise("live").alias("backend"), F.col("event_id").cast("string").alias("call_id")))
+    lines = t.read("events").select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 9 == 4, F.substring(whole, 1, 8)).otherwise(whole).alias("value"))
+    path = _file(t, lines, "calls")
+    read = read_call_log(t.spark, path).groupBy("backend").agg(F.count(F.lit(1)).alias("n"))
+    return read.unionByName(broken_lines(t.spark, path).groupBy(F.lit("broken").alias("backend")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("SELECT sha256(string_agg(CAST(item_id AS VARCHAR) || chr(10), '' ORDER BY item_id)) AS sha256 FROM benchmark")
+def file_hash(t: Tables) -> DataFrame:
+    path = _file(t, t.read("benchmark").select(F.col("item_id").alias("pos"), F.col("item_id").cast("string").alias("value")), "ids")
+    return file_hashes(t.spark, [path]).select("sha256")
+
+
+@query(f"WITH {_ANSWERS} SELECT query_id, variant, answer FROM answers")
+def answers_by_variant(t: Tables) -> DataFrame:
+    """Maps of answers, one row for each variant again."""
+    maps = t.answers().groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("variant", "answer"))).alias("answers"))
+    return long_answers(maps)
+
+
+@query(f"SELECT sha256('{json.dumps(CONFIG, sort_keys=True, separators=(',', ':'))}') AS config_hash")
+def hash_of_the_configuration(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(config_hash(CONFIG),)], "config_hash string")
+
+
 # ---- the later stages over real scores ---------------------------------------------------------------
 
 _REAL = (

@@ -86,7 +86,6 @@ def stored_run_issues(spark: SparkSession, inputs: Inputs, paths: dict[str, str]
     tables, found = {}, []
     for name in RECORDS:
         tables[name], bad = read_records(spark, paths[name], name)
-        tables[name] = tables[name].persist()
         found.append(bad)
     found += [_text_issues(spark, paths[n]) for n in ("recommendation", "review_report")]
     found.append(line_issues(spark, paths["llm_calls"]))

@@ -54,7 +54,7 @@ def read_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
-def _text(name: str, missing: bool = True) -> tuple[Column, Column]:
+def text_field(name: str, missing: bool = True) -> tuple[Column, Column]:
     """A string field without outer white space, and whether it is wrong: no string, or blank."""
     value = F.try_variant_get("record", f"$.{name}", "variant")
     text = stripped(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get("record", f"$.{name}", "string")))
@@ -69,7 +69,7 @@ def _strings(name: str) -> tuple[Column, Column]:
     return F.filter(F.transform(value, stripped), lambda x: x.isNotNull() & (x != "")), ~ok
 
 
-def _checked(rows: DataFrame, path: str, key: str, fields: dict[str, tuple[Column, Column]]) -> tuple[DataFrame, DataFrame]:
+def typed_records(rows: DataFrame, path: str, key: str, fields: dict[str, tuple[Column, Column]]) -> tuple[DataFrame, DataFrame]:
     """(good records with idx, first of each key; issues): a bad record costs itself, never its neighbours."""
     place = F.concat(F.lit(f"{path}["), F.col("idx").cast("string"), F.lit("]"))
     kind = F.coalesce(F.schema_of_variant("record"), F.lit("VOID"))
@@ -88,15 +88,15 @@ def load_inputs(spark: SparkSession, kb_path: str, queries_path: str, answers_pa
     for name, path in (("kb", kb_path), ("queries", queries_path), ("answers", answers_path)):
         raw[name], bad = read_array(spark, path)
         found.append(bad)
-    kb, bad = _checked(raw["kb"], kb_path, "doc_id", {"doc_id": _text("doc_id"), "title": _text("title", False), "text": _text("text")})
+    kb, bad = typed_records(raw["kb"], kb_path, "doc_id", {"doc_id": text_field("doc_id"), "title": text_field("title", False), "text": text_field("text")})
     found.append(bad)
-    fields = {n: _text(n) for n in ("query_id", "user_question", "risk_level")} | {n: _strings(n) for n in ("expected_doc_ids", "must_include_any", "must_not_claim")}
-    queries, bad = _checked(raw["queries"], queries_path, "query_id", fields)
+    fields = {n: text_field(n) for n in ("query_id", "user_question", "risk_level")} | {n: _strings(n) for n in ("expected_doc_ids", "must_include_any", "must_not_claim")}
+    queries, bad = typed_records(raw["queries"], queries_path, "query_id", fields)
     found.append(bad)
     given = F.from_json(F.to_json("record"), "answers map<string,variant>")["answers"]
     values = F.map_values(F.transform_values(given, lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))))
     ok = F.coalesce((F.size(given) > 0) & F.forall(F.map_keys(given), lambda k: stripped(k) != "") & F.forall(values, lambda t: t == "STRING"), F.lit(False))
-    answers, bad = _checked(raw["answers"], answers_path, "query_id", {"query_id": _text("query_id"), "answers": (F.when(ok, F.from_json("raw", "answers map<string,string>")["answers"]), ~ok)})
+    answers, bad = typed_records(raw["answers"], answers_path, "query_id", {"query_id": text_field("query_id"), "answers": (F.when(ok, F.from_json("raw", "answers map<string,string>")["answers"]), ~ok)})
     found.append(bad)
     for name, path, table in (("KB", kb_path, kb), ("QUERIES", queries_path, queries), ("ANSWERS", answers_path, answers)):
         if not table.limit(1).count():
