@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from assay.llm._labelled import labelled_texts
 from assay.llm._state import read
-from assay.llm._text import FOLDED, SPACE, Lines, Words, covered, mixed, parts, prefix, spans, sums
+from assay.llm._text import FOLDED, SPACE, Lines, Words, covered, mixed, parts, prefix, quick_prefix, quick_spans, spans, sums
 
 #: Bounds of what is fitted on the driver: labelled documents of each class, of which those of up to so many lines are learnt from.
 SAMPLE_PER_CLASS, SAMPLE_LINES = 600, 2000
@@ -39,8 +39,8 @@ FEATURES = sum(_VALUES)
 _FIRST = 9
 
 
-def line_features(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words) -> np.ndarray:
-    """Lines by len(_VALUES): indices of the features that hold for each line."""
+def line_features(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words, dup: np.ndarray | None = None) -> np.ndarray:
+    """Lines by len(_VALUES): indices of the features that hold for each line. dup: of repeated(), if known."""
     s, e = lines.start, lines.end
     part = lambda flags, of: np.searchsorted(_SHARES, flags / np.maximum(of, 1), "right")
     ink = sums(~SPACE[data], s, e)
@@ -48,13 +48,14 @@ def line_features(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words)
     begins = np.zeros(len(data), bool)
     begins[words.start] = True
     n = sums(begins, s, e)
-    h = words.hashes(data, FOLDED)
+    h = quick_spans(quick_prefix(FOLDED[data]), words.start, words.end)
     again = np.zeros(len(data), bool)
     if len(h) > 1:
         again[words.start[1:][(h[1:] == h[:-1]) & (words.row[1:] == words.row[:-1])]] = True
     last = np.zeros(len(s), np.uint8)
     last[e > s] = data[e[e > s] - 1]
-    _, dup = repeated(data, lines, n)
+    if dup is None:
+        _, dup = repeated(data, lines, n)
     return np.stack(
         [
             np.searchsorted(_SIZES, n, "right"),
@@ -183,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("quality").slice(i, j - i), pa.array(blobs, pa.binary())], ["doc_id", "quality", "lines"])
 
     short = F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) < most_lines
-    got = labelled_texts(docs, labels, per_class, short).mapInArrow(rows, "doc_id long, quality int, lines binary").collect()
+    got = labelled_texts(docs, labels, per_class).where(short).mapInArrow(rows, "doc_id long, quality int, lines binary").collect()
     if len({r.quality for r in got}) < 2:
         return None
     got.sort(key=lambda r: r.doc_id)
@@ -193,9 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS,
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_content_words")
 
 
-def content_lines(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words, model: dict) -> np.ndarray:
+def content_lines(off: np.ndarray, data: np.ndarray, lines: Lines, words: Words, model: dict, dup: np.ndarray | None = None) -> np.ndarray:
     """Which lines the best states of each document's chain mark as content."""
-    return viterbi(model["emit"][line_features(off, data, lines, words)].sum(1), lines.first, model) == 1
+    return viterbi(model["emit"][line_features(off, data, lines, words, dup)].sum(1), lines.first, model) == 1
 
 
 def measure(off: np.ndarray, data: np.ndarray, model: dict | None) -> list[np.ndarray]:
@@ -217,7 +218,7 @@ def measure(off: np.ndarray, data: np.ndarray, model: dict | None) -> list[np.nd
     if model is None:
         content = words.count
     else:
-        content = np.bincount(lines.row, line_words * content_lines(off, data, lines, words, model), minlength=n)
+        content = np.bincount(lines.row, line_words * content_lines(off, data, lines, words, model, dup), minlength=n)
     solid = ~SPACE[data] & ((data & 0xC0) != 0x80)
     repeat = sums(again, words.first[:-1], words.first[1:])
     return [words.count, sums(solid, s, e), sums(_SYMBOL[data], s, e), np.bincount(lines.row, dup, minlength=n), repeat, content]
