@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm._state import drop, keep, read
+from assay.llm._state import drop, keep, read, shared_dir
 from assay.llm._text import FOLDED, SPACE, Lines, mixed, parts, prefix, quick_prefix, quick_spans, spans, sums
 
 #: Keys of fewer code points stay; keys in fewer documents stay.
@@ -51,27 +52,56 @@ def line_keys(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return rows.mapInArrow(find, "id long, t long, pos int, k1 long, k2 long")
 
 
-def _run(rows: DataFrame, least_docs: int) -> DataFrame:
-    """A sorted run: one row for each key with the documents it has been seen in, up to least_docs, and the largest id."""
-    merged = rows.groupBy("k1", "k2").agg(F.least(F.sum("n"), F.lit(least_docs).cast("long")).alias("n"), F.max("last").alias("last"))
-    return keep(merged.sortWithinPartitions("k1", "k2"), "line-run")
+#: A scan of one file a bucket then says that it is sorted.
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+class Run:
+    """A stored run: k1, k2, n (documents it has been seen in, up to a bound), last (the largest id), in buckets
+    of the keys, one sorted file each, so that merges neither shuffle nor sort it."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.spark, self.name = rows.sparkSession, f"line_run_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        before = self.spark.conf.get(_SORTED, "false")
+        self.spark.conf.set(_SORTED, "true")
+        try:
+            # The rows are dealt by the keys into as many parts, so each bucket is written by one task.
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            rows.write.bucketBy(buckets, "k1", "k2").sortBy("k1", "k2").option("path", self.path).saveAsTable(self.name)
+        finally:
+            self.spark.conf.set(_SORTED, before)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def files(self) -> DataFrame:
+        """The rows without their buckets, for joins whose other side has hot keys that Spark must be free to split."""
+        return self.spark.read.schema(self.rows().schema).parquet(self.path)
+
+    def drop(self) -> None:
+        drop(self.files())
+        self.spark.sql(f"DROP TABLE {self.name}")
 
 
 class LineRuns:
-    """Levels of sorted runs (k1, k2, n, last), each a Parquet table. add() takes batches in descending order of id."""
+    """Levels of sorted runs. add() takes batches in descending order of id."""
 
     def __init__(self, least_docs: int = LEAST_DOCS, fanout: int = FANOUT) -> None:
         self.least_docs, self.fanout, self.levels = least_docs, fanout, [[]]
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [run for level in self.levels for run in level]
 
+    def _upto(self, n: Column) -> Column:
+        return F.least(n, F.lit(self.least_docs).cast("long")).alias("n")
+
     def add(self, lines: DataFrame) -> None:
         """Add a batch: keys that a run has in enough documents already are left out by a sorted anti-join."""
-        new = lines.select("k1", "k2", "id").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+        new = lines.select("k1", "k2", "id").distinct().groupBy("k1", "k2").agg(self._upto(F.count(F.lit(1))), F.max("id").alias("last"))
         for run in self.runs():
-            new = new.join(run.where(F.col("n") >= self.least_docs).hint("merge"), ["k1", "k2"], "left_anti")
-        self.levels[0].append(_run(new, self.least_docs))
+            new = new.join(run.rows().where(F.col("n") >= self.least_docs).hint("merge"), ["k1", "k2"], "left_anti")
+        self.levels[0].append(Run(new))
         for depth, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 self.levels[depth] = []
@@ -79,19 +109,22 @@ class LineRuns:
                     self.levels.append([])
                 self.levels[depth + 1].append(self._compact(level))
 
-    def _compact(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
+    def _compact(self, runs: list[Run]) -> Run:
+        """One run of several, merged in order."""
+        rows = runs[0].rows()
         for run in runs[1:]:
-            rows = rows.unionByName(run)
-        out = _run(rows, self.least_docs)
+            other = run.rows().withColumnsRenamed({"n": "n2", "last": "last2"}).hint("merge")
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            rows = rows.join(other, ["k1", "k2"], "full_outer").select("k1", "k2", self._upto(n), F.greatest("last", "last2").alias("last"))
+        out = Run(rows)
         for run in runs:
-            drop(run)
+            run.drop()
         return out
 
     def frequent(self) -> DataFrame:
         """k1, k2, last of the keys that are in at least least_docs documents."""
         runs = self.runs()
-        return (runs[0] if len(runs) == 1 else self._compact(runs)).where(F.col("n") >= self.least_docs).select("k1", "k2", "last")
+        return (runs[0] if len(runs) == 1 else self._compact(runs)).files().where(F.col("n") >= self.least_docs).select("k1", "k2", "last")
 
 
 def repeated_lines(lines: DataFrame, least_docs: int = LEAST_DOCS, batches: int = BATCHES) -> DataFrame:
