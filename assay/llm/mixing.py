@@ -53,7 +53,8 @@ def _boundary(hist: DataFrame, before: str, bucket: str) -> DataFrame:
 
 
 def thresholds(slim: DataFrame) -> DataFrame:
-    """source, source_size, target, copies, cut: each document is taken copies times, and once more where its hash is at most cut.
+    """source, source_size, target, copies, cut: each document is taken copies times, and once more where its hash is at most cut,
+    which is chosen so that the source's words come as near to the target as whole documents allow.
 
     slim: source, size, h. Two nested histograms leave about a millionth of a source's rows to be ordered."""
     top, low = 60 - BITS, 60 - 2 * BITS
@@ -71,8 +72,10 @@ def thresholds(slim: DataFrame) -> DataFrame:
     second = keep(_boundary(second, "base", "b2").select("source", "b2", "budget", "below"), "mix-second")
     last = slim.join(_sized(second), same(slim, second) & (F.shiftright("h", low) == F.col("b2"))).select(slim["source"], "size", "h", "b2", "budget", "below")
     upto = last.withColumn("upto", F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("h")))
-    inside = upto.where(F.col("upto") <= F.col("budget")).groupBy("source").agg(F.max("h").alias("cut"))
-    cuts = second.join(inside, same(second, inside), "left").select(second["source"], F.coalesce("cut", F.shiftleft("b2", low) - 1).alias("cut"))
+    # Of the cuts, one below all of the bucket included, that whose sum is nearest the budget; of two the lower.
+    inside = upto.groupBy("source").agg(F.min(F.struct(F.abs(F.col("upto") - F.col("budget")).alias("off"), "h")).alias("near"))
+    least = F.struct((second["budget"] - second["below"]).cast("double").alias("off"), (F.shiftleft("b2", low) - 1).alias("h"))
+    cuts = second.join(inside, same(second, inside), "left").select(second["source"], F.least("near", least)["h"].alias("cut"))
     none = F.lit((1 << 60) - 1)  # no bucket exceeds the budget
     return sources.join(cuts, same(sources, cuts), "left").select(sources["source"], "source_size", "target", "copies", F.coalesce("cut", none).alias("cut"))
 
@@ -111,9 +114,11 @@ r AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
     / sum(weight) OVER (ORDER BY 2 * source_size::DOUBLE / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM w),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, max(rate) OVER () * weight) AS target FROM r),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t),
-x AS (SELECT h.doc_id, h.size, c.source_size, c.target, c.copies,
-    sum(h.size) OVER (PARTITION BY h.source ORDER BY h.h) <= c.target - c.copies * c.source_size AS more
-  FROM h JOIN c ON h.source IS NOT DISTINCT FROM c.source)
+o AS (SELECT h.*, c.source_size, c.target, c.copies, c.target - c.copies * c.source_size AS budget,
+    sum(h.size) OVER (PARTITION BY h.source ORDER BY h.h) AS upto
+  FROM h JOIN c ON h.source IS NOT DISTINCT FROM c.source),
+b AS (SELECT *, first_value(upto) OVER (PARTITION BY source ORDER BY abs(upto - budget), h) AS best FROM o),
+x AS (SELECT *, upto <= best AND abs(best - budget) < budget AS more FROM b)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (copies + CAST(more AS INT)) AS BIGINT) AS taken FROM x
 """
 

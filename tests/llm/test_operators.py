@@ -15,7 +15,7 @@ from assay.llm._components import components
 from assay.llm._text import BYTE, Lines, Words, prefix, spans, utf8
 from assay.llm.decontaminate import find_items
 from assay.llm.line_crf import COUNTS, content_lines, fit, joined_chains, line_quality, train, viterbi
-from assay.llm.line_dedup import LineRuns, dedup_lines
+from assay.llm.line_dedup import _SORTED, LineRuns, dedup_lines
 from assay.llm.mixing import WEIGHTS, mix, targets
 from assay.llm.quality_knn import fit as fit_terms
 from assay.llm.quality_knn import quality_scores, term_matrix
@@ -324,6 +324,11 @@ def test_mix(spark):
         assert len({(r.source_size, r.target) for r in group}) == 1 and group[0].source_size == sum(r.size for r in group)
         assert group[0].target <= 2 * group[0].source_size and abs(sum(r.taken for r in group) - group[0].target) <= 3 * biggest
     assert sum(g[0].target for g in by.values()) == pytest.approx(min(1.5, 2) * total)
+    # Taking or leaving whole documents of one size, a source is at most half of one off its target.
+    same = mix(table(spark, [(i, "a b c d e f g") for i in range(101)])).collect()
+    for s in {r.source for r in same}:
+        group = [r for r in same if r.source == s]
+        assert abs(sum(r.taken for r in group) - group[0].target) <= 3.5 + 1e-6
     key = lambda r: (r.doc_id is None, r.doc_id, r.text, r.taken)
     again = mix(table(spark, rows, parts=7)).collect()
     assert Counter(map(repr, map(key, out))) == Counter(map(repr, map(key, again)))
@@ -387,6 +392,14 @@ def test_runs_compact(spark):
     for i in (9, 8, 7, 6, 5):
         store.add(spark.createDataFrame([(k, 0, i) for k in range(i % 3 + 1)], "k1 long, k2 long, id long"))
     assert [len(level) for level in store.levels] == [1, 0, 1]
+    # Both merges read runs as they lie: neither shuffled nor sorted again.
+    (a,), (b,) = store.levels[0], store.levels[2]
+    before = spark.conf.get(_SORTED)
+    spark.conf.set(_SORTED, "true")
+    for how in ("left_anti", "full_outer"):
+        plan = a.rows().join(b.rows().hint("merge"), ["k1", "k2"], how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan, plan
+    spark.conf.set(_SORTED, before)
     got = {(r.k1, r.last) for r in store.frequent().collect()}
     assert got == {(0, 9), (1, 8), (2, 8)}
 
