@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.text import content_terms, stems, without_stopwords
+from assay.functions.text import content_terms, let, stems, without_stopwords
 
 # Fixed value: what counts as a number.
 NUMBER = r"(\d[\d,]*(?:\.\d+)?%?)"
@@ -23,9 +23,8 @@ def evidence_text(retrieved: Column) -> Column:
 
 def precision(answer_terms: Column, evidence_terms: Column) -> Column:
     """Share of the answer's content terms, repeats counted, that the evidence holds; 0 for none."""
-    both = F.array_intersect(answer_terms, evidence_terms)
-    held = F.filter(answer_terms, lambda t: F.array_contains(both, t))
-    return F.when(F.size(answer_terms) > 0, F.size(held) / F.size(answer_terms)).otherwise(0.0)
+    held = lambda words: let(F.array_intersect(words, evidence_terms), lambda both: F.size(F.filter(words, lambda t: F.array_contains(both, t))))
+    return let(answer_terms, lambda words: F.when(F.size(words) > 0, held(words) / F.size(words)).otherwise(0.0))
 
 
 def _pairs(words: Column) -> Column:
@@ -45,9 +44,9 @@ def has_quote(answer_tokens: Column, evidence: Column, pairs: Column, least: int
     starts = F.sequence(F.lit(1), F.size(answer_tokens) - least + 1)
     quote = lambda i: F.contains(evidence, F.array_join(F.slice(answer_tokens, i, least), " "))
     if least >= 4:
-        both = F.array_intersect(_pairs(answer_tokens), pairs)
-        at = F.filter(starts, lambda i: F.array_contains(both, F.array_join(F.slice(answer_tokens, i + 1, 2), " ")))
-        return F.when((F.size(answer_tokens) >= least) & (F.size(both) > 0), F.exists(at, quote)).otherwise(False)
+        inner = lambda both: F.filter(starts, lambda i: F.array_contains(both, F.array_join(F.slice(answer_tokens, i + 1, 2), " ")))
+        found = let(F.array_intersect(_pairs(answer_tokens), pairs), lambda both: F.when(F.size(both) > 0, F.exists(inner(both), quote)).otherwise(False))
+        return F.when(F.size(answer_tokens) >= least, found).otherwise(False)
     return F.when(F.size(answer_tokens) >= least, F.exists(starts, quote)).otherwise(False)
 
 

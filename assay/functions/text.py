@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ SUFFIXES = (("ies", "y"), ("ing", ""), ("ied", "y"), ("ed", ""), ("es", ""), ("s
 LEAST_STEM = 3
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: an expression that a lambda refers to is else computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII tokens, in order; null text has none."""
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)), F.array().cast("array<string>"))

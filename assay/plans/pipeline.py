@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from assay.operators.aggregate import recommendation, tradeoffs, verdicts
 from assay.operators.checks import score_answers
 from assay.operators.judge import long_reviews, run_judge
+from assay.operators.kept import kept
 from assay.operators.retrieval import bm25_topk, passages
 from assay.operators.taxonomy import failure_tags
 from assay.operators.validate import retrieval_counts, union, unprocessed_answers
 from assay.plans.config import config_hash
-from assay.sources.artifacts import append_call_log, file_hashes, read_call_log, write_array
+from assay.sources.artifacts import append_call_log, file_hashes, read_call_log
 from assay.sources.inputs import Inputs, load_inputs
+from assay.sources.sinks import write_array, write_pieces
 
 
 @dataclass
 class Evaluation:
-    """The tables of a run. Retrieval and scores are persisted, as several later stages read them."""
+    """The tables of a run, each written once, as several later stages read them."""
 
     inputs: Inputs
     retrieval: DataFrame
@@ -47,21 +49,20 @@ def evaluate(inputs: Inputs, config: dict, log: DataFrame | None = None, live: C
 
     def timed(name: str, table: DataFrame) -> DataFrame:
         began = time.monotonic()
-        kept = table.persist()
-        kept.count()
+        table = kept(table, name)
         seconds[name] = round(time.monotonic() - began, 4)
-        return kept
+        return table
 
     retrieval = timed("retrieval", passages(bm25_topk(inputs.kb, queries, config["retrieval"]), inputs.kb, queries))
     scores = timed("automated_scores", score_answers(queries, answers, retrieval, config))
     began = time.monotonic()
     reviews, backend, calls = run_judge(queries, answers, retrieval, scores, config, log, live)
-    reviews = reviews.persist()
+    reviews = kept(reviews, "reviews")
     seconds["llm_review"] = round(time.monotonic() - began, 4)
     long = long_reviews(reviews)
     tags = timed("failure_taxonomy", failure_tags(scores, queries, answers, long, config))
     verdict = timed("recommendation", verdicts(scores, queries, long, tags, config))
-    decided = recommendation(verdict, config)
+    decided = kept(recommendation(verdict, config), "decision")
     return Evaluation(inputs, retrieval, scores, reviews, tags, verdict, decided, tradeoffs(verdict, decided), backend, calls, seconds)
 
 
@@ -134,10 +135,7 @@ def run_files(spark: SparkSession, paths: dict[str, str], out: str, config: dict
         write_array(table.join(q, "query_id").join(order, "variant").select(*table.columns, "q_ord", "v_ord"), f"{out}/{name}.json", ["q_ord", "v_ord"])
     write_array(run.reviews.join(q, "query_id"), f"{out}/llm_review.json", ["q_ord"])
     Path(f"{out}/recommendation.md").write_text(recommendation_markdown(run), encoding="utf-8")
-    with Path(f"{out}/review_report.md").open("w", encoding="utf-8") as report:
-        report.write("# Review report\n")
-        for row in report_lines(run).orderBy("q_ord").toLocalIterator():
-            report.write("\n" + row.section + "\n")
+    write_pieces(report_lines(run), f"{out}/review_report.md", ["q_ord"], F.concat(F.lit("\n"), "section"), "# Review report\n", "\n", "\n")
     Path(f"{out}/run_manifest.json").write_text(json.dumps(manifest(spark, run, config, {k: v for k, v in paths.items() if k != "llm_calls"}), indent=2) + "\n", encoding="utf-8")
     return run
 

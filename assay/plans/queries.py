@@ -6,7 +6,6 @@ benchmark items or first user turns the questions, assistant turns the answers o
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,13 +18,14 @@ from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms,
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
 from assay.operators.checks import dealt, long_answers, score_answers
-from assay.operators.kept import kept
+from assay.operators.kept import kept, shared_folder
 from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_reviews, stub_winner
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
 from assay.plans.config import config_hash, defaults
 from assay.sources.artifacts import broken_lines, file_hashes, read_call_log
 from assay.sources.inputs import read_array, text_field, typed_records
+from assay.sources.sinks import write_pieces
 
 #: Moves values off rounding ties, where engines differ.
 SHIFT = 1e-9
@@ -520,11 +520,10 @@ def review_validation_all(t: Tables) -> DataFrame:
 # ---- sources and sinks: small files made of the tables, and read again -----------------------------
 
 
-def _file(t: Tables, lines: DataFrame, name: str) -> str:
-    """A text file of one column, in the order of pos, in the folder that all executors share (a temporary one in local mode)."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assay-")
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    lines.coalesce(1).sortWithinPartitions("pos").select("value").write.text(path)
+def _file(t: Tables, lines: DataFrame, name: str, head: str = "", between: str = "\n", tail: str = "\n") -> str:
+    """A text file of one column, in the order of pos, in the folder that all executors share."""
+    path = f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    write_pieces(lines, path, ["pos"], F.col("value"), head, between, tail)
     return path
 
 
@@ -534,9 +533,8 @@ SELECT 'SCHEMA_INVALID' AS code, CAST(idx AS VARCHAR) AS idx, 'text' AS field FR
 def array_input_issues(t: Tables) -> DataFrame:
     """Benchmark items as a JSON array with blank texts and repeated ids: what a typed scan of the array finds."""
     items = t.read("benchmark").select("item_id", F.when(F.col("item_id") % 10 == 5, F.col("item_id") - 5).otherwise(F.col("item_id")).cast("string").alias("doc_id"), F.when(F.col("item_id") % 7 == 0, " ").otherwise(F.col("text")).alias("text"))
-    array = items.agg(F.array_sort(F.collect_list(F.struct("item_id", "doc_id", "text"))).alias("a")).select(F.lit(0).alias("pos"), F.to_json("a").alias("value"))
-    path = _file(t, array, "items")
-    rows, bad = read_array(t.spark, path)
+    path = _file(t, items.select(F.col("item_id").alias("pos"), F.to_json(F.struct("item_id", "doc_id", "text")).alias("value")), "items", "[", ", ", "]")
+    rows, bad = read_array(t.spark, path, whole_bytes=-1)
     _, found = typed_records(rows, path, "doc_id", {"doc_id": text_field("doc_id"), "text": text_field("text")})
     return bad.unionByName(found).select("code", F.regexp_extract("location", r"\[(\d+)\]", 1).alias("idx"), F.regexp_extract("location", r"\.([a-z_]+)$", 1).alias("field"))
 
@@ -552,6 +550,23 @@ def call_log_scan(t: Tables) -> DataFrame:
     return read.unionByName(broken_lines(t.spark, path).groupBy(F.lit("broken").alias("backend")).agg(F.count(F.lit(1)).alias("n")))
 
 
+@query("SELECT row_number() OVER (ORDER BY event_id) AS line, event_id % 9 = 4 AS broken FROM events QUALIFY broken")
+def broken_call_log_lines(t: Tables) -> DataFrame:
+    """Numbers of the lines of an events' log that are cut off, read split by split."""
+    whole = F.to_json(F.struct(F.col("event_id").cast("string").alias("call_id"), "props"))
+    lines = t.read("events").select(F.col("event_id").alias("pos"), F.when(F.col("event_id") % 9 == 4, F.substring(whole, 1, 8)).otherwise(whole).alias("value"))
+    return broken_lines(t.spark, _file(t, lines, "log")).select("line", F.lit(True).alias("broken"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, text FROM documents")
+def document_array_scan(t: Tables) -> DataFrame:
+    """All documents as one JSON array, written in order by tasks and read again between its elements, with the places of the elements."""
+    rows = t.read("documents").select(F.col("doc_id").alias("pos"), F.to_json(F.struct("doc_id", "text"), {"ignoreNullFields": "false"}).alias("value"))
+    read, _ = read_array(t.spark, _file(t, rows, "documents", "[\n", ",\n", "\n]"), whole_bytes=-1)
+    field = lambda name, kind: F.try_variant_get("record", f"$.{name}", kind)
+    return read.select(field("doc_id", "long").alias("doc_id"), F.col("idx").cast("long").alias("idx"), field("text", "string").alias("text"))
+
+
 @query("SELECT sha256(string_agg(CAST(item_id AS VARCHAR) || chr(10), '' ORDER BY item_id)) AS sha256 FROM benchmark")
 def file_hash(t: Tables) -> DataFrame:
     path = _file(t, t.read("benchmark").select(F.col("item_id").alias("pos"), F.col("item_id").cast("string").alias("value")), "ids")

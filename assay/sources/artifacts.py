@@ -9,24 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.sources.inputs import exists
+from assay.sources.pieces import numbered_lines, strictly
 
 LOG = "backend string, call_id string, latency_ms long, model string, parsed_ok boolean, prompt_hash string, provider string, replayed_call_id string, response_raw string, timestamp string, usage struct<input_tokens:long,output_tokens:long>, validation_errors array<string>"
 
 
 def read_call_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log with line, which grows with the position; a missing file is an empty log, broken lines are skipped."""
+    """The log with line, its number from 1; a missing file is an empty log, broken lines are skipped."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"{LOG}, line long")
-    rows = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumn("v", F.try_parse_json("value"))
+    rows = numbered_lines(spark, path).withColumn("v", strictly(F.col("value")))
     return rows.where(F.schema_of_variant("v").startswith("OBJECT")).select(F.from_json("value", LOG).alias("e"), "line").select("e.*", "line")
 
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1) and value of the lines of a JSON-lines file that aren't objects; blank ones don't count.
-
-    A log is one file that people read; it is cut into numbered lines in one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
-    rows = whole.where(F.trim("value") != "").withColumn("v", F.try_parse_json("value"))
+    """line (from 1) and value of the lines of a JSON-lines file that aren't objects; blank ones don't count."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("v", strictly(F.col("value")))
     return rows.where(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT")).select("line", "value")
 
 
@@ -37,18 +35,6 @@ def append_call_log(path: str, entries: list[dict]) -> None:
             out.writelines(json.dumps(e, sort_keys=True) + "\n" for e in entries)
 
 
-def write_array(df: DataFrame, path: str, order: list[str]) -> None:
-    """One indented JSON array in the given order, for reports that people read: rows stream through the driver one by one."""
-    kept = [c for c in df.columns if c not in order or not c.endswith("_ord")]
-    with Path(path).open("w", encoding="utf-8") as out:
-        first = True
-        out.write("[")
-        for row in df.orderBy(*order).select(F.to_json(F.struct(*kept)).alias("j")).toLocalIterator():
-            out.write(("\n" if first else ",\n") + json.dumps(json.loads(row.j), indent=2, ensure_ascii=False))
-            first = False
-        out.write("]\n" if first else "\n]\n")
-
-
 def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
     """path, sha256 of files in any store."""
     return spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("sha256"))

@@ -7,13 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.operators.kept import kept
 from assay.operators.validate import ERROR, duplicate_ids, input_issues, issues, union
+from assay.sources.pieces import array_elements, strictly
 
 _STRIP = r"^\s+|\s+$"
 
 
+#: A file of so many bytes may be parsed as one row, which costs fewer jobs; the result is the same.
+WHOLE_BYTES = 1 << 20
+#: Issues that an error names; the table of issues has all of them.
+MOST_SHOWN = 1000
+
+
 class InputError(ValueError):
-    """Inputs with errors; issues has them all."""
+    """Inputs with errors; issues has the first MOST_SHOWN of them."""
 
     def __init__(self, rows: list) -> None:
         super().__init__("\n".join(f"[{r.severity}] {r.code} {r.location}: {r.message}" for r in rows))
@@ -36,22 +44,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def file_bytes(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def stripped(c: Column) -> Column:
     return F.regexp_replace(c, _STRIP, "")
 
 
-def read_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(idx, record, a variant, and raw, its JSON text with the order of keys, of each element; issues of the file). Nothing is read of a file that can't be used.
+def read_array(spark: SparkSession, path: str, whole_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(idx, record, a variant, and raw, its JSON text, of each element; issues of the file). Nothing is read of a file that can't be used.
 
-    An array file is one JSON value, so it is one row; tables of any size come in as DataFrames instead."""
+    A file of more than whole_bytes (WHOLE_BYTES) is cut between its elements, split by split, so neither a row nor a task holds the whole of it."""
     if not exists(spark, path):
         lost = spark.createDataFrame([(path,)], "p string")
         return spark.sql("SELECT 0 AS idx, parse_json('null') AS record, '' AS raw WHERE false"), issues(lost, "FILE_NOT_FOUND", F.col("p"), F.lit("no such file"))
-    whole = spark.read.text(path, wholetext=True).select("value", F.try_parse_json("value").alias("v")).withColumn("kind", F.schema_of_variant("v"))
+    if file_bytes(spark, path) <= (WHOLE_BYTES if whole_bytes is None else whole_bytes):
+        return _small_array(spark, path)
+    rows, wrong = array_elements(spark, path)
+    at = spark.createDataFrame([(path,)] if wrong else [], "p string")
+    return rows, issues(at, wrong, F.col("p"), F.lit("not JSON" if wrong == "INVALID_JSON" else "the top level is no array"))
+
+
+def _small_array(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """read_array() of a file that may be one row."""
+    whole = spark.read.text(path, wholetext=True).select("value", strictly(F.col("value")).alias("v")).withColumn("kind", F.schema_of_variant("v"))
     bad = issues(whole.where("v IS NULL"), "INVALID_JSON", F.lit(path), F.lit("not JSON")).unionByName(issues(whole.where("kind NOT LIKE 'ARRAY%'"), "NOT_AN_ARRAY", F.lit(path), F.lit("the top level is no array")))
     both = F.arrays_zip(F.variant_get("v", "$", "array<variant>").alias("record"), F.from_json("value", "array<string>").alias("raw"))
-    rows = whole.where("kind LIKE 'ARRAY%'").select(F.posexplode(both).alias("idx", "e")).select("idx", "e.record", "e.raw")
-    return rows, bad
+    return whole.where("kind LIKE 'ARRAY%'").select(F.posexplode(both).alias("idx", "e")).select("idx", "e.record", "e.raw"), bad
 
 
 def text_field(name: str, missing: bool = True) -> tuple[Column, Column]:
@@ -75,9 +96,10 @@ def typed_records(rows: DataFrame, path: str, key: str, fields: dict[str, tuple[
     kind = F.coalesce(F.schema_of_variant("record"), F.lit("VOID"))
     strange = issues(rows.where(~kind.startswith("OBJECT")), "NOT_AN_OBJECT", place, F.lit("record is no object"))
     parsed = rows.where(kind.startswith("OBJECT")).select("idx", *(v.alias(n) for n, (v, _) in fields.items()), F.array_compact(F.array(*(F.when(bad, n) for n, (_, bad) in fields.items()))).alias("_bad"))
+    parsed = kept(parsed, "parsed-records")
     wrong = issues(parsed.withColumn("f", F.explode("_bad")), "SCHEMA_INVALID", F.concat(place, F.lit("."), F.col("f")), F.lit("missing, blank or of another type"))
     good = parsed.where(F.size("_bad") == 0).drop("_bad")
-    again = duplicate_ids(good, key, "idx")
+    again = kept(duplicate_ids(good, key, "idx"), "repeated-ids")
     twice = issues(again, "DUPLICATE_ID", F.concat(place, F.lit(f".{key}")), F.concat(F.lit("first seen at index "), F.col("first_seen").cast("string")))
     return good.join(again.select("idx"), "idx", "left_anti"), union([strange, wrong, twice])
 
@@ -103,9 +125,7 @@ def load_inputs(spark: SparkSession, kb_path: str, queries_path: str, answers_pa
             found.append(issues(spark.createDataFrame([(path,)], "p string"), f"EMPTY_{name}", F.col("p"), F.lit("no valid record")))
     long = answers.select(F.col("idx").alias("a_ord"), "query_id", F.posexplode("answers").alias("v_pos", "variant", "answer")).withColumns({"variant": stripped(F.col("variant")), "answer": stripped(F.col("answer"))})
     queries = queries.withColumnRenamed("idx", "q_ord")
-    every = union([*found, input_issues(kb, queries, long)])
-    if strict:
-        rows = every.collect()  # the files are in memory of one task each; issues are no more
-        if any(r.severity == ERROR for r in rows):
-            raise InputError(rows)
+    every = kept(union([*found, input_issues(kb, queries, long)]), "input-issues")
+    if strict and every.where(F.col("severity") == ERROR).limit(1).count():
+        raise InputError(every.orderBy("location", "code").limit(MOST_SHOWN).collect())
     return Inputs(kb.drop("idx"), queries, long, every)
