@@ -18,8 +18,10 @@ from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms,
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
 from assay.operators.checks import dealt, long_answers, score_answers
+from assay.operators.index import open_index, search, write_index
 from assay.operators.kept import kept, shared_folder
 from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_reviews, stub_winner
+from assay.operators.phrases import phrase_matches
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
 from assay.plans.config import config_hash, defaults
@@ -320,6 +322,54 @@ def match_ladder(t: Tables) -> DataFrame:
     return _phrases(t).select("query_id", "variant", rung(F.col("pattern"), F.col("answer"), F.col("w"), F.col("s")).alias("rung"))
 
 
+_TOP_OF_BOTH = "SELECT '{0}' AS kind, query_id, rank, doc_id, score FROM (WITH " + _KB + ", {1}, {2} SELECT * FROM top)"
+
+
+@query(_TOP_OF_BOTH.format("chats", _CHATS, _sql_bm25("chats")) + " UNION ALL " + _TOP_OF_BOTH.format("questions", _QUESTIONS, _sql_bm25("questions")))
+def bm25_stored_index(t: Tables) -> DataFrame:
+    """Two searches of one stored index: texts are read once, when it is written."""
+    path = f"{shared_folder(t.spark)}/bm25-index-{uuid.uuid4().hex}"
+    write_index(t.kb(), path, CONFIG["retrieval"])
+    found = {kind: search(open_index(t.spark, path), queries, CONFIG["retrieval"], SHIFT) for kind, queries in (("chats", t.chats()), ("questions", t.questions()))}
+    both = found["chats"].withColumn("kind", F.lit("chats")).unionByName(found["questions"].withColumn("kind", F.lit("questions")))
+    return both.select("kind", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+def _sql_greedy(p: str, words: str) -> str:
+    """Any number of tokens: from each place of the first one, each next token where it is next seen among three words, without going back."""
+    step = " ".join(f"WHEN {words}[a + {d}] = {p}[k] THEN a + {d}" for d in (1, 2, 3))
+    return f"""CASE WHEN len({p}) = 0 OR NOT list_has_all({words}, {p}) THEN false
+  ELSE len(list_filter(range(1, len({words}) + 1), lambda i: {words}[i] = {p}[1] AND list_reduce(list_prepend(i, range(2, len({p}) + 1)), lambda a, k: CASE WHEN a = 0 THEN 0 {step} ELSE 0 END) > 0)) > 0 END"""
+
+
+_ITEM_PHRASES = f"""items AS (SELECT item_id, {_sql_tokens('text')} AS t, text FROM benchmark),
+phrases AS (SELECT item_id || ':' || kind AS pattern_id, pattern FROM (
+  SELECT item_id, 'three' AS kind, array_to_string(t[2:4], ' ') AS pattern FROM items WHERE len(t) >= 6 UNION ALL
+  SELECT item_id, 'gap', t[1] || ' ' || t[3] || ' ' || t[5] || ' ' || t[6] FROM items WHERE len(t) >= 6 UNION ALL
+  SELECT item_id, 'stem', t[2] || 's ' || t[4] || 'ing ' || t[5] || 'ed' FROM items WHERE len(t) >= 6 UNION ALL
+  SELECT item_id, 'part', substr(text, 8, 13) FROM items UNION ALL
+  SELECT item_id, 'word', t[len(t)] || t[1] FROM items WHERE len(t) >= 6))"""
+
+
+@query(f"""WITH {_ITEM_PHRASES}, x AS (SELECT doc_id, text, {_sql_tokens('text')} AS w, list_transform({_sql_tokens('text')}, lambda t: {_sql_stem('t')}) AS s FROM documents),
+p AS (SELECT *, {_sql_tokens('pattern')} AS pt, {_sql_terms('pattern')} AS ps FROM phrases),
+r AS (SELECT pattern_id, doc_id, CASE WHEN {_sql_needle('pattern')} <> '' AND contains(lower(text), {_sql_needle('pattern')}) THEN 'exact'
+  WHEN {_sql_greedy('pt', 'w')} THEN 'subsequence' WHEN {_sql_greedy('ps', 's')} THEN 'stemmed_subsequence' END AS rung FROM p, x)
+SELECT pattern_id, doc_id AS text_id, rung FROM r WHERE rung IS NOT NULL""")
+def phrases_in_documents(t: Tables) -> DataFrame:
+    """Phrases of three and more tokens of each benchmark item, with gaps and other endings, and pieces of its text, in all documents."""
+    item = t.read("benchmark").select("item_id", "text", tokens(F.col("text")).alias("t"))
+    at = lambda k: F.get("t", k - 1)
+    joined = lambda *parts: F.concat_ws(" ", *parts)
+    kinds = {
+        "three": joined(at(2), at(3), at(4)), "gap": joined(at(1), at(3), at(5), at(6)), "stem": joined(F.concat(at(2), F.lit("s")), F.concat(at(4), F.lit("ing")), F.concat(at(5), F.lit("ed"))),
+        "part": F.substring("text", 8, 13), "word": F.concat(F.element_at("t", -1), at(1)),
+    }
+    rows = item.select("item_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.when((F.size("t") >= 6) | F.lit(k == "part"), v).alias("pattern")) for k, v in kinds.items()))).alias("p"))
+    patterns = rows.where("p.pattern IS NOT NULL").select(F.concat(F.col("item_id").cast("string"), F.lit(":"), "p.kind").alias("pattern_id"), "p.pattern")
+    return phrase_matches(patterns, t.read("documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
 @query(f"WITH {_EVIDENCE} SELECT query_id, variant, q AS quote, round(p + 1e-9::DOUBLE, 4) AS precision, score AS grounding_score, array_to_string(lost, ',') AS unsupported FROM grounded")
 def grounding_score(t: Tables) -> DataFrame:
     ev = with_evidence(t.retrieval()).drop("retrieved")

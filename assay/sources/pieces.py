@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from assay.operators.kept import kept
 
 _ESCAPED, _STRING, _TAIL = r"(?s)\\.", r'(?s)"[^"]*("|$)', r'(?s)^[^"]*("|$)'
-_MARK = "end\u0001"
 
 
 def _splits(rows: DataFrame, **totals: Column) -> DataFrame:
@@ -75,10 +74,13 @@ def _placed(pieces: DataFrame) -> DataFrame:
 
 
 def strictly(text: Column) -> Column:
-    """The JSON value of the whole text as VARIANT, or null: what parses with something after it isn't taken."""
-    both = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(f',"{_MARK}":0}}'.replace("\u0001", "\\u0001"))))
-    whole = F.try_variant_get(both, f"$['{_MARK}']", "int").isNotNull()
-    return F.when(whole, F.try_variant_get(both, "$.v", "variant"))
+    """The JSON value of the whole text as VARIANT, or null. A parser stops after the first value, so the text is put between two
+    fields: what stands after its value would hide the second one, whose name is the text's digest, or add another."""
+    mark = F.md5(text.cast("binary"))
+    both = F.concat(F.lit('{"v":'), text, F.lit(',"'), mark, F.lit('":0}'))
+    keys = F.json_object_keys(both)
+    whole = (F.size(keys) == 2) & F.array_contains(keys, mark)
+    return F.when(whole, F.try_variant_get(F.try_parse_json(both), "$.v", "variant"))
 
 
 #: Opening brackets and what shuts them.

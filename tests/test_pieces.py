@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.sources.inputs import read_array
-from assay.sources.pieces import numbered_lines
+from assay.sources.pieces import numbered_lines, strictly
 
 VALUES = ["", "a,b", 'q"uote', "br]ack[et}{", "back\\slash\\", "tab\t\nline", "é中,", '","', "\\\"", "[1,2]", 1, -2.5, True, None, [], {}, [1, [2, 3], {"k": "v,\\"}], {"a": {"b": [",", "]"]}, "c": ""}]
 
@@ -65,6 +65,13 @@ def test_small_files_give_the_same(spark, tmp_path):
         assert rows.count() == (len(json.loads(text)) if text in GOOD else 0)
 
 
+def test_nothing_after_a_value(spark):
+    bad = ['{"a":1} x', '{"a":1},"b":2', '{"a":1}, {"b":2}', "1 2", "", " ", "{", '"a', '{"a":1}}', '{"a":1,"a":2}']
+    good = ['{"a":1}', ' {"a":[1,"}"]} ', "1", "null", '"x"']
+    rows = spark.createDataFrame([(x,) for x in bad + good], "x string").select("x", strictly(F.col("x")).isNotNull().alias("ok"))
+    assert {r.x for r in rows.collect() if r.ok} == set(good)
+
+
 def test_lines_of_many_splits(spark, small_splits, tmp_path):
     rng = random.Random(6)
     lines = ["".join(rng.choice("abé, ") for _ in range(rng.choice([0, 1, 30, 200]))) for _ in range(90)]
