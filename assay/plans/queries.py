@@ -5,11 +5,10 @@ benchmark items or first user turns the questions, assistant turns the answers o
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assay.functions.grounding import unsupported_numbers, with_evidence, with_grounding
@@ -17,17 +16,19 @@ from assay.functions.matching import exact, in_order, matches, rung
 from assay.functions.text import LEAST_STEM, STOPWORDS, SUFFIXES, content_terms, stem, stems, tokens, without_stopwords
 from assay.operators import validate
 from assay.operators.aggregate import contributions, recommendation, tag_counts, tradeoffs, verdicts
+from assay.operators.batches import judge_in_batches, prompt_batches
 from assay.operators.checks import dealt, long_answers, score_answers
 from assay.operators.index import open_index, search, write_index
 from assay.operators.kept import kept, shared_folder
-from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_reviews, stub_winner
+from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_payload, stub_reviews, stub_winner
 from assay.operators.phrases import phrase_matches
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
-from assay.plans.config import config_hash, defaults
+from assay.plans.config import defaults
+from assay.plans.stored import read_records, stored_differences
 from assay.sources.artifacts import broken_lines, file_hashes, read_call_log
 from assay.sources.inputs import read_array, text_field, typed_records
-from assay.sources.sinks import write_pieces
+from assay.sources.sinks import write_array, write_pieces
 
 #: Moves values off rounding ties, where engines differ.
 SHIFT = 1e-9
@@ -630,9 +631,72 @@ def answers_by_variant(t: Tables) -> DataFrame:
     return long_answers(maps)
 
 
-@query(f"SELECT sha256('{json.dumps(CONFIG, sort_keys=True, separators=(',', ':'))}') AS config_hash")
-def hash_of_the_configuration(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(config_hash(CONFIG),)], "config_hash string")
+_STORED = f"""{_LIGHT}, kept AS (SELECT query_id, variant, a_ord, CASE WHEN a_ord % 11 = 0 THEN 0.5 ELSE grounding_score END AS stored, grounding_score AS own FROM scores)"""
+
+
+@query(f"""WITH {_STORED} SELECT 'stored' AS side, query_id, variant FROM kept WHERE a_ord % 13 <> 0 AND stored <> own UNION ALL SELECT 'computed', query_id, variant FROM kept WHERE a_ord % 13 = 0 OR stored <> own""")
+def reproduced_scores(t: Tables) -> DataFrame:
+    """Scores against a stored table in which every thirteenth query is lost and every eleventh has another grounding score."""
+    scores, number = t.light_scores(), F.col("query_id").cast("long")
+    stored = scores.where(number % 13 != 0).withColumn("grounding_score", F.when(number % 11 == 0, 0.5).otherwise(F.col("grounding_score")))
+    found = validate.differences(stored, scores)
+    field = lambda name: F.get_json_object("message", f"$.{name}").alias(name)
+    return found.select(F.col("location").alias("side"), field("query_id"), field("variant"))
+
+
+@query(f"""WITH {_STORED}, n AS (SELECT *, a_ord % 17 = 0 AS broken FROM kept)
+SELECT 'SCHEMA_INVALID' AS code, count(*) AS n FROM n WHERE broken HAVING count(*) > 0 UNION ALL SELECT 'UNPROCESSED_ANSWER', count(*) FROM n WHERE broken HAVING count(*) > 0
+UNION ALL SELECT 'NOT_REPRODUCIBLE', count(*) FILTER (WHERE broken) + 2 * count(*) FILTER (WHERE NOT broken AND stored <> own) AS n FROM n HAVING n > 0""")
+def stored_artifact_issues(t: Tables) -> DataFrame:
+    """Scores written as an artifact, some without a field and some changed: what its scan, the coverage check and a second computation find."""
+    scores, number = t.light_scores(), F.col("query_id").cast("long")
+    path = f"{shared_folder(t.spark)}/scores-{uuid.uuid4().hex}.json"
+    written = scores.withColumns({"grounding_score": F.when(number % 11 == 0, 0.5).otherwise(F.col("grounding_score")), "retrieval_hit": F.when(number % 17 != 0, F.col("retrieval_hit"))})
+    write_array(written, path, ["query_id", "variant"])
+    records, _ = read_records(t.spark, path, "automated_scores")
+    found = stored_differences(t.spark, path, "automated_scores", scores).unionByName(validate.unprocessed_answers(t.answers().join(t.chats(), "query_id", "left_semi"), records))
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BLOCKS = f"""{_LIGHT}, l AS (SELECT query_id, string_agg('<answer variant=' || variant || '>' || chr(10) || coalesce(answer, '') || chr(10) || '</answer>' || chr(10) || '<rules>expected source found: ' || {_YES.format('retrieval_hit')}
+  || '; required point made: ' || {_YES.format('must_include_pass')} || '; no banned claim: ' || {_YES.format('must_not_claim_pass')} || '; support ' || CAST(grounding_score AS VARCHAR)
+  || '; flags ' || CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END || '</rules>', chr(10) ORDER BY variant) AS body FROM scores GROUP BY query_id),
+blocks AS (SELECT query_id, q_ord, '<item query=' || query_id || '>' || chr(10) || user_question || chr(10) || '<source>none</source>' || chr(10) || body || chr(10) || '</item>' AS block FROM chats JOIN l USING (query_id)),
+placed AS (SELECT *, coalesce(sum((length(block) + 3) // 4) OVER (ORDER BY q_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 2000 AS batch FROM blocks)"""
+
+
+def _blocks(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    answers, scores = t.answers().join(t.chats(), "query_id", "left_semi"), t.light_scores()
+    return answers, scores, build_prompt(t.chats(), answers, t.evidence(), scores)
+
+
+@query(f"WITH {_BLOCKS} SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, sha256('{_HEAD}' || string_agg(block, chr(10) ORDER BY q_ord)) AS prompt_hash FROM placed GROUP BY batch")
+def judge_prompt_batches(t: Tables) -> DataFrame:
+    """All questions in prompts of about 2000 tokens."""
+    return prompt_batches(_blocks(t)[2], CONFIG["judge"], 2000)[0].select("batch", "n", "prompt_hash")
+
+
+@query(f"""WITH {_BLOCKS}, best AS (SELECT query_id, variant AS winner FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY must_not_claim_pass DESC, must_include_pass DESC, grounding_score DESC, variant) = 1)
+SELECT query_id, winner, CASE WHEN batch % 3 = 0 THEN 'cache' ELSE 'stub' END AS backend FROM placed JOIN best USING (query_id)""")
+def judge_batches_replayed(t: Tables) -> DataFrame:
+    """Reviews in batches, where the log has an answer to every third prompt, and one with a lost review to the next."""
+    answers, scores, blocks = _blocks(t)
+    prompts, members = prompt_batches(blocks, CONFIG["judge"], 2000)
+    some = prompts.where("batch % 3 < 2").select("batch", "prompt_hash")
+    made = stub_payload(t.spark, answers, scores, CONFIG["judge"]).join(members, "query_id").join(some, "batch")
+    first = F.min("query_id").over(Window.partitionBy("batch"))
+    made = made.withColumn("least", first).where("batch % 3 = 0 OR query_id <> least")
+    review = F.struct("query_id", "winner", "faithfulness", "clarity", "overclaim_flags", "justification")
+    log = made.groupBy("batch", "prompt_hash").agg(F.to_json(F.struct(F.collect_list(review).alias("reviews"))).alias("response_raw"))
+    log = log.select(F.col("batch").alias("line"), F.lit("live").alias("backend"), F.lit(True).alias("parsed_ok"), "prompt_hash", F.concat(F.lit("c"), F.col("batch").cast("string")).alias("call_id"), "response_raw")
+    return judge_in_batches(t.chats(), answers, t.evidence(), scores, CONFIG, log, None, 2000).reviews.select("query_id", "winner", "backend")
+
+
+@query(f"WITH {_CHATS}, {_ANSWERS} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chats) AS queries, (SELECT count(DISTINCT variant) FROM answers) AS variants")
+def run_counts(t: Tables) -> DataFrame:
+    """What a manifest counts."""
+    one = lambda table, name: table.agg(F.count(F.lit(1)).alias(name))
+    return one(t.kb(), "documents").join(one(t.chats(), "queries")).join(one(t.answers().select("variant").distinct(), "variants"))  # one row each
 
 
 # ---- the later stages over real scores ---------------------------------------------------------------

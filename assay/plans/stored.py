@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from assay.operators.aggregate import recommendation, tradeoffs, verdicts
 from assay.operators.judge import long_reviews, review_entry_issues
-from assay.operators.validate import issues, retrieval_counts, union, unprocessed_answers
+from assay.operators.validate import differences, issues, retrieval_counts, union, unprocessed_answers
 from assay.plans.pipeline import recommendation_text
 from assay.sources.artifacts import broken_lines
 from assay.sources.inputs import Inputs, exists, read_array
@@ -62,6 +62,15 @@ def read_records(spark: SparkSession, path: str, name: str) -> tuple[DataFrame,
     return sound.select("idx", "entry", F.from_json("entry", TYPES[name]).alias("r")).select("idx", "entry", "r.*"), bad.unionByName(found)
 
 
+def stored_differences(spark: SparkSession, path: str, name: str, computed: DataFrame) -> DataFrame:
+    """Issues of a stored artifact against the same table computed again: its own, and records that only one of both has."""
+    records, bad = read_records(spark, path, name)
+    fields = [c for c in records.columns if c not in ("idx", "entry") and c in computed.columns]
+    kinds = {f.name: f.dataType for f in records.schema.fields}
+    again = computed.select(*(F.col(c).cast(kinds[c]).alias(c) for c in fields))
+    return bad.unionByName(differences(records.select(*fields), again))
+
+
 def line_issues(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a JSON-lines file that aren't objects, by number from 1; a missing file has none."""
     if not exists(spark, path):
