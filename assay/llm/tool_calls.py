@@ -11,11 +11,46 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.functions.text import let
 from assay.llm._state import drop, keep
+from assay.sources.pieces import strictly
 
 #: Types of a schema, and how the type of a parsed JSON value begins.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL|DOUBLE)", "boolean": "BOOLEAN", "object": "OBJECT", "array": "ARRAY"}
-SCHEMAS = "name string, fields array<struct<path:string,field:string,parent:string,type:string,required:boolean,allowed:array<string>>>"
+SCHEMAS = "name string, fields array<struct<path:string,field:string,parent:string,key:string,type:string,required:boolean,allowed:array<string>>>"
+
+#: Digits that a double keeps: a longer number loses trailing zeros only.
+DIGITS = 15
+
+
+def _number(n: Column) -> Column:
+    """A JSON number that has a fraction or an exponent, as all spellings of its value are written."""
+    value = n.cast("double")
+    plain = F.when((value == F.floor(value)) & (F.abs(value) < 10.0**DIGITS), F.floor(value).cast("string")).otherwise(value.cast("string"))
+    return F.when(F.length(F.regexp_replace(n, r"[^0-9]|[eE].*", "")) > DIGITS + 2, F.regexp_replace(n, r"(\.[0-9]*?)0+$", "$1")).otherwise(plain)
+
+
+def canonical(text: Column) -> Column:
+    """JSON text as to_json() writes it, with one spelling for equal numbers (1e2 and 100.0 are 100). What is in strings stays.
+
+    Escaped backslashes and quotes are put aside, so that every second part between quotes is outside of strings."""
+    parts = F.split(F.replace(F.replace(text, F.lit("\\\\"), F.lit("\u0001")), F.lit('\\"'), F.lit("\u0002")), '"')
+    fix = lambda t: F.when(F.regexp(t, F.lit(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")) & F.regexp(t, F.lit("[.eE]")), _number(t)).otherwise(t)
+    outside = lambda x: F.when(F.regexp(x, F.lit("[0-9][.eE]")), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"([^\[\]{}:,]+|[\[\]{}:,])"), F.lit(1)), fix), "")).otherwise(x)
+    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x)), '"')
+    return F.replace(F.replace(joined, F.lit("\u0002"), F.lit('\\"')), F.lit("\u0001"), F.lit("\\\\"))
+
+
+def _quotes(text: Column) -> Column:
+    """Quotes of a JSON text that aren't escaped."""
+    bare = F.regexp_replace(text, r"(?s)\\.", "")
+    return F.length(bare) - F.length(F.translate(bare, '"', ""))
+
+
+def _finite(text: Column) -> Column:
+    """The JSON value of a text, or null; a number beyond a double's range would come back as a string, which two more quotes tell."""
+    parsed = strictly(text)
+    return F.when(_quotes(F.to_json(parsed)) == _quotes(text), parsed)
 
 
 def schema_table(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
@@ -24,18 +59,21 @@ def schema_table(spark: SparkSession, tools: dict[str, dict]) -> DataFrame:
     A spec is a dictionary: type, required (false), enum (allowed values), items (type of a list's
     elements), fields (specs of an object's own fields, which are checked where the object is there)."""
 
-    def flat(fields: dict, above: str = "") -> list[tuple]:
+    def flat(fields: dict, above: str = "", parent: str = "$") -> list[tuple]:
         out = []
         for name, spec in sorted(fields.items()):
             spec = {"type": spec[0], "required": spec[1]} if isinstance(spec, tuple) else spec
-            field = f"{above}.{name}" if above else name
+            field, path = f"{above}.{name}" if above else name, f"{parent}['{name}']"
             kind = TYPES[spec["type"]] + (f"<({TYPES[spec['items']]}|VOID|VARIANT)" if "items" in spec else "")
-            allowed = [json.dumps(v, separators=(",", ":")) for v in spec["enum"]] if "enum" in spec else None
-            out.append((f"$.{field}", field, f"$.{above}" if above else "$", kind, bool(spec.get("required")), allowed))
-            out += flat(spec.get("fields", {}), field)
+            allowed = [json.dumps(v) for v in spec["enum"]] if "enum" in spec else None
+            out.append((path, field, parent, name, kind, bool(spec.get("required")), allowed))
+            out += flat(spec.get("fields", {}), field, path)
         return out
 
-    return spark.createDataFrame([(name, flat(fields)) for name, fields in sorted(tools.items())], SCHEMAS)
+    rows = spark.createDataFrame([(name, flat(fields)) for name, fields in sorted(tools.items())], SCHEMAS)
+    # Allowed values are compared as they are written here: by one serialiser, with one spelling of numbers.
+    same = lambda f: F.transform(f["allowed"], lambda v: canonical(F.to_json(F.parse_json(v))))
+    return rows.withColumn("fields", F.transform("fields", lambda f: f.withField("allowed", same(f))))
 
 
 def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,20 +122,32 @@ def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def argument_errors(arguments: str, fields: str) -> Column:
-    """Sorted errors of a JSON string against an array of fields, as schema_table() gives them."""
-    parsed = F.try_parse_json(F.col(arguments))
-    given = F.from_json(F.col(arguments), "map<string,variant>")
+    """Sorted errors of a JSON string against an array of fields, as schema_table() gives them.
+
+    Text that isn't one JSON value and nothing else is no object, as are repeated keys; a number beyond a double's range is an error.
+    Numbers with a fraction or an exponent are no integers, however they are spelt. Keys are compared as they are: a dot doesn't lead into an object.
+    An object without stated fields may have any; in others, at any depth, unknown keys are errors."""
+    return let(strictly(F.col(arguments)), lambda parsed: _errors(parsed, arguments, fields))
+
+
+def _errors(parsed: Column, arguments: str, fields: str) -> Column:
+    """argument_errors() of the parsed arguments, which many lambdas refer to."""
     value = lambda path: F.try_variant_get(parsed, path, "variant")
     kind = lambda path: F.coalesce(F.schema_of_variant(value(path)), F.lit("VOID"))
     # An inner field counts only where the object around it is there.
-    there = lambda f: (f["parent"] == "$") | F.startswith(kind(f["parent"]), F.lit("OBJECT"))
+    there = lambda path: F.startswith(kind(path), F.lit("OBJECT"))
     said = lambda what, keep_: F.transform(F.filter(F.col(fields), keep_), lambda f: F.concat(F.lit(what), f["field"]))
-    missing = said("missing ", lambda f: f["required"] & there(f) & (kind(f["path"]) == "VOID"))
+    missing = said("missing ", lambda f: f["required"] & there(f["parent"]) & (kind(f["path"]) == "VOID"))
     wrong = said("type of ", lambda f: (kind(f["path"]) != "VOID") & ~F.regexp(kind(f["path"]), F.concat(F.lit("^"), f["type"])))
-    other = said("value of ", lambda f: f["allowed"].isNotNull() & (kind(f["path"]) != "VOID") & ~F.array_contains(f["allowed"], F.to_json(value(f["path"]))))
-    extra = F.transform(F.array_except(F.map_keys(given), F.transform(F.col(fields), lambda f: f["field"])), lambda k: F.concat(F.lit("unknown "), k))
+    other = said("value of ", lambda f: f["allowed"].isNotNull() & (kind(f["path"]) != "VOID") & ~F.array_contains(f["allowed"], canonical(F.to_json(value(f["path"])))))
+    around = F.array_union(F.array(F.lit("$")), F.transform(F.col(fields), lambda f: f["parent"]))
+    name = lambda path: F.coalesce(F.concat(F.get(F.filter(F.col(fields), lambda f: f["path"] == path), 0)["field"], F.lit(".")), F.lit(""))
+    known = lambda path: F.transform(F.filter(F.col(fields), lambda f: f["parent"] == path), lambda f: f["key"])
+    more = lambda path: F.transform(F.array_except(F.json_object_keys(F.to_json(value(path))), known(path)), lambda k: F.concat(F.lit("unknown "), name(path), k))
+    extra = F.flatten(F.transform(F.filter(around, there), more))
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
-    return F.when(F.col(fields).isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(F.array_sort(F.concat(missing, wrong, other, extra)))
+    large = F.when(_quotes(F.to_json(parsed)) != _quotes(F.col(arguments)), F.array(F.lit("number out of range"))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.col(fields).isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("not an object"))).otherwise(F.array_sort(F.concat(missing, wrong, other, extra, large)))
 
 
 def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
@@ -116,7 +166,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     no call are orphan_results(). Calls without conversation or id are left out; an unknown id in `after`
     adds an error and no level. Sorting by level, turn and call_id is a topological order of each
     conversation; on a cycle and behind it level is null and an error says so. Null or empty arguments are
-    no object; other columns are left out; empty tables give an empty one."""
+    no object, and arguments that aren't one JSON value with numbers in range are null in the record; equal numbers have one spelling in it; other columns are left out; empty tables give an empty one."""
     own = ["conv_id", "call_id"]
     after = F.array_sort(F.array_distinct(F.array_compact(F.coalesce("after", F.array().cast("array<string>")))))
     named = calls.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).withColumn("after", after)
@@ -132,8 +182,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     loose = F.when(F.col("lost"), F.array(F.lit("unknown after"))).otherwise(none)
     cycle = F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(none)
     errors = F.concat(argument_errors("arguments", "fields"), cycle, loose)
-    record = F.struct(F.col("after"), F.try_parse_json("arguments").alias("arguments"), F.col("call_id"), F.col("conv_id"), F.col("level"), F.col("name"), F.col("r.content").alias("result"), F.col("turn"))
-    out = all_of.select(*own, "turn", "name", "level", errors.alias("errors"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
+    record = F.struct(F.col("after"), _finite(F.col("arguments")).alias("arguments"), F.col("call_id"), F.col("conv_id"), F.col("level"), F.col("name"), F.col("r.content").alias("result"), F.col("turn"))
+    out = all_of.select(*own, "turn", "name", "level", errors.alias("errors"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), canonical(F.to_json(record, {"ignoreNullFields": "false"})).alias("record"))
     return out.withColumn("valid", F.size("errors") == 0)
 
 

@@ -577,3 +577,31 @@ def test_items_in_blocks(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(module, "BLOCK", 2)
     assert found() == whole == {(i, (i,)) for i in range(9)}
+
+
+# ---- strict and canonical JSON of tool calls
+
+def test_arguments_are_taken_strictly(spark):
+    tools = {
+        "t": {"u": {"type": "string", "enum": ["a", "é", "q\"\\"]}, "n": {"type": "number", "enum": [1, 2.0, 1e30]}, "i": ("integer", False), "o": {"type": "object", "fields": {"b": ("string", True)}}, "free": ("object", False)},
+        "bare": {},
+    }
+    cases = [
+        ("t", '{"u":"a"} trailing', ["not an object"], None), ("t", '{"u":"a"},"x":{}', ["not an object"], None), ("t", '{"u":"a","u":"a"}', ["not an object"], None),
+        ("t", '{"n":1e400}', ["number out of range", "value of n"], None), ("t", '{"n":2}', [], '{"n":2}'), ("t", '{"n":2.00}', [], '{"n":2}'), ("t", '{"n":0.2e1}', [], '{"n":2}'), ("t", '{"n":1e30}', [], '{"n":1.0E30}'),
+        ("t", '{"i":1e2}', ["type of i"], '{"i":100}'), ("t", '{"i":100}', [], '{"i":100}'), ("t", '{"u":"é"}', [], '{"u":"é"}'), ("t", '{"u":"\\u00e9"}', [], '{"u":"é"}'), ("t", '{"u":"q\\"\\\\"}', [], '{"u":"q\\"\\\\"}'),
+        ("t", '{"o.b":"x"}', ["unknown o.b"], '{"o.b":"x"}'), ("t", '{"o":{}}', ["missing o.b"], '{"o":{}}'), ("t", '{"o":{"b":"x","c":1,"d":2}}', ["unknown o.c", "unknown o.d"], '{"o":{"b":"x","c":1,"d":2}}'),
+        ("t", '{"free":{"x":[1.50,"1.0",{"y":-0.0}],"z":1E3}}', [], '{"free":{"x":[1.5,"1.0",{"y":0}],"z":1000}}'), ("bare", '{"k":1}', ["unknown k"], '{"k":1}'), ("bare", "{}", [], "{}"), ("bare", "Infinity", ["not an object"], None),
+    ]
+    calls = spark.createDataFrame([("c", f"i{k}", k, name, text, None) for k, (name, text, _, _) in enumerate(cases)], "conv_id string, call_id string, turn long, name string, arguments string, after array<string>")
+    none = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    got = {r.call_id: r for r in link_calls(calls, none, schema_table(spark, tools)).collect()}
+    import json
+
+    for k, (_, text, errors, written) in enumerate(cases):
+        r = got[f"i{k}"]
+        assert r.errors == errors, (text, r.errors)
+        if written is not None:
+            assert f'"arguments":{written},' in r.record, (text, r.record)
+        else:
+            assert json.loads(r.record)["arguments"] is None
