@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm._state import read
+from assay.llm._state import keep, read
 from assay.llm._text import FOLDED, SPACE, Words, parts, prefix, spans
 
 #: Word errors allowed for each word of an item; items of fewer words are not looked for. Items of 6 words or fewer are looked for as they are.
 ERROR_RATE, LEAST_WORDS = 0.15, 1
-#: Items are broadcast in blocks of about so many.
+#: Items that are looked for at once, and broadcast.
 BLOCK = 20_000
 
 _GAP = SPACE.copy()
@@ -115,35 +116,56 @@ class Items:
         return out
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_words: int = LEAST_WORDS) -> DataFrame:
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end_word", pa.int32())]))
+
+
+def _block(spark, items: DataFrame, block: int, blocks: int, rate: float, least_words: int):
+    """Broadcast of one block of items, about BLOCK of them."""
+    rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
+    rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
+    return spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], rate, least_words))
+
+
+def _searched(docs: DataFrame, held) -> DataFrame:
+    """docs with matches of one block."""
+    names = [*docs.columns, "matches"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for i, _, off, data in parts(b.column("text")):
+                for d, got in held.value.matches(off, data).items():
+                    found[i + d] = got
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, _KIND)], names)
+
+    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField("matches", MATCHES)]))
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least_words: int = LEAST_WORDS, block_items: int | None = None) -> DataFrame:
     """docs with matches, an array of (item_id, distance, end_word) of the items that a text holds.
 
     An item is held where some run of the text's words is within int(rate * words) word edits of it;
     end_word is the first best end. Items of fewer than least_words words, null ones too, match
     nothing; null and empty texts hold nothing. One row out for each row in; extra columns stay, but
-    for one named matches. Items are a stated query set: blocks of at most about BLOCK are broadcast,
-    and every block sees every document."""
+    for one named matches. Items are a stated query set, looked for in blocks of about block_items (BLOCK): of several, each
+    is a job of its own whose items leave memory when its matches are written, so a worker holds one block,
+    however many there are; only documents with matches are written and joined to the rest."""
     spark, docs = docs.sparkSession, docs.drop("matches")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-items.count() // BLOCK))
-    names = [*docs.columns, "matches"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("matches", MATCHES)])
+    blocks = max(1, -(-items.count() // (block_items or BLOCK)))
+    if blocks == 1:
+        return _searched(docs, _block(spark, items, 0, 1, rate, least_words))
+    # Equal rows hold the same items and are searched once where a task meets them.
+    known = docs.withColumns({"__u": F.xxhash64("doc_id", "text"), "__v": F.xxhash64("text", F.lit(1), "doc_id")})
+    found = []
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
-        held = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], rate, least_words))
-
-        def find(batches: Iterator[pa.RecordBatch], held=held, more=block > 0) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end_word", pa.int32())]))
-            for b in batches:
-                found = b.column("matches").to_pylist() if more else [[] for _ in range(b.num_rows)]
-                for i, _, off, data in parts(b.column("text")):
-                    for d, got in held.value.matches(off, data).items():
-                        found[i + d] = found[i + d] + got
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names) - 1], pa.array(found, kind)], names)
-
-        docs = docs.mapInArrow(find, schema)
-    return docs
+        held = _block(spark, items, block, blocks, rate, least_words)
+        some = _searched(known.select("__u", "__v", "text"), held).where(F.size("matches") > 0)
+        found.append(keep(some.select("__u", "__v", "matches").dropDuplicates(["__u", "__v"]), "benchmark-matches"))
+        held.destroy()
+    every = reduce(DataFrame.unionByName, found).groupBy("__u", "__v").agg(F.flatten(F.collect_list("matches")).alias("matches"))
+    out = known.join(every, ["__u", "__v"], "left").withColumn("matches", F.coalesce("matches", F.array().cast(MATCHES)))
+    return out.select(*docs.columns, "matches")
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:

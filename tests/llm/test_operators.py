@@ -562,6 +562,9 @@ def test_items(spark):
             if a and d != 3 and (e := edits(a, toks(text))) <= int(len(a) * 0.15):
                 want.add((d, i, e))
     assert got == want and len(want) > 10
+    blocks = find_items(table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_items=3)
+    one = lambda df: Counter((r.doc_id, r.text, r.lang, r.kept, tuple(sorted(map(tuple, r.matches)))) for r in df.collect())
+    assert one(blocks) == one(out) and blocks.columns == out.columns
     assert find_items(table(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
     assert {len(r.matches) for r in find_items(table(spark, rows), spark.createDataFrame([], "item_id long, text string")).collect()} == {0}
 
