@@ -33,6 +33,7 @@ def verdicts(scores: DataFrame, queries: DataFrame, reviews: DataFrame, tags: Da
 
     Sums are made before the shuffle; only gated answers, which are named as reasons, are listed."""
     rows = contributions(scores, queries, reviews, config)
+    # Fixed value: the format of a reason.
     reason = F.concat(F.lit("must_not_claim violation on "), F.col("query_id"), F.lit(" (risk "), F.coalesce("risk_level", F.lit("unknown")), F.lit(")"))
     totals = rows.groupBy("variant").agg(
         F.bool_or("gated").alias("disqualified"),

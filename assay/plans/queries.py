@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,12 @@ from assay.operators.batches import judge_in_batches, prompt_batches
 from assay.operators.checks import dealt, long_answers, score_answers
 from assay.operators.index import open_index, search, write_index
 from assay.operators.kept import kept, shared_folder
-from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_payload, stub_reviews, stub_winner
+from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_payload, stub_reviews, stub_winner, wide_reviews
 from assay.operators.phrases import phrase_matches
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
 from assay.operators.taxonomy import MARKERS, failure_tags, has_marker, severity
 from assay.plans.config import defaults
+from assay.plans.pipeline import report_lines
 from assay.plans.stored import read_records, stored_differences
 from assay.sources.artifacts import broken_lines, file_hashes, read_call_log
 from assay.sources.inputs import read_array, text_field, typed_records
@@ -399,6 +401,20 @@ def automated_scores(t: Tables) -> DataFrame:
     return t.scores().withColumn("risk_flags", F.array_join("risk_flags", ",")).drop("notes")
 
 
+_SAID = "CASE WHEN {r} IS NOT NULL THEN '{found} ''' || {p} || ''' (via ' || {r} || ')' WHEN {n} = 0 THEN 'n/a (no constraints)' ELSE '{none}' END"
+_LOST = "CASE WHEN len(lost) = 0 THEN 'none' ELSE '[''' || array_to_string(lost, ''', ''') || ''']' END"
+
+
+@query(
+    _SCORED[: _SCORED.rindex("SELECT query_id")]
+    + f"SELECT query_id, variant, 'must_include: ' || {_SAID.format(r='ri', p='pi', n='ni', found='matched', none='no match')} || '; must_not_claim: ' || {_SAID.format(r='rn', p='pn', n='nn', found='VIOLATED', none='clean')}"
+    + f" || '; grounding: precision=' || CAST(round(p + 1e-9::DOUBLE, 4) AS VARCHAR) || ', quote_span=' || CASE WHEN q THEN 'True' ELSE 'False' END || ', unsupported_numbers=' || {_LOST} AS notes FROM f"
+)
+def answer_notes(t: Tables) -> DataFrame:
+    """The notes of all rule checks."""
+    return t.scores().select("query_id", "variant", "notes")
+
+
 @query(f"WITH {_LIGHT}, best AS (SELECT query_id, variant AS winner FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY must_not_claim_pass DESC, must_include_pass DESC, grounding_score DESC, variant) = 1) SELECT a.query_id, winner FROM (SELECT DISTINCT query_id FROM answers) a JOIN best USING (query_id)")
 def judge_stub_winner(t: Tables) -> DataFrame:
     return stub_winner(t.answers().join(t.chats(), "query_id", "left_semi"), t.light_scores())
@@ -692,6 +708,18 @@ def judge_batches_replayed(t: Tables) -> DataFrame:
     return judge_in_batches(t.chats(), answers, t.evidence(), scores, CONFIG, log, None, 2000).reviews.select("query_id", "winner", "backend")
 
 
+@query(f"""WITH {_LIGHT}, {_REVIEWS}, {_TAGS}, b AS (SELECT query_id, string_agg('- **' || variant || '**: ' || coalesce(answer, '') || chr(10) || '  - grounding ' || CAST(grounding_score AS VARCHAR) || '; flags ' || CASE WHEN numeric THEN 'unsupported_numeric' ELSE 'none' END
+  || '; tags ' || CASE WHEN len(tags) = 0 THEN 'none' ELSE array_to_string(tags, ', ') END || chr(10) || '  - light', chr(10) ORDER BY variant) AS body FROM scores JOIN tagged USING (query_id, variant) GROUP BY query_id),
+w AS (SELECT query_id, 'Judge: ' || any_value(winner) || '. by labels' AS judge FROM reviews GROUP BY query_id)
+SELECT query_id, concat_ws(chr(10) || chr(10), '## ' || query_id || ' (' || risk_level || ')', user_question, 'Evidence: none', coalesce(body, 'No answers.'), judge) AS section FROM chats LEFT JOIN b USING (query_id) LEFT JOIN w USING (query_id)""")
+def report_sections(t: Tables) -> DataFrame:
+    """The review report's section of every question, with its answers, tags and review."""
+    reviews = wide_reviews(t.reviews()).withColumn("justification", F.lit("by labels"))
+    scores = t.light_scores().withColumn("notes", F.lit("light"))
+    run = SimpleNamespace(inputs=SimpleNamespace(queries=t.chats(), answers=t.answers()), scores=scores, tags=t.tags(), retrieval=t.evidence(), reviews=reviews)
+    return report_lines(run).select("query_id", "section")
+
+
 @query(f"WITH {_CHATS}, {_ANSWERS} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM chats) AS queries, (SELECT count(DISTINCT variant) FROM answers) AS variants")
 def run_counts(t: Tables) -> DataFrame:
     """What a manifest counts."""
