@@ -1,4 +1,4 @@
-"""Command line: python -m assay run|validate --config FILE --out FOLDER [--kb --queries --answers --llm-calls]. Exit code 0 is good, 1 names issues."""
+"""Command line: python -m assay run|validate --config FILE --out FOLDER [--kb --queries --answers --llm-calls --live --batch-tokens N]. Exit code 0 is good, 1 names issues."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from assay.operators.providers import live_call
 from assay.operators.validate import ERROR
 from assay.plans.config import ConfigError, defaults, load_config
 from assay.plans.pipeline import run_files
@@ -19,6 +20,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     ask.add_argument("step", choices=("run", "validate"))
     ask.add_argument("--config", help="YAML file; the defaults without one")
     ask.add_argument("--out", default="out", help="folder of the artifacts")
+    ask.add_argument("--live", action="store_true", help="ask the provider that the configuration names")
+    ask.add_argument("--batch-tokens", type=int, help="reviews by prompts of so many tokens")
     for name in ("kb", "queries", "answers", "llm-calls"):
         ask.add_argument(f"--{name}")
     given = ask.parse_args(arguments)
@@ -32,7 +35,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName("assay").getOrCreate()
     try:
         if given.step == "run":
-            run = run_files(spark, paths, given.out, config)
+            run = run_files(spark, paths, given.out, config, live_call() if given.live else None, given.batch_tokens)
             print(f"selected variant: {run.decision.first().selected_variant or 'none'}; artifacts in {given.out}")
             return 0
         inputs = load_inputs(spark, paths["kb"], paths["queries"], paths["answers"])

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.operators.aggregate import recommendation, tradeoffs, verdicts
+from assay.operators.batches import judge_in_batches
 from assay.operators.checks import score_answers
 from assay.operators.judge import long_reviews, run_judge
 from assay.operators.kept import kept
@@ -41,10 +42,12 @@ class Evaluation:
     backend: str
     calls: list[dict] = field(default_factory=list)
     seconds: dict[str, float] = field(default_factory=dict)
+    batch_calls: DataFrame | None = None
 
 
-def evaluate(inputs: Inputs, config: dict, log: DataFrame | None = None, live: Callable[[str, str, dict], str] | None = None) -> Evaluation:
-    """All stages over loaded inputs. The judge call is the one place that waits on the driver."""
+def evaluate(inputs: Inputs, config: dict, log: DataFrame | None = None, live: Callable[[str, str, dict], str] | None = None, batch_tokens: int | None = None) -> Evaluation:
+    """All stages over loaded inputs. Reviews come by one call, made on the driver, or with batch_tokens by prompts of so many tokens, asked for in tasks;
+    then the calls are the table batch_calls, and the backend names all that gave reviews."""
     queries, answers, seconds = inputs.queries, inputs.answers, {}
 
     def timed(name: str, table: DataFrame) -> DataFrame:
@@ -56,14 +59,20 @@ def evaluate(inputs: Inputs, config: dict, log: DataFrame | None = None, live: C
     retrieval = timed("retrieval", passages(bm25_topk(inputs.kb, queries, config["retrieval"]), inputs.kb, queries))
     scores = timed("automated_scores", score_answers(queries, answers, retrieval, config))
     began = time.monotonic()
-    reviews, backend, calls = run_judge(queries, answers, retrieval, scores, config, log, live)
+    batch_calls = None
+    if batch_tokens:
+        judged = judge_in_batches(queries, answers, retrieval, scores, config, log, live, batch_tokens)
+        backend = ", ".join(sorted(r.backend for r in judged.reviews.select("backend").distinct().collect()))  # three at most
+        reviews, calls, batch_calls = judged.reviews.drop("batch", "backend"), [], judged.calls
+    else:
+        reviews, backend, calls = run_judge(queries, answers, retrieval, scores, config, log, live)
     reviews = kept(reviews, "reviews")
     seconds["llm_review"] = round(time.monotonic() - began, 4)
     long = long_reviews(reviews)
     tags = timed("failure_taxonomy", failure_tags(scores, queries, answers, long, config))
     verdict = timed("recommendation", verdicts(scores, queries, long, tags, config))
     decided = kept(recommendation(verdict, config), "decision")
-    return Evaluation(inputs, retrieval, scores, reviews, tags, verdict, decided, tradeoffs(verdict, decided), backend, calls, seconds)
+    return Evaluation(inputs, retrieval, scores, reviews, tags, verdict, decided, tradeoffs(verdict, decided), backend, calls, seconds, batch_calls)
 
 
 def recommendation_markdown(run: Evaluation) -> str:
@@ -118,13 +127,13 @@ def manifest(spark: SparkSession, run: Evaluation, config: dict, paths: dict[str
     }
 
 
-def run_files(spark: SparkSession, paths: dict[str, str], out: str, config: dict, live: Callable[[str, str, dict], str] | None = None) -> Evaluation:
+def run_files(spark: SparkSession, paths: dict[str, str], out: str, config: dict, live: Callable[[str, str, dict], str] | None = None, batch_tokens: int | None = None) -> Evaluation:
     """Load, evaluate and write every artifact into the folder out. paths: kb, queries, answers, and llm_calls for the call log."""
     import json
 
     inputs = load_inputs(spark, paths["kb"], paths["queries"], paths["answers"])
     log = read_call_log(spark, paths["llm_calls"]) if "llm_calls" in paths else None
-    run = evaluate(inputs, config, log, live)
+    run = evaluate(inputs, config, log, live, batch_tokens)
     if "llm_calls" in paths:
         append_call_log(paths["llm_calls"], run.calls)
     q = inputs.queries.select("query_id", "q_ord")
@@ -133,6 +142,8 @@ def run_files(spark: SparkSession, paths: dict[str, str], out: str, config: dict
     write_array(run.retrieval.join(q, "query_id"), f"{out}/retrieval.json", ["q_ord"])
     for name, table in (("automated_scores", run.scores), ("failure_taxonomy", run.tags)):
         write_array(table.join(q, "query_id").join(order, "variant").select(*table.columns, "q_ord", "v_ord"), f"{out}/{name}.json", ["q_ord", "v_ord"])
+    if run.batch_calls is not None:
+        write_pieces(run.batch_calls, f"{out}/batch_calls.jsonl", ["batch", "backend"], F.to_json(F.struct(*run.batch_calls.columns)), "", "\n", "\n")
     write_array(run.reviews.join(q, "query_id"), f"{out}/llm_review.json", ["q_ord"])
     Path(f"{out}/recommendation.md").write_text(recommendation_markdown(run), encoding="utf-8")
     write_pieces(report_lines(run), f"{out}/review_report.md", ["q_ord"], F.concat(F.lit("\n"), "section"), "# Review report\n", "\n", "\n")

@@ -111,3 +111,18 @@ def test_providers(monkeypatch):
     assert json.loads(live_call()("s", "p", judge | {"provider": "local"})) == {"reviews": ["p", ["reviews"]]}
     with pytest.raises(ValueError):
         live_call(lambda r: Reply([]))("s", "p", judge)
+
+
+def test_evaluation_in_batches(spark, tables):
+    """The whole evaluation by batches decides as by one call, as both end with the stub."""
+    from assay.plans.pipeline import evaluate
+    from assay.sources.inputs import Inputs
+
+    queries = tables[0].withColumns({c: F.array().cast("array<string>") for c in ("expected_doc_ids", "must_include_any", "must_not_claim")})
+    answers = tables[1].withColumns({"a_ord": F.substring("query_id", 2, 9).cast("long"), "v_pos": F.lit(0)})
+    kb = spark.createDataFrame([("d1", "t", "answer a 3 what of 3"), ("d2", "t", "else")], "doc_id string, title string, text string")
+    inputs = Inputs(kb, queries, answers, None)
+    one, many = evaluate(inputs, defaults()), evaluate(inputs, defaults(), batch_tokens=300)
+    assert one.decision.first() == many.decision.first() and many.backend == "stub"
+    assert many.batch_calls.count() > 1 and one.batch_calls is None
+    assert sorted(map(str, one.reviews.collect())) == sorted(map(str, many.reviews.select(*one.reviews.columns).collect()))
