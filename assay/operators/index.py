@@ -23,6 +23,15 @@ BUCKETS, BLOCK = 64, 128
 SEEDS = 4
 
 
+#: Tables of an index and their columns; an index of no terms has no files to tell them.
+SCHEMAS = {
+    "terms": "term string, df long, most double, bucket int",
+    "blocks": "term string, df long, most double, postings array<struct<doc_id:string,weight:double>>, bucket int",
+    "documents": "doc_id string, length long",
+    "stats": "n_docs long, avg_length double",
+}
+
+
 @dataclass
 class Index:
     """terms: bucket, term, df, most. blocks: bucket, term, df, most, postings (doc_id, weight). documents: doc_id, length.
@@ -46,9 +55,9 @@ def write_index(kb: DataFrame, path: str, config: dict) -> Index:
     k1, b = config["bm25_k1"], config["bm25_b"]
     words = kept(document_terms(kb), "index-words")
     words.select("doc_id", "length").write.parquet(f"{path}/documents")
-    documents = kb.sparkSession.read.parquet(f"{path}/documents")
+    documents = kb.sparkSession.read.schema(SCHEMAS["documents"]).parquet(f"{path}/documents")
     documents.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avg_length")).write.parquet(f"{path}/stats")
-    stats = kb.sparkSession.read.parquet(f"{path}/stats")
+    stats = kb.sparkSession.read.schema(SCHEMAS["stats"]).parquet(f"{path}/stats")
     rows = words.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", stem(F.col("word")).alias("term"))
     posted = kept(rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "index-postings")
     dropped(words)
@@ -63,14 +72,13 @@ def write_index(kb: DataFrame, path: str, config: dict) -> Index:
     blocks = blocks.select(_bucket("term").alias("bucket"), "term", "df", "most", "postings")
     blocks.repartitionByRange("bucket", "term", "most").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/blocks")
     dropped(posted)
-    own = kb.sparkSession.read.parquet(f"{path}/blocks")
-    terms = own.groupBy("bucket", "term").agg(F.first("df").alias("df"), F.max("most").alias("most"))
+    terms = kb.sparkSession.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.first("df").alias("df"), F.max("most").alias("most"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     return open_index(kb.sparkSession, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("terms", "blocks", "documents", "stats")))
+    return Index(*(spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()))
 
 
 def search(index: Index, queries: DataFrame, config: dict, shift: float = 0.0) -> DataFrame:

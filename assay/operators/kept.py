@@ -17,7 +17,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="assay-"))
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="assay-")
+    return _own[app]
 
 
 def kept(table: DataFrame, name: str) -> DataFrame:
