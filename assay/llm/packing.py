@@ -143,10 +143,12 @@ class Encoder:
         ids = self.flat[np.repeat(first[of] - last + n, n) + np.arange(int(last[-1]))]
         if len(new):
             add = new[(end - start)[one[new]] <= HASHED]
-            add = add[~np.isin(every[add], self.key)]
-            order = np.argsort(np.concatenate((self.key, every[add])), kind="stable")
-            self.key, self.check = np.concatenate((self.key, every[add]))[order], np.concatenate((self.check, check[one[add]]))[order]
-            self.first, self.count = np.concatenate((self.first, first[add]))[order], np.concatenate((self.count, count[add]))[order]
+            if len(self.key):
+                add = add[self.key[at[add]] != every[add]]
+            # Both are sorted, so new keys are put between the known ones.
+            place = np.searchsorted(self.key, every[add])
+            self.key, self.check = np.insert(self.key, place, every[add]), np.insert(self.check, place, check[one[add]])
+            self.first, self.count = np.insert(self.first, place, first[add]), np.insert(self.count, place, count[add])
             if len(self.key) > REMEMBERED:
                 self.forget()
         stop = _STOP[data[end - 1]]
