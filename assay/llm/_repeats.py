@@ -7,8 +7,10 @@ its tokens are cut out of its document, and a task orders the suffixes that star
 by the method of the operator that calls (radix passes, a suffix tree), through a window's tokens. Which of
 them repeat is then told to all equal runs by a join.
 
-A context with too many different runs for one task is ordered by Spark itself, in two passes over hashes of
-a window's leading and last tokens, which combine before they shuffle."""
+Where a context has too many different runs for one task, it gets longer until what shares it fits: the
+windows of its runs are parted by their distance from the minimiser, and the nearer these distances are, the
+more tokens all windows of a part share. Parts are dealt out, leave, combine and learn of repeats as runs do,
+so only hashes of large contexts move, and all that is ordered is ordered by its own tokens."""
 
 from __future__ import annotations
 
@@ -18,14 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm._state import drop, keep
-from assay.llm._text import BYTE, Words, parts, prefix, quick_prefix, quick_spans, runs, sliding_argmin, spans
+from assay.llm._text import BYTE, Words, mixed, parts, prefix, quick_prefix, quick_spans, runs, sliding_argmin, spans
 
-#: Bytes of tokens that a task orders at once, and different runs of one context beyond which Spark orders them.
+#: Bytes of tokens that a task orders at once, and different runs of one context beyond which it gets longer.
 AT_ONCE, MOST_RUNS = 4 << 20, 20_000
+#: Into how many parts a run's possible distances from the minimiser are cut each time.
+FAN = 8
 
 #: Whether the suffixes of runs repeat: of tokens, first token, number of windows, context and weight of each run, one flag for each window.
 Order = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -99,11 +103,11 @@ def runs_of(docs: DataFrame, units: Units) -> DataFrame:
     return docs.select(F.col("__u").alias("u"), F.col("__v").alias("v"), "text").mapInArrow(find, RUNS)
 
 
-def _wanted(docs: DataFrame, runs_: DataFrame) -> DataFrame:
-    """text and runs (context, span, weight, at, size) of the documents that runs are to be cut from, of equal rows once."""
-    by = runs_.groupBy(F.col("one.u").alias("__u"), F.col("one.v").alias("__v")).agg(F.collect_list(F.struct("context", "span", "weight", "one.at", "size")).alias("runs"))
+def _wanted(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """__u, __v, text and runs (the other columns of kinds) of the documents that kinds are to be cut from, of equal rows once; kinds: u, v and more."""
+    by = kinds.groupBy(F.col("u").alias("__u"), F.col("v").alias("__v")).agg(F.collect_list(F.struct(*(c for c in kinds.columns if c not in ("u", "v")))).alias("runs"))
     both = docs.select("__u", "__v", "text").join(by, ["__u", "__v"])
-    return both.groupBy("__u", "__v").agg(F.first("text").alias("text"), F.first("runs").alias("runs")).select("text", "runs")
+    return both.groupBy("__u", "__v").agg(F.first("text").alias("text"), F.first("runs").alias("runs"))
 
 
 def _cut(b: pa.RecordBatch, units: Units) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -187,27 +191,59 @@ def _blobs(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return off - off[0], data.copy()
 
 
-def _passes(wanted: DataFrame, units: Units) -> DataFrame:
-    """FOUND of contexts that are too large for a task: Spark orders their windows by two digits, their leading tokens and the rest."""
+PARTS = "context long, span long, up_context long, up_span long, shift int, weight int, u long, v long, at int, off int, size int"
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parts_of(wanted: DataFrame, units: Units, step: int) -> DataFrame:
+    """PARTS of the runs of _wanted(), whose windows are parted by step distances from the minimiser.
+
+    context: hash of the tokens that all windows at a part's distances share; off: distance of the part's
+    first window; shift: that window within the run (up_context, up_span), which wanted has by its own off."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at = 0
             for flat, tokens, start, size in _cut(b, units):
-                sums, half = prefix(tokens if units.words else BYTE[tokens]), units.window // 2
-                run = np.repeat(np.arange(len(size)), size)
-                k = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
-                p = start[run] + k
-                one, two = spans(sums, p, p + half), spans(sums, p + half, p + units.window)
-                for s in range(0, len(run), 1 << 16):
-                    of = pa.array(run[s : s + (1 << 16)])
-                    digits = [pa.array(x[s : s + (1 << 16)].view(np.int64)) for x in (one, two)]
-                    yield pa.RecordBatch.from_arrays([*(flat.column(c).take(of) for c in ("context", "span", "weight")), pa.array(k[s : s + (1 << 16)].astype(np.int32)), *digits], ["context", "span", "weight", "k", "one", "two"])
-
-    every = keep(wanted.mapInArrow(windows, "context long, span long, weight int, k int, one long, two long"), "repeat-windows")
-    first = every.join(every.groupBy("one").agg(F.sum("weight").alias("n")).where("n > 1").select("one"), "one", "left_semi")
-    both = first.join(first.groupBy("one", "two").agg(F.sum("weight").alias("n")).where("n > 1").select("one", "two"), ["one", "two"], "left_semi")
-    k = F.array_sort(F.collect_set("k"))
-    return both.groupBy("context", "span").agg(F.flatten(F.transform(k, lambda x: F.array(x, x))).alias("hits"))
+                rows = pc.list_parent_indices(b.column("runs")).slice(at, len(flat))
+                at += len(flat)
+                values = tokens if units.words else BYTE[tokens]
+                off = flat.column("off").to_numpy().astype(np.int64)
+                if len(off) and off[0] < 0:
+                    off = _minimisers(values, units, start, flat.column("context").to_numpy().view(np.uint64))
+                run, part = _numbered((off - size + 1) // step, off // step)
+                d, last = np.minimum(off[run], part * step + step - 1), np.maximum(off[run] - size[run] + 1, part * step)
+                least, minimum = start[run] + off[run] - d, start[run] + off[run]
+                sums = prefix(values)
+                far = np.minimum(part * step + step - 1, units.window - units.context)
+                context = spans(sums, minimum - part * step, minimum - far + units.window) ^ mixed((part * FAN + step).astype(np.uint64))
+                span = spans(sums, least, least + d - last + units.window)
+                of, shift = pa.array(run), off[run] - d
+                own = {c: flat.column(c).take(of) for c in ("context", "span", "weight")}
+                home = {c: b.column(f"__{c}").take(rows.take(of)) for c in ("u", "v")}
+                places = [shift, flat.column("at").to_numpy()[run] + shift, d, d - last + 1]
+                shift, at_, d, n = (pa.array(x.astype(np.int32)) for x in places)
+                hashes = [pa.array(x.view(np.int64)) for x in (context, span)]
+                yield pa.RecordBatch.from_arrays([*hashes, own["context"], own["span"], shift, own["weight"], home["u"], home["v"], at_, d, n], [c.split()[0] for c in PARTS.split(", ")])
+
+    return wanted.mapInArrow(find, PARTS)
+
+
+def _minimisers(values: np.ndarray, units: Units, start: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """How far the minimiser of each run is from its first token: it is the first place with the context's hash."""
+    at = np.arange(len(values) - units.context + 1)
+    h = quick_spans(quick_prefix(values), at, at + units.context)
+    out = np.zeros(len(start), np.int64)
+    for s in range(0, len(start), 1 << 12):
+        some = start[s : s + (1 << 12), None] + np.arange(units.window - units.context + 1)
+        out[s : s + (1 << 12)] = np.argmax(h[some] == context[s : s + (1 << 12), None], axis=1)
+    return out
+
+
+def _numbered(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index and number of all numbers from low to high of each pair."""
+    count = high - low + 1
+    of = np.repeat(np.arange(len(low)), count)
+    return of, low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
 
 
 #: Keys of more rows than this, and than this part of all rows, are joined by broadcast: there are HOT_PART of them at most.
@@ -223,25 +259,51 @@ def _hot_apart(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(hot, on).unionByName(rest)
 
 
-def repeated_windows(docs: DataFrame, units: Units, order: Order, at_once: int = AT_ONCE, most_runs: int = MOST_RUNS) -> DataFrame:
-    """__u, __v, __hits of the documents (of with_uid()) with repeated windows: first and last window of series of them, in turn."""
-    every = keep(runs_of(docs, units), "repeat-runs")
-    twice = keep(every.groupBy("context").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-contexts")
-    shared = keep(_hot_apart(every, twice, ["context"]), "repeat-shared")
+def _shared(every: DataFrame, weight: Column) -> DataFrame:
+    """The rows of every whose context more than one run has, by weight."""
+    twice = keep(every.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("__w")).where("__w > 1").select("context", "n"), "repeat-contexts")
+    out = keep(_hot_apart(every, twice, ["context"]), "repeat-shared")
     drop(every)
     drop(twice)
-    one = keep(shared.groupBy("context", "span", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u", "v", "at")).alias("one")), "repeat-kinds")
-    kinds = one.withColumn("weight", F.least("n", F.lit(2)).cast("int"))
-    large = one.groupBy("context").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > most_runs).select("context")
-    large = keep(large, "repeat-large")
-    found = _ordered(_cut_runs(_wanted(docs, kinds.join(large, "context", "left_anti")), units), units, order, at_once)
-    if large.limit(1).count():
-        found = found.unionByName(_passes(_wanted(docs, kinds.join(large, "context", "left_semi")), units))
-    found = keep(found.join(one.select("context", "span", "n"), ["context", "span"]), "repeat-found")
-    absolute = _hot_apart(shared, found, ["context", "span"]).select("u", "v", F.transform("hits", lambda x: x + F.col("at")).alias("hits"))
+    return out
+
+
+def repeated_windows(docs: DataFrame, units: Units, order: Order, at_once: int = AT_ONCE, most_runs: int = MOST_RUNS) -> DataFrame:
+    """__u, __v, __hits of the documents (of with_uid()) with repeated windows: first and last window of series of them, in turn."""
+    every, weight, off, step = keep(runs_of(docs, units), "repeat-runs"), F.lit(1), F.lit(-1), units.window - units.context + 1
+    levels, ready = [], None
+    while True:
+        shared = _shared(every, weight)
+        one = F.min(F.struct("u", "v", "at", off.alias("off"))).alias("one")
+        alike = shared.groupBy("context", "span", "size").agg(F.count(F.lit(1)).alias("n"), F.least(F.sum(weight), F.lit(2)).cast("int").alias("weight"), one)
+        alike = keep(alike.select("context", "span", "size", "n", "weight", "one.*"), "repeat-kinds")
+        levels.append((shared, alike))
+        kinds = alike.drop("n")
+        # A part of one window shares all of its tokens with its context, so there it is the only kind.
+        large = keep(kinds.groupBy("context").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > most_runs).select("context"), "repeat-large")
+        last = step == 1 or not large.limit(1).count()
+        fits = kinds if last else kinds.join(large, "context", "left_anti")
+        ready = fits if ready is None else ready.unionByName(fits)
+        if last:
+            break
+        step = max(FAN**k for k in range(10) if FAN**k < step)
+        every = keep(_parts_of(_wanted(docs, kinds.join(large, "context", "left_semi")), units, step), "repeat-parts")
+        weight, off = F.col("weight"), F.col("off")
+    found = _ordered(_cut_runs(_wanted(docs, ready.drop("off")), units), units, order, at_once)
+    if len(levels) > 1:
+        found = keep(found, "repeat-ordered")
+    known = found
+    # From the smallest parts up: what repeats in a part is told to all runs that have it.
+    for shared, alike in reversed(levels[1:]):
+        here = keep(known.join(alike.select("context", "span", "n"), ["context", "span"]), "repeat-found")
+        above = _hot_apart(shared, here, ["context", "span"]).select(F.col("up_context").alias("context"), F.col("up_span").alias("span"), F.transform("hits", lambda x: x + F.col("shift")).alias("hits"))
+        known = found.unionByName(keep(above.groupBy("context", "span").agg(F.flatten(F.collect_list("hits")).alias("hits")), "repeat-above"))
+    shared, alike = levels[0]
+    here = keep(known.join(alike.select("context", "span", "n"), ["context", "span"]), "repeat-found")
+    absolute = _hot_apart(shared, here, ["context", "span"]).select("u", "v", F.transform("hits", lambda x: x + F.col("at")).alias("hits"))
     by = absolute.groupBy(F.col("u").alias("__u"), F.col("v").alias("__v")).agg(F.flatten(F.collect_list("hits")).alias("__hits"))
     hits = keep(by, "repeat-hits")
-    for table in (shared, one, large, found):
+    for table in (here, *(t for level in levels for t in level)):
         drop(table)
     return hits
 
@@ -290,12 +352,13 @@ class Groups:
         self.new[at] |= split
         return True
 
-    def leave(self) -> None:
-        """Suffixes that are alone and stand for one go."""
-        if len(self.order):
-            first = np.flatnonzero(self.new)
-            stay = np.repeat(np.add.reduceat(self.weight[self.order], first) > 1, np.diff(np.append(first, len(self.order))))
-            self.order, self.new = self.order[stay], self.new[stay]
+    def leave(self) -> np.ndarray:
+        """Suffixes that are alone and stand for one go. Which ones stay."""
+        first = np.flatnonzero(self.new)
+        count = np.diff(np.append(first, len(self.order)))
+        stay = np.repeat(np.add.reduceat(self.weight[self.order], first) > 1, count) if len(first) else np.zeros(0, bool)
+        self.order, self.new = self.order[stay], self.new[stay]
+        return stay
 
 
 def suffixes(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

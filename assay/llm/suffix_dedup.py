@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +19,75 @@ from assay.llm._text import Words, parts
 WINDOW, PREFIX = 35, 14
 
 
-def subtrees(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, prefix: np.ndarray, weight: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix trees, one for each prefix, of the suffixes that start in the windows of runs, built from the roots down to a depth in words.
+@dataclass(frozen=True)
+class Trees:
+    """Suffix trees as tables of their internal nodes: depth in words, parent (-1: a root), weight (suffixes below).
+
+    leaves: suffixes (runs' windows, numbered in turn) under nodes of full depth, and of: the node of each.
+    many: whether different words come before a node's suffixes, as far as their runs show; a node whose
+    suffixes all have one word before them is no maximal repeat, as the node of one word more to the left has
+    as many."""
+
+    depth: np.ndarray
+    parent: np.ndarray
+    weight: np.ndarray
+    leaves: np.ndarray
+    of: np.ndarray
+    many: np.ndarray
+
+
+def subtrees(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, prefix: np.ndarray, weight: np.ndarray, depth: int) -> Trees:
+    """The suffix trees, one for each prefix, of the suffixes that start in the windows of runs, built from the roots down to a depth in words.
 
     A node's leaves are neighbours. Where all of them agree on the next word the node's edge goes on; where
-    they don't, it branches, and its children part by that word. Children with one leaf that stands for one
-    suffix are cut. Returns the leaves under the nodes at that depth, node by node, and which of them is a
-    node's first: each node is a repeat of depth words, as often as its leaves weigh."""
+    they don't, it branches: it is a node, and its children part by that word. Children with one leaf that
+    stands for one suffix are cut. What gets to full depth ends there in a node."""
     run, start = suffixes(first, size)
-    nodes = Groups(prefix[run], weight[run])
-    for at in range(depth):
-        if nodes.sort(tokens[start[nodes.order] + at]):
-            nodes.leave()
-    return nodes.order, nodes.new
+    groups = Groups(prefix[run], weight[run])
+    # The node above each suffix that is left, and the nodes' columns.
+    above, nodes, count = np.full(len(groups.order), -1), [], 0
+    for at in range(depth + 1):
+        begin, ends = groups.new.copy(), at == depth
+        if not ends and not groups.sort(tokens[start[groups.order] + at]):
+            continue
+        group = np.cumsum(begin) - 1
+        some = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
+        some[group[groups.new & (ends | ~begin)]] = True
+        head = np.flatnonzero(begin)[some]
+        below = np.bincount(group, groups.weight[groups.order], len(some)).astype(np.int64)[some]
+        nodes.append((np.full(len(head), at), above[head], below))
+        number = count - 1 + np.cumsum(some)
+        inside = some[group]
+        above[inside] = number[group[inside]]
+        count += len(head)
+        if not ends:
+            above = above[groups.leave()]
+    depths, parents, weights = (np.concatenate(x).astype(np.int64) for x in zip(*nodes, strict=True))
+    return Trees(depths, parents, weights, groups.order, above, _many(tokens, first, run, start, groups, above, count))
+
+
+def _many(tokens: np.ndarray, first: np.ndarray, run: np.ndarray, start: np.ndarray, groups: Groups, of: np.ndarray, count: int) -> np.ndarray:
+    """Of each node of full depth, whether its suffixes have different words before them. What comes before a run isn't known, and counts as different."""
+    out = np.zeros(count, bool)
+    at, leaves = start[groups.order], groups.order
+    unknown = at == first[run[leaves]]
+    left = tokens[np.maximum(at - 1, 0)]
+    same = np.zeros(len(leaves), bool)
+    same[1:] = of[1:] == of[:-1]
+    out[of[unknown]] = True
+    out[of[1:][same[1:] & (left[1:] != left[:-1])]] = True
+    return out
 
 
 def tree_order(window: int):
-    """The Order by suffix trees: the windows that are leaves under a node as deep as a window repeat."""
+    """The Order by suffix trees: the windows that are leaves under a node as deep as a window repeat.
+
+    Neighbouring ones make a series, whose first window has a node with different words before it: a series
+    with its words is a maximal repeat, or several that overlap."""
 
     def order(tokens: np.ndarray, first: np.ndarray, size: np.ndarray, context: np.ndarray, weight: np.ndarray) -> np.ndarray:
         repeats = np.zeros(int(size.sum()), bool)
-        repeats[subtrees(tokens, first, size, context, weight, window)[0]] = True
+        repeats[subtrees(tokens, first, size, context, weight, window).leaves] = True
         return repeats
 
     return order
@@ -52,8 +101,8 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, prefix: int = P
     no words and kept is empty; texts of fewer words stay; equal rows are copies of each other.
 
     Suffixes are dealt out by a prefix of `prefix` words: that of the suffix at a window's minimiser, which
-    the windows around it share. A prefix of more than most_runs different surroundings gets longer, to half
-    a window and then to all of it, in passes of Spark."""
+    the windows around it share. A prefix of more than most_runs different surroundings gets longer, to both
+    sides, until fewer share it; a task then builds the trees of the suffixes of each prefix."""
     units = Units(True, window, min(prefix, window))
     docs = docs.drop("n_words", "n_removed", "kept")
     known, names = with_uid(docs), [*docs.columns, "n_words", "n_removed", "kept"]

@@ -12,6 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.llm._components import components
+from assay.llm._repeats import Units, _parts_of, _wanted, runs_of, with_uid
+from assay.llm._state import keep
 from assay.llm._text import BYTE, Lines, Words, prefix, spans, utf8
 from assay.llm.decontaminate import find_items
 from assay.llm.line_crf import COUNTS, content_lines, fit, joined_chains, line_quality, train, viterbi
@@ -21,7 +23,7 @@ from assay.llm.quality_knn import fit as fit_terms
 from assay.llm.quality_knn import quality_scores, term_matrix
 from assay.llm.radix_dedup import remove_repeats
 from assay.llm.sketch_join import jaccard_stage, offered, pieces, similar_components
-from assay.llm.suffix_dedup import remove_repeated_words
+from assay.llm.suffix_dedup import remove_repeated_words, subtrees
 from assay.llm.tool_calls import link_calls, orphan_results, schema_table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -406,7 +408,7 @@ def test_runs_compact(spark):
 
 # ---- repeated windows
 
-@pytest.mark.parametrize(("window", "context", "most"), [(40, 24, 1000), (40, 40, 1000), (90, 30, 1000), (40, 12, 2), (6, 3, 1000)])
+@pytest.mark.parametrize(("window", "context", "most"), [(40, 24, 1000), (40, 40, 1000), (90, 30, 1000), (40, 12, 2), (300, 20, 3), (6, 3, 1000)])
 def test_bytes(spark, window, context, most):
     rows = corpus()
     rows.append((12, rows[-1][1][:-30] + "x" + rows[-1][1][20_000:]))
@@ -458,6 +460,88 @@ def test_one_huge_prefix(spark):
         assert out == {i: (40, " ".join(x[:30] + x[70:])) for i, x in enumerate(texts)}
 
 
+def brute_nodes(texts, depth):
+    """Of all suffixes of depth words or more: depth and weight of each branching prefix, and of those of full depth whether different words come before."""
+    found, left = defaultdict(list), defaultdict(set)
+    for r, t in enumerate(texts):
+        for i in range(len(t) - depth + 1):
+            for k in range(depth + 1):
+                found[tuple(t[i : i + k])].append(t[i + k] if i + k < len(t) else None)
+            left[tuple(t[i : i + depth])].add(t[i - 1] if i else ("start", r))
+    return sorted((len(p), len(nexts), len(p) == depth and (len(left[p]) > 1 or any(isinstance(x, tuple) for x in left[p]))) for p, nexts in found.items() if len(nexts) > 1 and (len(p) == depth or len(set(nexts)) > 1))
+
+
+def test_nodes_of_suffix_trees():
+    rng = random.Random(3)
+    for depth in (1, 3, 6):
+        texts = [[rng.randint(1, 3) for _ in range(rng.randint(depth, 40))] for _ in range(12)]
+        first = np.cumsum([0, *(len(t) for t in texts)])[:-1]
+        size = np.array([len(t) - depth + 1 for t in texts])
+        tokens = np.array([x for t in texts for x in t], np.uint64)
+        zero, one = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
+        got = subtrees(tokens, first, size, zero, one, depth)
+        assert sorted(zip(got.depth.tolist(), got.weight.tolist(), got.many.tolist(), strict=True)) == brute_nodes(texts, depth)
+        # A parent is above its node, weighs more, and roots only have none.
+        inner = got.parent >= 0
+        assert (got.depth[got.parent[inner]] < got.depth[inner]).all() and (got.weight[got.parent[inner]] > got.weight[inner]).all()
+        assert (got.depth[got.of] == depth).all() and (np.bincount(got.of, minlength=len(got.depth))[got.depth == depth] == got.weight[got.depth == depth]).all()
+        # Leaves under one node are the same words.
+        run = np.repeat(np.arange(len(size)), size)
+        start = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size)
+        words_of = [tuple(tokens[s : s + depth].tolist()) for s in start[got.leaves].tolist()]
+        assert len(set(zip(got.of.tolist(), words_of, strict=True))) == len(set(got.of.tolist())) == len(set(words_of))
+        # Series of repeated windows begin at a node with different words before it.
+        deep = dict(zip(got.leaves.tolist(), got.of.tolist(), strict=True))
+        for leaf, node in deep.items():
+            if leaf - 1 not in deep or run[leaf - 1] != run[leaf]:
+                assert got.many[node]
+
+
+def test_nodes_of_nothing():
+    none = np.zeros(0, np.int64)
+    got = subtrees(np.zeros(0, np.uint64), none, none, none, none, 3)
+    assert not len(got.depth) and not len(got.leaves)
+
+
+def brute_parts(at, size, off, step):
+    """Windows of a run, parted by their distance from the minimiser."""
+    parts_ = defaultdict(list)
+    for k in range(size):
+        parts_[(off - k) // step].append(at + k)
+    return sorted((min(p), len(p)) for p in parts_.values())
+
+
+def test_contexts_get_longer(spark):
+    """All windows of a part share the tokens of its context, and parts of one window have all of them."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(40, 200))) for _ in range(30)]
+    units = Units(False, 40, 12)
+    docs = with_uid(table(spark, list(enumerate(texts))))
+    text_of = {(r["__u"], r["__v"]): r.text for r in docs.collect()}
+    kinds = runs_of(docs, units).withColumns({"weight": F.lit(1), "off": F.lit(-1)})
+    want = 0
+    for step in (8, 1):
+        before = {(r.u, r.v, r.at): r for r in kinds.collect()}
+        kinds = keep(_parts_of(_wanted(docs, kinds), units, step), "parts")
+        rows = kinds.collect()
+        by = defaultdict(list)
+        for r in rows:
+            by[r.u, r.v, r.at - r.shift].append(r)
+        assert set(by) == set(before)
+        for key, some in by.items():
+            assert sorted((r.at, r.size) for r in some) == brute_parts(key[2], before[key].size, some[0].off + some[0].shift, step)
+        shared = defaultdict(set)
+        for r in rows:
+            assert r.off // step == (r.off - r.size + 1) // step
+            text, m = text_of[r.u, r.v], r.at + r.off
+            q = r.off // step * step
+            shared[r.context].add((q, text[m - q : m - min(q + step - 1, 28) + 40]))
+        assert all(len(x) == 1 for x in shared.values())
+        want += len(shared)
+        kinds = kinds.select("context", "span", "u", "v", "at", "size", "weight", "off")
+    assert want and all(r.size == 1 for r in rows)
+
+
 def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
