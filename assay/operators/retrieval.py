@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
 from assay.functions.text import content_terms, stem, tokens, without_stopwords
+from assay.operators.blocks import best_in_blocks
 from assay.operators.kept import kept
+from assay.operators.ordered import with_running
 
 #: A side of a join is broadcast only if it has at most so many rows.
 BROADCAST_ROWS = 200_000
@@ -62,10 +64,15 @@ def bm25_weight(tf: Column, length: Column, avg_length: Column, k1: float, b: fl
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
 
 
-#: Terms of a query, those that may add most, whose scores give the first bound for its top documents.
-SEEDS = 4
-#: Postings that the queries meet, counted before, from which on documents are pruned: below, pruning costs more than it saves.
-PRUNE_FROM = 50_000_000
+#: Postings that the queries meet, counted before, from which on documents are pruned in blocks: below, joins cost less.
+PRUNE_FROM = 5_000_000
+#: Terms that are broadcast at most.
+BROADCAST_TERMS = 500_000
+
+
+def numbered(counts: DataFrame, name: str) -> DataFrame:
+    """term, df, tid: the terms with numbers, to be broadcast if they are few."""
+    return if_small(with_running(counts.select("term", "df"), ["term"], "df", name).select("term", "df", F.col("pos").cast("int").alias("tid")), BROADCAST_TERMS)
 
 
 def _scores(weighed: DataFrame, some: DataFrame) -> DataFrame:
@@ -73,44 +80,19 @@ def _scores(weighed: DataFrame, some: DataFrame) -> DataFrame:
     return weighed.join(some, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
-def _able(weighed: DataFrame, asked: DataFrame, k: int, digits: int, send) -> DataFrame:
-    """query_id, doc_id, score of the documents that can be among the k best of their queries, in parts that add up.
-
-    The terms that may add most give a bound that k documents reach; terms that together can't add as much
-    (the common ones) don't make a document a candidate, and candidates that can't reach the bound with them
-    go. The bound is two units of the last digit below the k-th score, so that rounding loses nothing."""
-    most = weighed.groupBy("term").agg(F.max("weight").alias("most"))
-    parts = asked.join(send(most), "term").select("query_id", "term", "times", (F.col("most") * F.col("times")).alias("most"))
-    parts = kept(parts.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "term"))), "bm25-parts")
-    of = lambda some: send(some.select("query_id", "term", "times"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    kth = lambda scores, name: scores.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", (F.col("score") - 2 * 10.0**-digits).alias(name))
-    upto = Window.partitionBy("query_id").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = parts.join(send(kth(_scores(weighed, of(parts.where(F.col("n") <= SEEDS))), "bound")), "query_id", "left")
-    marked = kept(marked.withColumn("common", F.coalesce(F.sum("most").over(upto) < F.col("bound"), F.lit(False))), "bm25-marked")
-    partial = kept(_scores(weighed, of(marked.where("NOT common"))), "bm25-partial")
-    rest = marked.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(0.0)).alias("rest"))
-    # What the other terms give is a better bound than the seeds'.
-    least = rest.join(send(kth(partial, "better")), "query_id", "left").select("query_id", (F.coalesce("better", F.lit(-1.0)) - F.col("rest")).alias("least"))
-    able = kept(partial.join(send(least), "query_id").where("score >= least").select("query_id", "doc_id", "score"), "bm25-able")
-    # The common terms' share of the candidates' scores: their postings meet few candidates.
-    wanted = able.select("query_id", "doc_id").join(of(marked.where("common")), "query_id")
-    return able.unionByName(weighed.join(wanted, ["doc_id", "term"]).select("query_id", "doc_id", (F.col("weight") * F.col("times")).alias("score")))
-
-
 def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.0) -> DataFrame:
     """query_id, rank, doc_id, score of the top_k documents of each query.
 
     Scores are rounded first and ranked then, ties by doc_id as text. Documents that score 0 fill up:
     as no score is negative, they can only be among the top_k least ids, so those are added to the
     documents that share a term, and no product of queries and documents is formed. Texts are read once
-    and stay out of every shuffle; join them to the result. Where queries meet very many postings, only
-    documents that can be among the best are scored whole (_able()); the result is the same."""
+    and stay out of every shuffle; join them to the result. Where queries meet very many postings, scores are formed in
+    blocks of documents, which send on only those that can be among the best (best_in_blocks()); the result is the same."""
     k, k1, b, digits = config["top_k"], config["bm25_k1"], config["bm25_b"], config["score_precision"]
     asked = kept(query_terms(queries), "bm25-asked")
-    # No table that is broadcast below has more rows than asked, or it has one row a query that asks.
-    send = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda table: table
     terms = asked.select("term").distinct()
+    # No table of terms that is broadcast below has more rows than these.
+    send = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda table: table
     # The empty word stands for its document: it carries the number of documents and their lengths.
     documents = document_terms(kb).withColumn("words", F.array_append("words", F.lit("")))
     rows = documents.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", stem(F.col("word")).alias("term"))
@@ -119,9 +101,14 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
     counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
     stats = F.broadcast(counts.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_length")))  # one row
     weight = idf(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
-    weighed = posted.join(send(counts.where("term <> ''").select("term", "df")), "term").join(stats).select("term", "doc_id", weight.alias("weight"))
     met = asked.join(send(counts), "term").agg(F.sum("df")).first()[0] or 0
-    scores = _scores(weighed, send(asked)) if met < PRUNE_FROM else _able(kept(weighed, "bm25-weights"), asked, k, digits, send)
+    if met < PRUNE_FROM:
+        weighed = posted.join(send(counts.where("term <> ''").select("term", "df")), "term").join(stats).select("term", "doc_id", weight.alias("weight"))
+        scores = _scores(weighed, if_small(asked))
+    else:
+        known = numbered(counts.where("term <> ''"), "bm25-terms")
+        weighed = posted.join(known, "term").join(stats).select("tid", "doc_id", weight.alias("weight"))
+        scores = best_in_blocks(weighed, asked.join(known, "term").select("query_id", "tid", "times"), stats.first().n_docs, k, digits)
     first = F.broadcast(kb.select("doc_id").orderBy("doc_id").limit(k))  # k rows
     fill = queries.select("query_id").join(first).withColumn("score", F.lit(0.0))
     scored = scores.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
