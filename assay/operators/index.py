@@ -7,6 +7,7 @@ and are left out before their postings are unpacked."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,13 +15,16 @@ from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
 from assay.functions.text import stem
+from assay.operators.blocks import best_in_blocks
 from assay.operators.kept import dropped, kept
-from assay.operators.retrieval import BROADCAST_ROWS, bm25_weight, document_terms, idf, query_terms
+from assay.operators.retrieval import BROADCAST_ROWS, bm25_weight, document_terms, idf, numbered, query_terms
 
 #: Folders of terms, and postings of a block.
 BUCKETS, BLOCK = 64, 128
 #: Terms of a query, those that may add most, whose scores give the bound for all other postings.
 SEEDS = 4
+#: Postings that the queries meet, counted before, from which on they share the unpacked ones.
+MANY = 5_000_000
 
 
 #: Tables of an index and their columns; an index of no terms has no files to tell them.
@@ -86,26 +90,40 @@ def search(index: Index, queries: DataFrame, config: dict, shift: float = 0.0) -
 
     The bound of a query is what top_k documents reach by its SEEDS terms that may add most (two units of the last digit
     less, for rounding). A block is unpacked only if its greatest weight and the most that all other terms may add reach it: then a
-    document that can be among the best keeps all its postings, and others only lose score. Texts aren't read."""
+    document that can be among the best keeps all its postings, and others only lose score. Queries that together meet MANY postings
+    reach nearly all blocks: those of their terms are unpacked once, for all queries (best_in_blocks()). Texts aren't read."""
     k, digits = config["top_k"], config["score_precision"]
     asked = kept(query_terms(queries).withColumn("bucket", _bucket("term")), "search-asked")
     few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     send = F.broadcast if few else lambda table: table
     buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
     own = lambda table: table.where(F.col("bucket").isin(buckets))
-    parts = own(index.terms).select("bucket", "term", "most").join(send(asked), ["bucket", "term"])
+    blocks = own(index.blocks).select("bucket", "term", "most", "postings")
+    counts = own(index.terms).select("bucket", "term", "df")
+    met = counts.join(send(asked), ["bucket", "term"]).agg(F.sum("df")).first()[0] or 0
+    if met >= MANY:
+        # Terms that nobody asks for go before they are numbered.
+        known = numbered(counts.join(send(asked.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi"), "search-terms")
+        rows = blocks.join(known, "term").select("tid", F.explode("postings").alias("p")).select("tid", "p.doc_id", "p.weight")
+        scores = best_in_blocks(rows, asked.join(known, "term").select("query_id", "tid", "times"), index.stats.first().n_docs, k, digits)
+    else:
+        scores = _reaching(blocks, own(index.terms).select("bucket", "term", "most").join(send(asked), ["bucket", "term"]), k, digits, send)
+    least = F.broadcast(index.documents.select("doc_id").orderBy("doc_id").limit(k))  # k rows
+    fill = queries.select("query_id").join(least).withColumn("score", F.lit(0.0))
+    every = scores.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+    every = every.withColumn("score", rounded(F.col("score"), digits, shift))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def _reaching(blocks: DataFrame, parts: DataFrame, k: int, digits: int, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, doc_id, score by the blocks that can reach their query's bound. parts: bucket, term, most, query_id, times."""
     parts = parts.withColumn("gain", F.col("most") * F.col("times")).withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "term")))
     parts = kept(parts.withColumn("rest", F.sum("gain").over(Window.partitionBy("query_id")) - F.col("gain")).drop("most", "gain"), "search-parts")
-    blocks = own(index.blocks).select("bucket", "term", "most", "postings")
     scored = lambda rows: rows.select("query_id", "times", F.explode("postings").alias("p")).groupBy("query_id", "p.doc_id").agg(F.sum(F.col("p.weight") * F.col("times")).alias("score"))
     first = scored(blocks.join(send(parts.where(F.col("n") <= SEEDS)), ["bucket", "term"]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"))
     bound = first.withColumn("m", F.row_number().over(best)).where(F.col("m") == k).select("query_id", (F.col("score") - 2 * 10.0**-digits).alias("bound"))
     wanted = kept(parts.join(bound, "query_id", "left"), "search-wanted")
     able = blocks.join(send(wanted), ["bucket", "term"]).where(F.col("bound").isNull() | (F.col("most") * F.col("times") + F.col("rest") >= F.col("bound")))
-    least = F.broadcast(index.documents.select("doc_id").orderBy("doc_id").limit(k))  # k rows
-    fill = queries.select("query_id").join(least).withColumn("score", F.lit(0.0))
-    every = scored(able).unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
-    every = every.withColumn("score", rounded(F.col("score"), digits, shift))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return scored(able)
