@@ -12,8 +12,13 @@ MAX_GAP = 2
 
 def exact(pattern: Column, text: Column) -> Column:
     """The trimmed, lower-cased pattern is a substring of the lower-cased text."""
+    return exact_in(pattern, F.lower(text))
+
+
+def exact_in(pattern: Column, lowered: Column) -> Column:
+    """exact() in a text that is lower-cased already."""
     needle = F.lower(F.regexp_replace(pattern, r"^\s+|\s+$", ""))
-    return (needle != "") & F.contains(F.lower(text), needle)
+    return (needle != "") & F.contains(lowered, needle)
 
 
 def in_order(wanted: Column, words: Column, max_gap: int = MAX_GAP) -> Column:
@@ -21,10 +26,19 @@ def in_order(wanted: Column, words: Column, max_gap: int = MAX_GAP) -> Column:
 
     Greedy: each token is matched where it is next seen, without going back. Atomic groups of a regular
     expression over the space-joined words say just that; tokens hold no character that needs escaping."""
+    return in_order_of_line(wanted, spaced(words), max_gap)
+
+
+def spaced(words: Column) -> Column:
+    """The words between single spaces, with one before and one after: what in_order_of_line() searches."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def in_order_of_line(wanted: Column, line: Column, max_gap: int = MAX_GAP) -> Column:
+    """in_order() of the words of a line that is made once for many patterns."""
     step = lambda t: F.concat(F.lit(f"(?>(?: [^ ]+){{0,{max_gap}}}? "), t, F.lit("(?= ))"))
     rest = F.array_join(F.transform(F.slice(wanted, 2, 1 << 20), step), "")
     pattern = F.concat(F.lit(" "), F.try_element_at(wanted, F.lit(1)), F.lit("(?= )"), rest)
-    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     return F.when(F.size(wanted) > 0, F.rlike(line, pattern)).otherwise(False)
 
 

@@ -77,3 +77,14 @@ def test_running_sums(spark):
         want.append((k, i, total))
         total += size
     assert got == want
+
+
+def test_a_text_moves_once_for_all_its_phrases(spark, monkeypatch):
+    """Candidates of a text are one row: texts aren't multiplied by their phrases before they are sorted or shuffled, nor are their words made distinct in a shuffle."""
+    patterns = spark.createDataFrame([(f"p{i}", f"word{i} common") for i in range(20)], "pattern_id string, pattern string")
+    texts = spark.createDataFrame([(i, " ".join(f"word{j} common" for j in range(20))) for i in range(3)], "text_id long, text string")
+    found = phrase_matches(patterns, texts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 60 and "Sort [pattern" not in plan
+    lists = [line for line in plan.splitlines() if "collect_list(struct(pattern_id" in line and "Aggregate [text_id" in line]
+    assert lists
