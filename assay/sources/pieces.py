@@ -34,7 +34,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 1, over all files of the path by name) and value of each line; a carriage return at its end is no part of it."""
     rows = _scan(spark, path, "\n")
     splits = _splits(rows).select("file", "split", "first", _before(F.col("n")).alias("lines"))
-    return rows.join(splits, ["file", "split"]).select((F.col("lines") + F.col("at") - F.col("first") + 1).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return rows.join(F.broadcast(splits), ["file", "split"]).select((F.col("lines") + F.col("at") - F.col("first") + 1).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def _depth(text: Column) -> Column:
@@ -66,7 +66,8 @@ def _placed(pieces: DataFrame) -> DataFrame:
     splits = splits.withColumn("within", _before(F.col("q")) % 2 == 1)
     order = Window.orderBy("file", "split")
     splits = splits.select("file", "split", "within", "end", _before(F.when(F.col("within"), F.col("d1")).otherwise(F.col("d0"))).alias("start"), F.row_number().over(order).alias("nth"), F.lead("split").over(order).isNull().alias("last"))
-    rows = pieces.join(splits, ["file", "split"])
+    # One row for each split: else the pieces would be shuffled to meet them.
+    rows = pieces.join(F.broadcast(splits), ["file", "split"])
     string = (F.col("q") % 2 == 1) != F.col("within")
     depth = F.col("start") + F.when(F.col("within"), F.col("d1")).otherwise(F.col("d0"))
     final = F.col("last") & (F.col("at") == F.col("end"))
@@ -103,7 +104,7 @@ def array_elements(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     here = Window.partitionBy("nth").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     own = placed.withColumn("own", F.coalesce(F.sum(F.col("top").cast("int")).over(here), F.lit(0)))
     tops = placed.groupBy("nth").agg(F.sum(F.col("top").cast("int")).alias("n")).select("nth", F.coalesce(F.sum("n").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tops"))
-    rows = own.join(tops, "nth").withColumn("idx", (F.col("tops") + F.col("own")).cast("int"))
+    rows = own.join(F.broadcast(tops), "nth").withColumn("idx", (F.col("tops") + F.col("own")).cast("int"))
     rows = rows.groupBy("idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "at", "value"))), lambda p: p["value"]), ",").alias("raw"), F.bool_or("final").alias("final"))
     raw = F.col("raw")
     if ends.open in _SHUT:
@@ -111,8 +112,11 @@ def array_elements(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
         raw = F.when(F.col("final"), F.regexp_replace(raw, r"[\]}][ \t\r\n]*$", "")).otherwise(raw)
     rows = rows.select("idx", F.regexp_replace(raw, r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("raw"))
     text = F.concat(F.lit("{"), "raw", F.lit("}")) if ends.open == "{" else F.col("raw")
-    rows = kept(rows.select("idx", F.when(F.col("raw") != "", strictly(text)).alias("record"), "raw"), "array-records")
-    seen = rows.agg(F.count_if(F.col("record").isNull()).alias("bad"), F.count(F.lit(1)).alias("n"), F.max("raw").alias("most")).first()
+    # The text is written once; its parsed form, which is as long, is made again where it is read.
+    record = F.when(F.col("raw") != "", strictly(text))
+    rows = kept(rows.select("idx", "raw", record.isNull().alias("broken")), "array-records")
+    seen = rows.agg(F.count_if("broken").alias("bad"), F.count(F.lit(1)).alias("n"), F.max("raw").alias("most")).first()
+    rows = rows.select("idx", record.alias("record"), "raw")
     empty = ends.open in _SHUT and seen.n == 1 and seen.most == ""
     if seen.bad and not empty:
         return none, "INVALID_JSON"

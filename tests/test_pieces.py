@@ -80,3 +80,16 @@ def test_lines_of_many_splits(spark, small_splits, tmp_path):
     rows = numbered_lines(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() > 5
     assert sorted((r.line, r.value) for r in rows.collect()) == list(enumerate(lines, 1))
+
+
+def test_an_array_is_written_once(spark, tmp_path, monkeypatch):
+    """Elements are kept as their text alone: a parsed copy beside it would double what is written."""
+    from assay.sources import pieces
+
+    path, tables = tmp_path / "a.json", {}
+    path.write_text('[{"a": 1}, "two", [3]]')
+    keep = pieces.kept
+    monkeypatch.setattr(pieces, "kept", lambda table, name: tables.setdefault(name, keep(table, name)))
+    rows, wrong = pieces.array_elements(spark, str(path))
+    assert wrong == "" and [(r.idx, r.raw, str(r.record)) for r in rows.orderBy("idx").collect()] == [(0, '{"a": 1}', '{"a":1}'), (1, '"two"', '"two"'), (2, "[3]", "[3]")]
+    assert "record" not in tables["array-records"].columns
