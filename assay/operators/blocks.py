@@ -1,11 +1,12 @@
 """Scores of many queries against many documents, in blocks of documents: a pair of query and document never leaves its task.
 
-Documents are dealt into blocks by a hash of their id, and each block meets all queries, as lists of numbered terms. A task adds up
-one query's scores over one block in an array and sends on only the documents that can be among the query's best."""
+Documents are dealt into blocks by a hash of their id, one row each with the list of its terms, and each block meets all queries, as
+lists of numbered terms. A task adds up one query's scores over one block in an array and sends on only the documents that can be among
+the query's best."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,58 @@ from pyspark.sql import functions as F
 
 #: Documents of a block, at most about so many; of few documents, least ones of a block, so that all cores have some.
 DOCS, FEW = 16_384, 1024
+#: Terms of a row of factors.
+FACTORS = 65_536
+
+
+def _lists(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One row for each document of rows that stand together by `row`: its terms, ascending, and how often it has each."""
+    rows = pa.Table.from_batches(pieces)
+    row, tid = rows.column("row").to_numpy(), rows.column("tid").to_numpy().astype(np.int64)
+    head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    doc = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(row))))
+    span = tid.max() + 1
+    key, times = np.unique(doc * span + tid, return_counts=True)
+    ends = pa.array(np.searchsorted(key, np.arange(len(head) + 1) * span), pa.int32())
+    ids = [rows.column(c).take(pa.array(head)).combine_chunks() for c in ("row", "doc_id", "length")]
+    return pa.RecordBatch.from_arrays([*ids, *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % span, times))], ["row", "doc_id", "length", "tids", "tfs"])
+
+
+def _in_one_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []  # pieces of the last document, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = batch.column("row").to_numpy()
+        cut = int(np.searchsorted(row, row[-1]))
+        if held and (cut or held[-1].column("row")[0].as_py() != row[0]):
+            yield _lists([*held, batch.slice(0, cut)] if cut else held)
+            held = []
+        elif cut:
+            yield _lists([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield _lists(held)
+
+
+def listed(rows: DataFrame, together: bool) -> DataFrame:
+    """row, doc_id, length, tids, tfs: one row for each `row` of the table row, doc_id, length, tid, which has one row for each word.
+
+    together: a document's words stand together in one partition, in the order of `row`, as an explode leaves them; then nothing is shuffled."""
+    if together:
+        return rows.select("row", "doc_id", "length", "tid").mapInArrow(_in_one_row, "row long, doc_id string, length long, tids array<int>, tfs array<int>")
+    return _regrouped(rows.groupBy("row", "doc_id", "length", "tid").agg(F.count(F.lit(1)).cast("int").alias("tf")), ["row", "doc_id", "length"])
+
+
+def _regrouped(rows: DataFrame, by: list[str]) -> DataFrame:
+    lists = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("tid", "tf"))).alias("l"))
+    return lists.select(*by, F.col("l.tid").alias("tids"), F.col("l.tf").alias("tfs"))
+
+
+def merged(lists: DataFrame) -> DataFrame:
+    """Lists of documents of one id and length as one."""
+    rows = lists.select("doc_id", "length", F.explode(F.arrays_zip("tids", "tfs")).alias("t")).select("doc_id", "length", "t.tids", "t.tfs")
+    return _regrouped(rows.groupBy("doc_id", "length", F.col("tids").alias("tid")).agg(F.sum("tfs").cast("int").alias("tf")), ["doc_id", "length"])
 
 
 def _postings(values: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -22,9 +75,10 @@ def _postings(values: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.nd
     ids = values.column("doc_id").combine_chunks()
     names = pc.unique(ids)
     names = names.take(pc.array_sort_indices(names, null_placement="at_start"))
-    key = values.column("tid").to_numpy().astype(np.int64) * len(names) + pc.index_in(ids, value_set=names).to_numpy()
+    key = np.repeat(pc.index_in(ids, value_set=names).to_numpy(), pc.list_value_length(values.column("tids")).to_numpy())
+    key = pc.list_flatten(values.column("tids")).to_numpy().astype(np.int64) * len(names) + key
     order = np.argsort(key, kind="stable")
-    key, weight = key[order], values.column("weight").to_numpy()[order]
+    key, weight = key[order], pc.list_flatten(values.column("weights")).to_numpy()[order]
     # Documents of one id add up.
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     weight, (term, doc) = np.add.reduceat(weight, head), np.divmod(key[head], len(names))
@@ -59,7 +113,13 @@ def _scorer(k: int, slack: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(values: pa.Table, asked: pa.Table) -> pa.Table:
         if not values.num_rows or not asked.num_rows:
             return schema.empty_table()
+        of = pc.is_valid(asked.column("factors"))
+        terms, asked = asked.filter(of), asked.filter(pc.invert(of))
         names, doc, weight, known, first = _postings(values)
+        if terms.num_rows:
+            tid, factor = (pc.list_flatten(terms.column(c)).to_numpy() for c in ("tids", "factors"))
+            order = np.argsort(tid)
+            weight = weight * np.repeat(factor[order][np.searchsorted(tid, known, sorter=order)], np.diff(first))
         size = np.append(0, np.cumsum(pc.list_value_length(asked.column("tids")).to_numpy()))
         tids, times = (pc.list_flatten(asked.column(c)).to_numpy() for c in ("tids", "times"))
         at = np.minimum(np.searchsorted(known, tids), len(known) - 1)
@@ -93,16 +153,27 @@ def _scorer(k: int, slack: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return score
 
 
-def best_in_blocks(values: DataFrame, asked: DataFrame, n_docs: int, k: int, digits: int) -> DataFrame:
+def best_in_blocks(values: DataFrame, asked: DataFrame, n_docs: int, k: int, digits: int, factors: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score of the documents that can be among the k best of each query after rounding to so many digits.
 
-    values: tid (a term's number), doc_id, weight. asked: query_id, tid, times. Documents of equal scores go by doc_id as text. Every query
-    is sent to every block, as its numbers only; a block's documents are sent once. Memory of a task is that of a block and of the queries' lists."""
+    values: tid (a term's number), doc_id, weight; or a row for each document: doc_id, tids, weights, which moves the least. asked: query_id,
+    tid, times. factors: tid, factor of each term, by which weights are multiplied in the blocks: so equal weights of a document's terms stay
+    equal, and short, on their way. Documents of equal scores go by doc_id as text. Every query is sent to every block, as its numbers only; a
+    block's documents are sent once. Memory of a task is that of a block and of the queries' lists."""
     cores = values.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-n_docs // DOCS), min(3 * cores, -(-n_docs // FEW)))
-    lists = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", "times"))).alias("l"))
-    lists = lists.select("query_id", F.col("l.tid").alias("tids"), F.col("l.times").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    dealt = values.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "tid", "doc_id", "weight")
+    lists = asked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("tid", F.col("times").cast("int").alias("times")))).alias("l"))
+    lists = lists.select("query_id", F.col("l.tid").alias("tids"), F.col("l.times").alias("times"), F.lit(None).cast("array<double>").alias("factors"))
+    if factors is not None:
+        rows = factors.groupBy(F.floor(F.col("tid") / FACTORS)).agg(F.collect_list(F.struct("tid", "factor")).alias("l"))
+        none = lambda kind: F.lit(None).cast(kind)
+        lists = lists.unionByName(rows.select(none("string").alias("query_id"), F.col("l.tid").alias("tids"), none("array<int>").alias("times"), F.col("l.factor").alias("factors")))
+    lists = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    if "tids" not in values.columns:
+        values = values.select("doc_id", F.array("tid").alias("tids"), F.array("weight").alias("weights"))
+    dealt = values.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "tids", "weights")
     # Two units of the last digit, so that rounding loses nothing.
     score = _scorer(k, 2 * 10.0**-digits)
-    return dealt.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(score, "query_id string, doc_id string, score double")
+    # So many parts that few hold two blocks; by number, as little is moved for the work to be done, and small parts would be joined to one task's.
+    part = lambda table: table.repartition(3 * blocks, "block").groupBy("block")
+    return part(dealt).cogroup(part(lists)).applyInArrow(score, "query_id string, doc_id string, score double")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
 from assay.functions.text import content_terms, stem, tokens, without_stopwords
-from assay.operators.blocks import best_in_blocks
+from assay.operators.blocks import best_in_blocks, listed, merged
 from assay.operators.kept import kept
 from assay.operators.ordered import with_running
 
@@ -76,8 +76,8 @@ def numbered(counts: DataFrame, name: str) -> DataFrame:
 
 
 def _scores(weighed: DataFrame, some: DataFrame) -> DataFrame:
-    """query_id, doc_id, score by the query terms `some` (query_id, term, times)."""
-    return weighed.join(some, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    """query_id, doc_id, score by the query terms `some` (query_id, tid, times)."""
+    return weighed.join(some, "tid").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
 def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.0) -> DataFrame:
@@ -86,29 +86,37 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
     Scores are rounded first and ranked then, ties by doc_id as text. Documents that score 0 fill up:
     as no score is negative, they can only be among the top_k least ids, so those are added to the
     documents that share a term, and no product of queries and documents is formed. Texts are read once
-    and stay out of every shuffle; join them to the result. Where queries meet very many postings, scores are formed in
-    blocks of documents, which send on only those that can be among the best (best_in_blocks()); the result is the same."""
+    and stay out of every shuffle, as do their words: a task makes one row of a document's terms. Join texts to the result. Where
+    queries meet very many postings, scores are formed in blocks of documents, which send on only those that can be among the best
+    (best_in_blocks()); the result is the same."""
     k, k1, b, digits = config["top_k"], config["bm25_k1"], config["bm25_b"], config["score_precision"]
     asked = kept(query_terms(queries), "bm25-asked")
-    terms = asked.select("term").distinct()
+    # The empty word stands for its document, so that documents without any of the terms count, too.
+    terms = asked.select("term").distinct().unionByName(asked.sparkSession.range(1).select(F.lit("").alias("term")))
     # No table of terms that is broadcast below has more rows than these.
-    send = F.broadcast if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda table: table
-    # The empty word stands for its document: it carries the number of documents and their lengths.
-    documents = document_terms(kb).withColumn("words", F.array_append("words", F.lit("")))
-    rows = documents.select("doc_id", "length", F.explode("words").alias("word")).select("doc_id", "length", stem(F.col("word")).alias("term"))
-    posted = rows.join(send(terms.unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))), "term", "left_semi")
-    posted = kept(posted.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
-    counts = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
-    stats = F.broadcast(counts.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("avg_length")))  # one row
-    weight = idf(F.col("n_docs"), F.col("df")) * bm25_weight(F.col("tf"), F.col("length"), F.col("avg_length"), k1, b)
-    met = asked.join(send(counts), "term").agg(F.sum("df")).first()[0] or 0
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    send = F.broadcast if few else lambda table: table
+    known = numbered(terms.withColumn("df", F.lit(0)), "bm25-terms").select("term", "tid")
+    documents = document_terms(kb).select(F.monotonically_increasing_id().alias("row"), "doc_id", "length", F.array_append("words", F.lit("")).alias("words"))
+    rows = documents.select("row", "doc_id", "length", F.explode("words").alias("word")).select("row", "doc_id", "length", stem(F.col("word")).alias("term"))
+    # A join with a broadcast table leaves a document's words together.
+    lists = kept(listed(rows.join(send(known), "term"), few), "bm25-postings")
+    n_docs, avg_length = lists.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+    if lists.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        lists = kept(merged(lists), "bm25-merged")
+    counts = kept(lists.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df")), "bm25-counts")
+    counts = counts.join(send(known.where("term <> ''")), "tid").select("tid", "df")
+    asked = asked.join(send(known), "term").select("query_id", "tid", "times")
+    rarity = idf(F.lit(n_docs), F.col("df"))
+    weight = lambda tf: bm25_weight(tf, F.col("length"), F.lit(avg_length), k1, b)
+    met = asked.join(send(counts), "tid").agg(F.sum("df")).first()[0] or 0
     if met < PRUNE_FROM:
-        weighed = posted.join(send(counts.where("term <> ''").select("term", "df")), "term").join(stats).select("term", "doc_id", weight.alias("weight"))
+        posted = lists.select("doc_id", "length", F.explode(F.arrays_zip("tids", "tfs")).alias("t")).select("doc_id", "length", F.col("t.tids").alias("tid"), F.col("t.tfs").alias("tf"))
+        weighed = posted.join(send(counts), "tid").select("tid", "doc_id", (rarity * weight(F.col("tf"))).alias("weight"))
         scores = _scores(weighed, if_small(asked))
     else:
-        known = numbered(counts.where("term <> ''"), "bm25-terms")
-        weighed = posted.join(known, "term").join(stats).select("tid", "doc_id", weight.alias("weight"))
-        scores = best_in_blocks(weighed, asked.join(known, "term").select("query_id", "tid", "times"), stats.first().n_docs, k, digits)
+        weighed = lists.select("doc_id", F.slice("tids", 2, F.size("tids")).alias("tids"), F.transform(F.slice("tfs", 2, F.size("tfs")), weight).alias("weights"))
+        scores = best_in_blocks(weighed, asked, n_docs, k, digits, counts.select("tid", rarity.alias("factor")))
     first = F.broadcast(kb.select("doc_id").orderBy("doc_id").limit(k))  # k rows
     fill = queries.select("query_id").join(first).withColumn("score", F.lit(0.0))
     scored = scores.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))

@@ -1,5 +1,6 @@
 """Scores in blocks of documents against all pairs: ties, repeated and null ids, few rows that leave a task."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -44,3 +45,51 @@ def test_many_queries_share_the_blocks_of_an_index(spark, tmp_path, monkeypatch)
         monkeypatch.setattr(module, bound, 0)
         monkeypatch.setattr(module, "best_in_blocks", lambda *a: calls.append(a) or best_in_blocks(*a))
     assert rows() == few == sorted(map(tuple, bm25_topk(kb, queries, CONFIG).collect())) and len(calls) == 2 and len(few) == 48
+
+
+def _no_hash_of_words(table):
+    """The plan moves rows by no document's id, which a count of its words would."""
+    return "hashpartitioning(doc_id" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_a_document_are_counted_without_a_shuffle(spark, monkeypatch):
+    """Retrieval writes a row for each document, of words that no shuffle moved; also where a document spans batches, and as a shuffle would count them."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices([f"term{i}" for i in range(12)], k=n))
+    some = [(f"d{i}", None, text(i % 23)) for i in range(90)]
+    kb = spark.createDataFrame([*some, *some[5:8], (None, None, "term1 term1"), ("d9", None, "term1"), ("long", "x", text(500))], "doc_id string, title string, text string").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", text(1 + i % 4)) for i in range(12)] + [("none", None)], "query_id string, user_question string")
+    made, keep = {}, retrieval.kept
+
+    def kept(table, name):
+        made[name] = _no_hash_of_words(table)
+        out = keep(table, name)
+        if name == "bm25-postings":
+            made["rows"] = sorted((r.doc_id or "", r.length, r.tids, r.tfs) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(retrieval, "kept", kept)
+    rows = lambda: sorted(map(tuple, bm25_topk(kb, queries, CONFIG).collect()))
+    whole = rows()
+    assert made["bm25-postings"] and len(made["rows"]) == 96 and "bm25-merged" in made
+    lists = made["rows"]
+    for name, value in (("PRUNE_FROM", 0), ("BROADCAST_TERMS", 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        try:
+            monkeypatch.setattr(retrieval, name, value)
+            assert rows() == whole and made["rows"] == lists
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Scores by hand: repeated ids of one length are one document, whose words add up.
+    docs = defaultdict(list)
+    for r in kb.collect():
+        docs[r.doc_id, len(f"{r.title or ''} {r.text}".split())] += f"{r.title or ''} {r.text}".split()
+    sizes = [len(f"{r.title or ''} {r.text}".split()) for r in kb.collect()]
+    n, mean = len(sizes), sum(sizes) / len(sizes)
+    df = {t: sum(t in words for words in docs.values()) for t in {w for words in docs.values() for w in words}}
+    for q, question in queries.collect():
+        want = defaultdict(float)
+        for (doc, size), words in docs.items():
+            want[doc] += sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.5 / (words.count(t) + 1.5 * (0.25 + 0.75 * size / mean)) for t in (question or "").split() if t in words)
+        best = sorted((-s, d or "") for d, s in want.items())[:3]
+        assert all(abs(-s - r[3]) < 1e-4 for (s, _), r in zip(best, [r for r in whole if r[0] == q], strict=True))
