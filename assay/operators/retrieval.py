@@ -128,9 +128,16 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
 def passages(top: DataFrame, kb: DataFrame, queries: DataFrame, most_queries: int = 20_000) -> DataFrame:
     """query_id, retrieved: the ranked passages with title and text, only now joined.
 
-    top has top_k rows for each query, so a count of the queries tells whether it may be broadcast; else texts are shuffled once."""
+    top has top_k rows for each query, so a count of the queries tells whether it may be broadcast; else its own rows are counted, and where they
+    are too many, only texts that it names are shuffled, found by their ids where those are few enough to be broadcast."""
+    texts = kb.select("doc_id", "title", "text")
     small = queries.limit(most_queries + 1).count() <= most_queries
-    ranked = (F.broadcast(top) if small else top).join(kb.select("doc_id", "title", "text"), "doc_id")
+    if not small:
+        top = kept(top, "retrieved-ids")
+        small = top.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if not small:
+        texts = texts.join(if_small(top.select("doc_id").distinct(), BROADCAST_TERMS), "doc_id", "left_semi")
+    ranked = (F.broadcast(top) if small else top).join(texts, "doc_id")
     row = F.struct("rank", "doc_id", "score", "title", "text")
     bare = lambda p: F.struct(p["doc_id"].alias("doc_id"), p["score"].alias("score"), p["title"].alias("title"), p["text"].alias("text"))
     return ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(row)), bare).alias("retrieved"))

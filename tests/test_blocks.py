@@ -93,3 +93,17 @@ def test_words_of_a_document_are_counted_without_a_shuffle(spark, monkeypatch):
             want[doc] += sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.5 / (words.count(t) + 1.5 * (0.25 + 0.75 * size / mean)) for t in (question or "").split() if t in words)
         best = sorted((-s, d or "") for d, s in want.items())[:3]
         assert all(abs(-s - r[3]) < 1e-4 for (s, _), r in zip(best, [r for r in whole if r[0] == q], strict=True))
+
+
+def test_only_named_texts_move(spark, monkeypatch):
+    """Of many queries, too, no text that isn't retrieved is shuffled, and all ways give the same passages."""
+    kb = spark.createDataFrame([(f"d{i}", None if i % 3 else f"t{i}", f"text {i}") for i in range(40)] + [(None, "no", "id")], "doc_id string, title string, text string")
+    top = spark.createDataFrame([(f"q{i}", r, f"d{(i * r) % 7}", 1.0 / r) for i in range(9) for r in (1, 2)], "query_id string, rank int, doc_id string, score double")
+    queries = top.select("query_id").distinct()
+    rows = lambda table: sorted((r.query_id, [tuple(p) for p in r.retrieved]) for r in table.collect())
+    few, many = retrieval.passages(top, kb, queries), retrieval.passages(top, kb, queries, 0)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert rows(few) == rows(many) and len(rows(few)) == 9 and "hashpartitioning(doc_id" not in plan
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    plan = retrieval.passages(top, kb, queries, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(retrieval.passages(top, kb, queries, 0)) == rows(few) and "LeftSemi" in plan
