@@ -64,15 +64,17 @@ def _asked(prompts: DataFrame, live: Callable[[str, str, dict], str], judge: dic
 
 
 def judge_in_batches(
-    queries: DataFrame, answers: DataFrame, retrieval: DataFrame, scores: DataFrame, config: dict, log: DataFrame | None = None, live: Callable[[str, str, dict], str] | None = None, tokens: int = BATCH_TOKENS
-) -> BatchReviews:
+    queries: DataFrame, answers: DataFrame, retrieval: DataFrame, scores: DataFrame, config: dict, log: DataFrame | None = None, live: Callable[[str, str, dict], str] | None = None, tokens: int = BATCH_TOKENS,
+    batches: tuple[DataFrame, DataFrame] | None = None,
+) -> BatchReviews:
     """Reviews of all answered queries by the configuration's backends, each batch by the first one whose answer holds.
 
     A live batch is asked max_retries times more, with what was wrong. `live` runs in tasks and must be picklable; a task that is lost before its
-    answers are written asks again. A batch that no backend answers is an error, which names how many there are."""
+    answers are written asks again. A batch that no backend answers is an error, which names how many there are. batches: what prompt_batches() gave
+    for the same tables, where it was called before. answers and scores are read several times: keep them first where they cost much."""
     spark, judge = queries.sparkSession, config["judge"]
     low, high = judge["score_min"], judge["score_max"]
-    prompts, members = prompt_batches(build_prompt(queries, answers, retrieval, scores), judge, tokens)
+    prompts, members = batches or prompt_batches(build_prompt(queries, answers, retrieval, scores), judge, tokens)
     rest, reviews, calls = prompts, [], []
     kinds = "batch long, backend string, prompt_hash string, replayed_call_id string, response_raw string, parsed_ok boolean, validation_errors array<string>"
 
@@ -91,7 +93,8 @@ def judge_in_batches(
     for backend in judge["backend_order"]:
         if backend == "cache" and log is not None:
             hits = rest.join(cached_calls(log, rest), "prompt_hash").select("batch", "prompt", "prompt_hash", "call_id", F.col("response_raw").alias("response"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("gone"))
-            done, _ = checked(hits, "cache")
+            # The checks read the payloads several times; the log is read once.
+            done, _ = checked(kept(hits, "cache-hits"), "cache")
             rest = rest.join(done, "batch", "left_anti")
         elif backend == "live" and live is not None:
             ask = rest.select("batch", "prompt", "prompt_hash", F.col("prompt").alias("first"))

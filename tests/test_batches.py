@@ -126,3 +126,23 @@ def test_evaluation_in_batches(spark, tables):
     assert one.decision.first() == many.decision.first() and many.backend == "stub"
     assert many.batch_calls.count() > 1 and one.batch_calls is None
     assert sorted(map(str, one.reviews.collect())) == sorted(map(str, many.reviews.select(*one.reviews.columns).collect()))
+
+
+def test_replayed_batches_are_made_once(spark, monkeypatch):
+    """The query makes its prompts once, for the log and the reviews, and reads answers and scores that are written; hits are written before they are checked."""
+    from assay.operators import batches
+    from assay.plans import queries
+
+    calls, names = [], []
+    make, judged, keep = batches.prompt_batches, queries.judge_in_batches, batches.kept
+    for module in (batches, queries):
+        monkeypatch.setattr(module, "prompt_batches", lambda *a: calls.append("prompts") or make(*a))
+    monkeypatch.setattr(batches, "kept", lambda table, name: names.append(name) or keep(table, name))
+
+    def judge(chats, answers, retrieval, scores, *more):
+        calls.extend(t._jdf.queryExecution().optimizedPlan().toString().count("Join") for t in (answers, scores))
+        return judged(chats, answers, retrieval, scores, *more)
+
+    monkeypatch.setattr(queries, "judge_in_batches", judge)
+    rows = queries.judge_batches_replayed(queries.Tables(spark, "/root/testdata/sf0.001")).collect()
+    assert rows and calls == ["prompts", 0, 0] and names.count("cache-hits") == 1
