@@ -20,7 +20,7 @@ from assay.operators.aggregate import contributions, recommendation, tag_counts,
 from assay.operators.batches import judge_in_batches, prompt_batches
 from assay.operators.checks import dealt, long_answers, score_answers
 from assay.operators.index import open_index, search, write_index
-from assay.operators.kept import kept, shared_folder
+from assay.operators.kept import kept, kept_alone, shared_folder
 from assay.operators.judge import build_prompt, cached_calls, prompt_hash_column, review_entry_issues, stub_payload, stub_reviews, stub_winner, wide_reviews
 from assay.operators.phrases import phrase_matches
 from assay.operators.retrieval import bm25_topk, corpus_stats, document_frequency, document_terms, passages, postings, query_terms
@@ -116,18 +116,23 @@ class Evaluated(Tables):
 
     def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._kept:
-            self._kept[name] = kept(make(), name)
+            self._kept[name] = kept_alone(make, name)
         return self._kept[name]
 
+    def _found(self) -> DataFrame:
+        """Retrieval whose ranks are kept before texts are joined: so what they were made of is gone before texts move."""
+        kb, chats = self.kb(), self.chats()
+        return passages(kept_alone(lambda: bm25_topk(kb, chats, CONFIG["retrieval"], SHIFT), "evaluated-top"), kb, chats)
+
     def retrieval(self) -> DataFrame:
-        return self._kept["evaluated-retrieval"] if "evaluated-retrieval" in self._kept else super().retrieval()
+        return self._kept["evaluated-retrieval"] if "evaluated-retrieval" in self._kept else self._found()
 
     def light_scores(self) -> DataFrame:
         return self._once("evaluated-scores", self.scores)
 
     def evidence(self) -> DataFrame:
         """Texts are kept only where prompts need them beside the scores."""
-        return self._once("evaluated-retrieval", super().retrieval)
+        return self._once("evaluated-retrieval", self._found)
 
 
 # ---- SQL pieces ------------------------------------------------------------------------------------
