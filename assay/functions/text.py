@@ -42,6 +42,14 @@ def stem(token: Column) -> Column:
     return rules.otherwise(token)
 
 
+def stemmed(word: str) -> str:
+    """stem() of one word, in Python."""
+    for suffix, instead in SUFFIXES:
+        if word.endswith(suffix) and len(word) >= LEAST_STEM + len(suffix) - len(instead):
+            return word[: len(word) - len(suffix)] + instead
+    return word
+
+
 def stems(words: Column) -> Column:
     return F.transform(words, stem)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
 from assay.functions.text import content_terms, stem, tokens, without_stopwords
-from assay.operators.blocks import best_in_blocks, listed, merged
+from assay.operators.blocks import best_in_blocks, listed, listed_texts, merged
 from assay.operators.kept import kept
 from assay.operators.ordered import with_running
 
@@ -26,10 +26,15 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
+def whole_text() -> Column:
+    """What is searched of a document."""
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+
+
 def document_terms(kb: DataFrame) -> DataFrame:
     """doc_id, length and content words of each document's title and text; stems are made of exploded rows, in generated code."""
     kb = spread(kb.select("doc_id", "title", "text"))
-    words = without_stopwords(tokens(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))))
+    words = without_stopwords(tokens(whole_text()))
     return kb.select("doc_id", words.alias("words")).withColumn("length", F.size("words").cast("long"))
 
 
@@ -97,12 +102,17 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     send = F.broadcast if few else lambda table: table
     known = numbered(terms.withColumn("df", F.lit(0)), "bm25-terms").select("term", "tid")
-    documents = document_terms(kb).select(F.monotonically_increasing_id().alias("row"), "doc_id", "length", F.array_append("words", F.lit("")).alias("words"))
-    rows = documents.select("row", "doc_id", "length", F.explode("words").alias("word")).select("row", "doc_id", "length", stem(F.col("word")).alias("term"))
-    # A join with a broadcast table leaves a document's words together.
-    lists = kept(listed(rows.join(send(known), "term"), few), "bm25-postings")
+    if few:
+        numbers = kb.sparkSession.sparkContext.broadcast({r.term: r.tid for r in known.collect()})  # BROADCAST_TERMS at most
+        lists = listed_texts(spread(kb.select("doc_id", "title", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lower(whole_text()).alias("text")), numbers)
+    else:
+        documents = document_terms(kb).select(F.monotonically_increasing_id().alias("row"), "doc_id", "length", F.array_append("words", F.lit("")).alias("words"))
+        rows = documents.select("row", "doc_id", "length", F.explode("words").alias("word")).select("row", "doc_id", "length", stem(F.col("word")).alias("term"))
+        lists = listed(rows.join(known, "term"))
+    lists = kept(lists, "bm25-postings")
     n_docs, avg_length = lists.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
-    if lists.groupBy("doc_id", "length").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+    repeated = lists.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if repeated:
         lists = kept(merged(lists), "bm25-merged")
     counts = kept(lists.select(F.explode("tids").alias("tid")).groupBy("tid").agg(F.count(F.lit(1)).alias("df")), "bm25-counts")
     counts = counts.join(send(known.where("term <> ''")), "tid").select("tid", "df")
@@ -115,8 +125,12 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
         weighed = posted.join(send(counts), "tid").select("tid", "doc_id", (rarity * weight(F.col("tf"))).alias("weight"))
         scores = _scores(weighed, if_small(asked))
     else:
-        weighed = lists.select("doc_id", F.slice("tids", 2, F.size("tids")).alias("tids"), F.transform(F.slice("tfs", 2, F.size("tfs")), weight).alias("weights"))
-        scores = best_in_blocks(weighed, asked, n_docs, k, digits, counts.select("tid", rarity.alias("factor")))
+        weigh = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / avg_length if avg_length > 0 else 0.0)))
+        values = lists.select("doc_id", "length", *(F.slice(c, 2, F.size("tids")).alias(c) for c in ("tids", "tfs")))
+        if repeated:  # Documents of one id add up, whatever their lengths.
+            rows = values.select("doc_id", "length", F.explode(F.arrays_zip("tids", "tfs")).alias("t"))
+            values, weigh = rows.select("doc_id", F.col("t.tids").alias("tid"), weight(F.col("t.tfs")).alias("weight")), None
+        scores = best_in_blocks(values, asked, n_docs, k, digits, counts.select("tid", rarity.alias("factor")), weigh)
     first = F.broadcast(kb.select("doc_id").orderBy("doc_id").limit(k))  # k rows
     fill = queries.select("query_id").join(first).withColumn("score", F.lit(0.0))
     scored = scores.unionByName(fill).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))

@@ -70,9 +70,12 @@ class Tables:
         rows = self.read("conversations").where("role = 'assistant'")
         return rows.select(F.col("conv_id").cast("string").alias("query_id"), F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("variant"), F.col("text").alias("answer"), F.col("conv_id").alias("a_ord"), F.col("turn").alias("v_pos"))
 
+    def top(self) -> DataFrame:
+        """Ranks of retrieval, kept before texts are joined: so what they were made of is gone before texts move."""
+        return kept_alone(lambda: bm25_topk(self.kb(), self.chats(), CONFIG["retrieval"], SHIFT), "retrieved-top")
+
     def retrieval(self) -> DataFrame:
-        kb, chats = self.kb(), self.chats()
-        return passages(bm25_topk(kb, chats, CONFIG["retrieval"], SHIFT), kb, chats)
+        return passages(self.top(), self.kb(), self.chats())
 
     def scores(self) -> DataFrame:
         return score_answers(self.chats(), self.answers(), self.retrieval(), CONFIG, SHIFT)
@@ -119,20 +122,15 @@ class Evaluated(Tables):
             self._kept[name] = kept_alone(make, name)
         return self._kept[name]
 
-    def _found(self) -> DataFrame:
-        """Retrieval whose ranks are kept before texts are joined: so what they were made of is gone before texts move."""
-        kb, chats = self.kb(), self.chats()
-        return passages(kept_alone(lambda: bm25_topk(kb, chats, CONFIG["retrieval"], SHIFT), "evaluated-top"), kb, chats)
-
     def retrieval(self) -> DataFrame:
-        return self._kept["evaluated-retrieval"] if "evaluated-retrieval" in self._kept else self._found()
+        return self._kept["evaluated-retrieval"] if "evaluated-retrieval" in self._kept else super().retrieval()
 
     def light_scores(self) -> DataFrame:
         return self._once("evaluated-scores", self.scores)
 
     def evidence(self) -> DataFrame:
         """Texts are kept only where prompts need them beside the scores."""
-        return self._once("evaluated-retrieval", self._found)
+        return self._once("evaluated-retrieval", super().retrieval)
 
 
 # ---- SQL pieces ------------------------------------------------------------------------------------
@@ -296,7 +294,9 @@ def bm25_corpus_stats(t: Tables) -> DataFrame:
 def retrieval_hit(t: Tables) -> DataFrame:
     from assay.operators.checks import retrieval_hit as hit
 
-    rows = t.chats().join(t.retrieval(), "query_id")
+    # No text moves: ids are all that is compared.
+    found = t.top().groupBy("query_id").agg(F.collect_list(F.struct("doc_id")).alias("retrieved"))
+    rows = t.chats().join(found, "query_id")
     return rows.select("query_id", hit(F.col("expected_doc_ids"), F.col("retrieved")).alias("retrieval_hit"))
 
 

@@ -2,8 +2,15 @@
 
 import math
 import random
+import weakref
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from assay.functions.text import stemmed, stems, tokens
 from assay.operators import blocks, index, retrieval
 from assay.operators.blocks import best_in_blocks
 from assay.operators.index import search, write_index
@@ -107,3 +114,81 @@ def test_only_named_texts_move(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
     plan = retrieval.passages(top, kb, queries, 0)._jdf.queryExecution().optimizedPlan().toString()
     assert rows(retrieval.passages(top, kb, queries, 0)) == rows(few) and "LeftSemi" in plan
+
+
+@pytest.mark.parametrize(("pilot", "same", "copies"), [(2, 1.0, 6), (2, 0.0, 6), (99, 0.9, 1), (2, 0.9, 1)])
+def test_bounds_and_like_rows_change_nothing(spark, monkeypatch, pilot, same, copies):
+    """With bounds of some blocks or without, and with copies of documents and of questions scored once or each, the best are those of all pairs."""
+    for name, value in (("DOCS", 20), ("FEW", 20), ("PILOT", pilot), ("SAME", same)):
+        monkeypatch.setattr(blocks, name, value)
+    weigh = lambda tf, length: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 20))
+    rng = random.Random(6)
+    some = [(rng.randint(5, 40), sorted(rng.sample(range(40), rng.randint(0, 12)))) for _ in range(240 // copies)]
+    docs = [(f"d{c}x{i}", n, tids, [1 + (i + t) % 3 for t in tids]) for i, (n, tids) in enumerate(some) for c in range(copies)] + [(None, 9, [1, 2], [1, 4])]
+    questions = [sorted(rng.choices(range(42), k=rng.choice([1, 3, 8]))) for _ in range(30)] + [[41]]
+    asked = [(f"q{c}x{i}", t, tids.count(t)) for i, tids in enumerate(questions) for c in range(copies) for t in sorted(set(tids))] + [(None, 1, 2), (None, 2, 1)]
+    factors = [(t, 1 + t / 7) for t in range(42)]
+    made = lambda rows, schema: spark.createDataFrame(rows, schema)
+    parts, run = [], blocks._in_parts
+    monkeypatch.setattr(blocks, "_in_parts", lambda docs, queries, *a: parts.append((docs.count(), queries.count())) or run(docs, queries, *a))
+    got = best_in_blocks(
+        made(docs, "doc_id string, length long, tids array<int>, tfs array<int>"), made(asked, "query_id string, tid int, times long"), len(docs), 2, 4, made(factors, "tid int, factor double"), weigh,
+    ).collect()
+    held = sum(bool(d[2]) for d in docs)
+    assert len(parts) == (2 if pilot == 2 else 1) and all(q <= 32 for _, q in parts)
+    assert sum(n for n, _ in parts) == held if not (copies > 1 and same == 1.0) else sum(n for n, _ in parts) < held / 4
+    want = defaultdict(float)
+    for q, t, n in asked:
+        for d, length, tids, tfs in docs:
+            if t in tids:
+                want[q, d] += n * factors[t][1] * weigh(tfs[tids.index(t)], length)
+    found = {(r.query_id, r.doc_id): r.score for r in got}
+    best = lambda pairs, q: sorted((-round(s, 4), d or "") for (p, d), s in pairs.items() if p == q)[:2]
+    assert len(found) == len(got) and all(abs(s - want[p]) < 1e-9 for p, s in found.items())
+    assert all(best(found, q) == best(want, q) for q in {q for q, _, _ in asked})
+
+
+@pytest.mark.parametrize("units", [65_535, 900, 1])
+def test_short_sums_find_what_scores_do(monkeypatch, units):
+    """Sums in units, all scores where they would not fit, and hundreds of ties: each query's best of a block, with a bound and without."""
+    monkeypatch.setattr(blocks, "UNITS", units)
+    rng = np.random.default_rng(1)
+    tids = [np.sort(rng.choice(30, rng.integers(1, 9), replace=False)) for _ in range(400)]
+    values = [np.where(t < 15, 0.5, 0.1 + t / 9) for t in tids]
+    rows = pa.table({"ids": [[f"d{i}"] for i in range(400)], "tids": pa.array(tids, pa.list_(pa.int32())), "values": values, "tfs": pa.nulls(400), "length": pa.nulls(400)})
+    block, names = blocks._Block(rows, 3, 2e-4, None), sorted(f"d{i}" for i in range(400))
+    for terms in ([0], [1, 1, 4], [20, 25, 29], list(range(30))):
+        all_of = np.array([sum(terms.count(t) * v for t, v in zip(tids[int(d[1:])].tolist(), values[int(d[1:])].tolist(), strict=True)) for d in names])
+        first = sorted(range(400), key=lambda d: (-round(all_of[d], 4), d))[:3]
+        for bound in (0.0, all_of[first[-1]] - 2e-4):
+            found, scores = block.best(terms, sum(int(block.most[t]) for t in terms), bound)
+            assert np.allclose(scores, all_of[found]) and sorted(found.tolist(), key=lambda d: (-round(all_of[d], 4), d))[:3] == first and len(found) < 100
+
+
+def test_a_task_holds_a_batch_of_queries(monkeypatch):
+    """A block's best are sent on for a batch of queries before the next one is read, and nothing is held of the one before."""
+    columns = {"part": pa.int32(), "kind": pa.int32(), "ids": pa.list_(pa.string()), "nos": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "tids": pa.list_(pa.int32()), "values": pa.list_(pa.float64())}
+    row = lambda **given: pa.RecordBatch.from_arrays([pa.array([given.get(c)], t) for c, t in columns.items()], list(columns))
+    events, alive = [], []
+
+    def batches():
+        yield row(part=0, kind=0, ids=["a"], tids=[1, 2], values=[1.0, 2.0])
+        for n in range(5):
+            events.append("in")
+            batch = row(part=0, kind=1, nos=[n], sizes=[1], tids=[1], values=[0.0])
+            alive.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    for out in blocks._scorer(1, 0.0, None)(batches()):
+        events.append("out")
+        assert out.to_pylist() == [{"no": len(events) // 2 - 1, "doc_id": "a", "score": 1.0}] and sum(r() is not None for r in alive) <= 2
+    assert events == ["in", "out"] * 5
+
+
+def test_words_and_stems_in_python_are_those_of_columns(spark):
+    texts = ["It's the dogs' o'clock's 'tis a''b don't's x'9 9'x", "Straße İstanbul K Ünïted ﬁling FLIES flying tied bed ly sly fully", "", "a_b-c 12,5% ÉTÉ cafés ªº ²", None, "'", "x'y'z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.coalesce(F.lower("t"), F.lit("")).alias("low"), tokens(F.col("t")).alias("w"), stems(tokens(F.col("t"))).alias("s")).collect()
+    for r in rows:
+        words = [w.decode() for w in blocks._words(r.low.encode())]
+        assert words == r.w and [stemmed(w) for w in words] == r.s
