@@ -22,7 +22,7 @@ from assay.functions.text import STOPWORDS, TOKEN, stemmed
 from assay.operators.kept import kept
 
 #: Documents of a block, at most about so many; of few documents, least ones of a block, so that all cores have some.
-DOCS, FEW = 32_768, 1024
+DOCS, FEW = 16_384, 1024
 #: Terms of a row of factors.
 FACTORS = 65_536
 #: Greatest sum of short weights; how many of the greatest weight it holds. Terms whose postings are held as whole rows, at most.
@@ -156,7 +156,15 @@ class _Block:
         number[self.at] = np.arange(self.n)
         size = pc.list_value_length(docs.column("tids")).to_numpy()
         tid = pc.list_flatten(docs.column("tids")).to_numpy()
-        self.own = weigh(pc.list_flatten(docs.column("tfs")).to_numpy(), np.repeat(docs.column("length").to_numpy(), size)) if weigh else pc.list_flatten(docs.column("values")).to_numpy()
+        self.ends = np.append(0, np.cumsum(size))
+        if weigh:
+            tfs, length, self.own = pc.list_flatten(docs.column("tfs")).to_numpy(), docs.column("length").to_numpy(), np.empty(len(tid))
+            for a in range(0, self.n, 1024):  # fewer at a time, as arithmetic takes some times their memory
+                some = slice(*self.ends[[a, min(a + 1024, self.n)]])
+                self.own[some] = weigh(tfs[some], np.repeat(length[a : a + 1024], size[a : a + 1024]))
+            del tfs
+        else:
+            self.own = pc.list_flatten(docs.column("values")).to_numpy()
         del docs
         order = np.argsort(tid, kind="stable").astype(np.int32)
         key = tid[order]
@@ -164,7 +172,7 @@ class _Block:
         self.known, count = key[head], np.diff(np.append(head, len(key)))
         del tid, key
         # By document: the terms, as numbers in known, ascending, and their weights.
-        self.ends, self.terms = np.append(0, np.cumsum(size)), np.empty(len(order), np.int32)
+        self.terms = np.empty(len(order), np.int32)
         self.terms[order] = np.repeat(np.arange(len(head), dtype=np.int32), count)
         if factors.num_rows and len(head):
             at, factor = (pc.list_flatten(factors.column(c)).to_numpy() for c in ("tids", "values"))
@@ -227,7 +235,7 @@ class _Block:
         least = int(bound / self.unit) - 1 if bound > 0 else self._kth() - len(terms) - 1 - int(self.slack / self.unit)
         if sums.max() < max(least, 1):
             return _NONE
-        found = np.flatnonzero(sums >= max(least, 1))
+        found = (sums >= max(least, 1)).nonzero()[0]
         if len(found) > 64:
             return self._plain(terms, bound)
         asked, scores = np.array(terms), np.empty(len(found))
@@ -235,7 +243,7 @@ class _Block:
             own = self.terms[self.ends[d] : self.ends[d + 1]]
             at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
             scores[n] = self.own[self.ends[d] + at[own[at] == asked]].sum()
-        best = _best(scores, self.k, self.slack)
+        best = _best(scores, self.k, self.slack) if len(found) > self.k else np.arange(len(found))
         best = best[scores[best] >= bound]
         return found[best], scores[best]
 
@@ -270,6 +278,7 @@ def _scorer(k: int, slack: float, weigh: Weigh | None) -> Callable[[Iterator[pa.
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by part, a part's documents and factors before its queries, of which only a batch is held."""
         part, held, block = None, [], None
+        _met.clear()  # a worker that cut words needs them no more
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -283,7 +292,10 @@ def _scorer(k: int, slack: float, weigh: Weigh | None) -> Callable[[Iterator[pa.
                     held.append(piece)
                     continue
                 if block is None and held:
-                    block, held = _Block(pa.Table.from_batches(held), k, slack, weigh), []
+                    table, held = pa.Table.from_batches(held), []
+                    block = _Block(table, k, slack, weigh)
+                    del table
+                    pa.default_memory_pool().release_unused()
                 if block is not None and (found := block.found(pa.Table.from_batches([piece]))) is not None:
                     yield found
 
