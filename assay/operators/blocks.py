@@ -60,11 +60,19 @@ _SPACED = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 fo
 _cut = re.compile(TOKEN.encode()).findall
 
 
-def _words(text: bytes) -> list[bytes]:
+def words_of(text: bytes) -> list[bytes]:
     """tokens() of text in lower case."""
     return _cut(text) if b"'" in text else text.translate(_SPACED).split()
 
 
+def in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about LETTERS bytes of text: of long texts, fewer at a time."""
+    share = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // LETTERS
+    heads = np.flatnonzero(np.append(True, share[1:] != share[:-1])).tolist() if batch.num_rows else []
+    for a, b in zip(heads, [*heads[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _worded(terms: Broadcast[dict[str, int]], name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _met:
@@ -72,20 +80,17 @@ def _worded(terms: Broadcast[dict[str, int]], name: str) -> Callable[[Iterator[p
             _met[name] = _Codes(terms.value)
         code, empty = _met[name].__getitem__, terms.value[""]
         for batch in batches:
-            # Of long texts, fewer at a time.
-            share = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // LETTERS
-            heads = np.flatnonzero(np.append(True, share[1:] != share[:-1])).tolist() if batch.num_rows else []
-            for a, b in zip(heads, [*heads[1:], batch.num_rows], strict=True):
-                piece = batch.slice(a, b - a)
-                words = [_words(text) for text in piece.column("text").cast(pa.binary()).to_pylist()]
-                doc = np.repeat(np.arange(b - a), [len(x) for x in words])
+            for piece in in_pieces(batch):
+                words = [words_of(text) for text in piece.column("text").cast(pa.binary()).to_pylist()]
+                n = piece.num_rows
+                doc = np.repeat(np.arange(n), [len(x) for x in words])
                 codes = np.fromiter(map(code, chain.from_iterable(words)), np.int64, len(doc))
-                length = np.bincount(doc[codes != -2], minlength=b - a)
+                length = np.bincount(doc[codes != -2], minlength=n)
                 # The empty word stands for its document.
-                doc, codes = np.append(doc[codes >= 0], np.arange(b - a)), np.append(codes[codes >= 0], np.full(b - a, empty))
+                doc, codes = np.append(doc[codes >= 0], np.arange(n)), np.append(codes[codes >= 0], np.full(n, empty))
                 span = codes.max() + 1
                 key, times = np.unique(doc * span + codes, return_counts=True)
-                ends = pa.array(np.searchsorted(key, np.arange(b - a + 1) * span), pa.int32())
+                ends = pa.array(np.searchsorted(key, np.arange(n + 1) * span), pa.int32())
                 lists = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (key % span, times))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("doc_id"), pa.array(length), *lists], ["row", "doc_id", "length", "tids", "tfs"])
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.grounding import rounded
 from assay.functions.text import content_terms, stem, tokens, without_stopwords
-from assay.operators.blocks import best_in_blocks, listed, listed_texts, merged
+from assay.operators.blocks import Weigh, best_in_blocks, listed, listed_texts, merged
 from assay.operators.kept import kept
 from assay.operators.ordered import with_running
 
@@ -31,6 +31,11 @@ def whole_text() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
 
 
+def lower_texts(kb: DataFrame) -> DataFrame:
+    """row, doc_id, text of each document: a number, and its title and text in lower case."""
+    return spread(kb.select("doc_id", "title", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lower(whole_text()).alias("text"))
+
+
 def document_terms(kb: DataFrame) -> DataFrame:
     """doc_id, length and content words of each document's title and text; stems are made of exploded rows, in generated code."""
     kb = spread(kb.select("doc_id", "title", "text"))
@@ -85,6 +90,15 @@ def _scores(weighed: DataFrame, some: DataFrame) -> DataFrame:
     return weighed.join(some, "tid").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
 
 
+def block_values(lists: DataFrame, repeated: bool, avg_length: float, config: dict) -> tuple[DataFrame, Weigh | None]:
+    """What best_in_blocks() takes as values, and its weigh(), of lists (doc_id, length, tids, tfs). repeated: a doc_id may have several."""
+    k1, b = config["bm25_k1"], config["bm25_b"]
+    if repeated:  # Documents of one id add up, whatever their lengths.
+        rows = lists.select("doc_id", "length", F.explode(F.arrays_zip("tids", "tfs")).alias("t"))
+        return rows.select("doc_id", F.col("t.tids").alias("tid"), bm25_weight(F.col("t.tfs"), F.col("length"), F.lit(avg_length), k1, b).alias("weight")), None
+    return lists, lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / avg_length if avg_length > 0 else 0.0)))
+
+
 def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.0) -> DataFrame:
     """query_id, rank, doc_id, score of the top_k documents of each query.
 
@@ -104,7 +118,7 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
     known = numbered(terms.withColumn("df", F.lit(0)), "bm25-terms").select("term", "tid")
     if few:
         numbers = kb.sparkSession.sparkContext.broadcast({r.term: r.tid for r in known.collect()})  # BROADCAST_TERMS at most
-        lists = listed_texts(spread(kb.select("doc_id", "title", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.lower(whole_text()).alias("text")), numbers)
+        lists = listed_texts(lower_texts(kb), numbers)
     else:
         documents = document_terms(kb).select(F.monotonically_increasing_id().alias("row"), "doc_id", "length", F.array_append("words", F.lit("")).alias("words"))
         rows = documents.select("row", "doc_id", "length", F.explode("words").alias("word")).select("row", "doc_id", "length", stem(F.col("word")).alias("term"))
@@ -125,11 +139,7 @@ def bm25_topk(kb: DataFrame, queries: DataFrame, config: dict, shift: float = 0.
         weighed = posted.join(send(counts), "tid").select("tid", "doc_id", (rarity * weight(F.col("tf"))).alias("weight"))
         scores = _scores(weighed, if_small(asked))
     else:
-        weigh = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * (length / avg_length if avg_length > 0 else 0.0)))
-        values = lists.select("doc_id", "length", *(F.slice(c, 2, F.size("tids")).alias(c) for c in ("tids", "tfs")))
-        if repeated:  # Documents of one id add up, whatever their lengths.
-            rows = values.select("doc_id", "length", F.explode(F.arrays_zip("tids", "tfs")).alias("t"))
-            values, weigh = rows.select("doc_id", F.col("t.tids").alias("tid"), weight(F.col("t.tfs")).alias("weight")), None
+        values, weigh = block_values(lists.select("doc_id", "length", *(F.slice(c, 2, F.size("tids")).alias(c) for c in ("tids", "tfs"))), bool(repeated), avg_length, config)
         scores = best_in_blocks(values, asked, n_docs, k, digits, counts.select("tid", rarity.alias("factor")), weigh)
     first = F.broadcast(kb.select("doc_id").orderBy("doc_id").limit(k))  # k rows
     fill = queries.select("query_id").join(first).withColumn("score", F.lit(0.0))

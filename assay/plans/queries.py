@@ -338,7 +338,8 @@ def bm25_stored_index(t: Tables) -> DataFrame:
     """Two searches of one stored index: texts are read once, when it is written."""
     path = f"{shared_folder(t.spark)}/bm25-index-{uuid.uuid4().hex}"
     write_index(t.kb(), path, CONFIG["retrieval"])
-    found = {kind: search(open_index(t.spark, path), queries, CONFIG["retrieval"], SHIFT) for kind, queries in (("chats", t.chats()), ("questions", t.questions()))}
+    ranked = lambda kind, queries: kept_alone(lambda: search(open_index(t.spark, path), queries, CONFIG["retrieval"], SHIFT), f"found-{kind}")
+    found = {"chats": ranked("chats", t.chats()), "questions": ranked("questions", t.questions())}
     both = found["chats"].withColumn("kind", F.lit("chats")).unionByName(found["questions"].withColumn("kind", F.lit("questions")))
     return both.select("kind", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 

@@ -3,6 +3,7 @@
 import random
 import shutil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,48 @@ def test_a_text_moves_once_for_all_its_phrases(spark, monkeypatch):
     assert found.count() == 60 and "Sort [pattern" not in plan
     lists = [line for line in plan.splitlines() if "collect_list(struct(pattern_id" in line and "Aggregate [text_id" in line]
     assert lists
+
+
+def test_an_index_moves_postings_in_lists(spark, tmp_path, monkeypatch):
+    """Words and postings are no tables of their own on the way; ids that repeat, with one length or several, and no id, are found as retrieval finds them, by few queries and by many."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choices([f"term{i}" for i in range(25)], k=n))
+    once = [(f"d{i}", rng.choice([None, "title"]), text(i % 17)) for i in range(70)]
+    queries = spark.createDataFrame([(f"q{i}", text(1 + i % 5)) for i in range(9)] + [(None, "term1")], "query_id string, user_question string")
+    names, keep = [], index.kept
+    monkeypatch.setattr(index, "kept", lambda table, name: names.append(name) or keep(table, name))
+    for n, docs in enumerate([once, [*once, *once[5:9], ("d9", None, "term1 term2"), (None, None, "term1"), ("d12", "x", None)]]):
+        names.clear()
+        kb = spark.createDataFrame(docs, "doc_id string, title string, text string").repartition(3)
+        made = write_index(kb, f"{tmp_path}/index{n}", CONFIG)
+        assert names == ["index-merged"] * n
+        want = sorted(map(str, bm25_topk(kb, queries, CONFIG).collect()))
+        for many in (10**9, 0):
+            monkeypatch.setattr(index, "MANY", many)
+            assert sorted(map(str, search(made, queries, CONFIG).collect())) == want
+        monkeypatch.setattr(index, "BROADCAST_TERMS", 3)
+        assert sorted(map(str, search(made, queries, CONFIG).collect())) == want
+        monkeypatch.undo()
+        monkeypatch.setattr(index, "kept", lambda table, name: names.append(name) or keep(table, name))
+
+
+def test_blocks_of_a_term_of_many_batches():
+    """A term's rows go on over batches; blocks are of one term, of falling weights, and a term of many documents is cut before all of it is there."""
+    rng = random.Random(2)
+    want = {t: [(1000 * i + j, rng.randint(1, 9), rng.randint(1, 50)) for i in range(n) for j in range(rng.randint(1, 4))] for t, n in (("a", 1), ("b", 300), ("c", 2), ("d", 1), ("e", 90))}
+    rows = [(t, x) for t, docs in want.items() for x in (docs[i : i + 3] for i in range(0, len(docs), 3))]
+
+    def batches(n):
+        for i in range(0, len(rows), n):
+            some = rows[i : i + n]
+            lists = [pa.array([[p[c] for p in x] for _, x in some], pa.list_(t)) for c, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in some]), *lists], ["term", "docs", "tfs", "lengths"])
+
+    for n in (1, 7, 1000):
+        out = [b.to_pylist() for b in index._in_blocks(lambda tf, length: tf / length, 4)(batches(n))]
+        found = {t: [] for t in want}
+        for r in (r for b in out for r in b):
+            assert 1 <= len(r["docs"]) <= 4 and r["most"] == r["weights"][0] and r["weights"] == sorted(r["weights"], reverse=True)
+            found[r["term"]] += zip(r["docs"], r["weights"], strict=True)
+        assert {t: sorted(x) for t, x in found.items()} == {t: sorted((d, tf / length) for d, tf, length in x) for t, x in want.items()}
+        assert n > 7 or max(sum(len(r["docs"]) for r in b) for b in out) < 4 * index.TOGETHER + 7 * 12
