@@ -22,7 +22,7 @@ from assay.functions.text import STOPWORDS, TOKEN, stemmed
 from assay.operators.kept import kept
 
 #: Documents of a block, at most about so many; of few documents, least ones of a block, so that all cores have some.
-DOCS, FEW = 16_384, 1024
+DOCS, FEW = 12_288, 1024
 #: Terms of a row of factors.
 FACTORS = 65_536
 #: Greatest sum of short weights; how many of the greatest weight it holds. Terms whose postings are held as whole rows, at most.
